@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelflight.functions.common import first_per_group, share
@@ -75,13 +75,20 @@ def sort_by_user_time(interactions: DataFrame) -> DataFrame:
 def recency_rank(interactions: DataFrame) -> DataFrame:
     """Dense rank of each interaction's instant within its user.
 
-    Ranks are computed over the distinct (user, instant) pairs and joined back, so ties
-    cost nothing and the window never carries full rows.
+    Ranks are computed over the distinct (user, instant) pairs, day by day: the number of a
+    user's instants before a day comes from a window over that user's days, the rank inside
+    a day from a window over (user, day).  No window ever holds a user's whole history.
     """
-    from pyspark.sql import Window
-
-    instants = interactions.select("user_id", "ts").distinct()
-    ranked = instants.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy("ts")))
+    instants = interactions.select("user_id", "ts").distinct().withColumn("day", F.to_date("ts"))
+    per_day = instants.groupBy("user_id", "day").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("user_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_day.select("user_id", "day", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    inside = F.row_number().over(Window.partitionBy("user_id", "day").orderBy("ts"))
+    ranked = (
+        instants.withColumn("_inside", inside)
+        .join(offsets, ["user_id", "day"])
+        .select("user_id", "ts", (F.col("offset") + F.col("_inside")).alias("rank"))
+    )
     return interactions.join(ranked, ["user_id", "ts"])
 
 

@@ -43,15 +43,63 @@ def top_per_group(
     return df.withColumn(position, F.row_number().over(w)).filter(F.col(position) <= k)
 
 
-def exact_median(df: DataFrame, column: str, alias: str = "median") -> Column:
-    """The exact median of one numeric column as a scalar column.
+def folded_median(df: DataFrame, column: str) -> Column:
+    """The exact median of counts, lengths or ratings as a scalar column.
 
     Values are first folded to (value, count) with map-side combining, so the single
-    final task holds distinct values only.  Meant for counts, lengths and ratings, whose
-    distinct values are few by nature.
+    final task holds distinct values only, which are few by nature.
     """
-    folded = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
-    return folded.agg(F.percentile("_v", F.lit(0.5), F.col("_n"))).scalar().alias(alias)
+    folded = _folded(df, column)
+    return folded.agg(F.percentile("_v", F.lit(0.5), F.col("_n"))).scalar()
+
+
+def wide_median(df: DataFrame, column: str, buckets: int = 4096) -> Column:
+    """The exact median of a continuous column as a scalar column.
+
+    A histogram of fixed size finds the bucket of the middle ranks; only the distinct
+    values of that bucket are ranked one by one.
+    """
+    folded = _folded(df, column)
+    bounds = folded.agg(F.struct(F.min("_v").alias("lo"), F.max("_v").alias("hi"))).scalar()
+    width = F.col("_r.hi") - F.col("_r.lo")
+    placed = folded.withColumn("_r", bounds).withColumn(
+        "_b", F.when(width > 0, F.floor((F.col("_v") - F.col("_r.lo")) / width * (buckets - 1))).otherwise(F.lit(0))
+    )
+    ahead = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    histogram = placed.groupBy("_b").agg(F.sum("_n").alias("_size"))
+    everything = Window.partitionBy()
+    spans = histogram.select(
+        "_b", "_size",
+        F.coalesce(F.sum("_size").over(ahead), F.lit(0)).alias("_before"),
+        F.sum("_size").over(everything).alias("_total"),
+    )
+    low, high = F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2)
+    middle = spans.filter((F.col("_before") <= high) & (F.col("_before") + F.col("_size") > low))
+    inside = Window.partitionBy("_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = placed.join(middle, "_b").withColumn(
+        "_rank", F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
+    )
+
+    def covers(rank: Column) -> Column:
+        return (F.col("_rank") <= rank) & (F.col("_rank") + F.col("_n") > rank)
+
+    return ranked.agg(
+        (F.max(F.when(covers(low), F.col("_v"))) + F.max(F.when(covers(high), F.col("_v")))) / 2
+    ).scalar()
+
+
+def _folded(df: DataFrame, column: str) -> DataFrame:
+    value = F.col(column)
+    return df.filter(value.isNotNull()).groupBy(value.alias("_v")).agg(F.count("*").alias("_n"))
+
+
+def banded(value: Column, edges: Sequence[int]) -> Column:
+    """The half-open band [a, b) a value lies in, named by its edges; open above the last edge."""
+    label = F.lit(None).cast("string")
+    for low, high in zip(edges, list(edges[1:]) + [None], strict=True):
+        name = f"[{low},{high})" if high is not None else f"[{low},inf)"
+        label = F.when(value >= low, F.lit(name)).otherwise(label)
+    return label
 
 
 def unpivot_metrics(df: DataFrame, key: str = "metric", value: str = "value") -> DataFrame:

@@ -73,21 +73,26 @@ def eligibility_checks(title: Column) -> dict[str, Column]:
     }
 
 
-def is_eligible(title: Column) -> Column:
-    c = eligibility_checks(title)
+def checked(title: Column) -> Column:
+    """All rules and the token count of a cleaned title as one struct, to be computed once per row."""
+    count = F.size(tokens_of(squeeze(F.coalesce(title, F.lit("")))))
+    return F.struct(*[c.alias(n) for n, c in eligibility_checks(title).items()], count.alias("tokens"))
+
+
+def is_eligible(checks: Column) -> Column:
+    c = checks
     return ~c["negative"] & ~c["bare_face"] & c["enough_tokens"] & c["semantic"] & c["specific"]
 
 
-def rejection_reasons(title: Column) -> Column:
+def rejection_reasons(checks: Column) -> Column:
     """Why a title is not eligible, in the order of the report; null for eligible titles."""
-    c = eligibility_checks(title)
-    count = F.size(tokens_of(squeeze(F.coalesce(title, F.lit("")))))
+    c = checks
     reasons = F.array_compact(
         F.array(
-            F.when(~c["enough_tokens"], F.concat(F.lit("< 3 tokens ("), count.cast("string"), F.lit(")"))),
+            F.when(~c["enough_tokens"], F.concat(F.lit("< 3 tokens ("), c["tokens"].cast("string"), F.lit(")"))),
             F.when(~c["semantic"], F.lit("no semantic keyword")),
             F.when(~c["specific"], F.lit("no specific object")),
         )
     )
     listed = F.when(F.size(reasons) > 0, reasons).otherwise(F.array(F.lit("unknown")))
-    return F.when(~is_eligible(title), listed)
+    return F.when(~is_eligible(c), listed)

@@ -104,7 +104,7 @@ block("meta", f"""
   FROM part LEFT JOIN rated ON l_partkey = p_partkey""", "rated")
 block("products", """
   SELECT parent_asin, title, store, main_category, average_rating AS avg_rating, rating_number,
-         'p/' || parent_asin AS primary_image FROM meta""", "meta")
+         'p/' || parent_asin AS primary_image, store AS brand FROM meta""", "meta")
 block("items", """
   SELECT CAST(p_partkey AS VARCHAR) || variant AS asin, CAST(p_partkey AS VARCHAR) AS parent_asin, variant,
          CASE p_partkey % 10 WHEN 0 THEN 'i/' || p_partkey || variant WHEN 1 THEN '' END AS primary_image,
@@ -136,3 +136,17 @@ def _unrolled_core(k: int, rounds: int) -> str:
 CORE5 = _unrolled_core(5, 4)
 CORE20 = _unrolled_core(20, 5)
 CORE25 = _unrolled_core(25, 5)
+
+block("carts", """
+  SELECT o_orderkey AS id, o_custkey AS user_id,
+         CASE WHEN o_orderstatus = 'O' THEN 'active' ELSE 'checked_out' END AS status, o_orderdate AS created_at
+  FROM orders""")
+block("cart_items", """
+  SELECT l_orderkey AS cart_id, CAST(l_partkey AS VARCHAR) AS asin, sum(CAST(l_quantity AS BIGINT)) AS quantity
+  FROM lineitem GROUP BY 1, 2""")
+block("cart_events", """
+  SELECT event_id, user_id, json_extract_string(props, '$.k') AS asin,
+         CASE event_type WHEN 'click' THEN 'add' WHEN 'view' THEN 'set' WHEN 'signup' THEN 'remove'
+                         WHEN 'error' THEN 'clear' END AS op, ts,
+         CAST(1 + CAST(trunc(value) AS INTEGER) % 5 AS BIGINT) AS quantity
+  FROM events WHERE event_type <> 'purchase'""")

@@ -150,7 +150,8 @@ def products(spark: SparkSession, sf: str) -> DataFrame:
     return metadata_raw(spark, sf).select(
         "parent_asin", "title", "store", "main_category",
         F.col("average_rating").alias("avg_rating"), F.col("rating_number").cast("int").alias("rating_number"),
-        F.element_at(F.split(F.concat(F.lit("p/"), "parent_asin"), ","), 1).alias("primary_image"),
+        F.concat(F.lit("p/"), "parent_asin").alias("primary_image"),
+        F.to_json(F.struct("title", F.col("store").alias("Brand"))).alias("raw_metadata"),
     )
 
 
@@ -199,3 +200,20 @@ def item_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "embeddings").select(
         _text(F.col("vec_id")).alias("item_id"), "embedding", _text(F.col("label")).alias("category")
     )
+
+
+def carts(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as carts: the open ones are active."""
+    return read_table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"),
+        F.when(F.col("o_orderstatus") == "O", "active").otherwise("checked_out").alias("status"),
+        F.col("o_orderdate").alias("created_at"),
+    )
+
+
+def cart_items(spark: SparkSession, sf: str) -> DataFrame:
+    return (
+        read_table(spark, sf, "lineitem")
+        .groupBy(F.col("l_orderkey").alias("cart_id"), _text(F.col("l_partkey")).alias("asin"))
+        .agg(F.sum(F.col("l_quantity").cast("bigint")).alias("quantity"))
+    )

@@ -65,28 +65,20 @@ def description_fallback(description: Column) -> Column:
     return F.coalesce(cut, F.lit(""))
 
 
-def lower_keys(details: Column) -> Column:
-    """Details with lower-cased keys; of keys that differ only in case the last one counts."""
-    entries = F.map_entries(details)
-    lowered = F.transform(entries, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
-    last_only = F.filter(
-        F.transform(
-            lowered,
-            lambda e, i: F.struct(
-                e["key"].alias("key"), e["value"].alias("value"),
-                F.exists(
-                    F.slice(lowered, i + 2, F.greatest(F.size(lowered), F.lit(1))), lambda o: o["key"] == e["key"]
-                ).alias("again"),
-            ),
-        ),
-        lambda e: ~e["again"],
-    )
-    return F.map_from_entries(
-        F.transform(last_only, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
+def lowered(details: Column) -> Column:
+    """Details as (key, name, value) entries: the key in lower case, the name as it was."""
+    return F.transform(
+        F.map_entries(details),
+        lambda e: F.struct(F.lower(e["key"]).alias("key"), e["key"].alias("name"), e["value"].alias("value")),
     )
 
 
-def strong_attributes(title: Column, details: Column) -> Column:
+def entry_for(entries: Column, key: Column) -> Column:
+    """The entry with that lower-case key; of keys that differ only in case the last one counts."""
+    return F.try_element_at(F.filter(entries, lambda e: e["key"] == key), F.lit(-1))
+
+
+def strong_attributes(title: Column, entries: Column) -> Column:
     """Up to three attributes that tell products apart, from the title first, then the details."""
     text = F.lower(F.coalesce(title, F.lit("")))
     found = []
@@ -103,10 +95,9 @@ def strong_attributes(title: Column, details: Column) -> Column:
             found.append(F.when(hit & ~F.contains(text, F.lit("13x1")), F.lit(word)))
         else:
             found.append(F.when(hit, F.lit(word)))
-    low = lower_keys(details)
 
     def detail(keys: list[str], allowed: list[str]) -> Column:
-        value = F.lower(F.trim(first_value(low, keys)))
+        value = F.lower(F.trim(first_value(entries, keys)))
         return F.when(value.isin(*allowed), value)
 
     found.append(detail(["material", "material type"], rules.STRONG_MATERIALS))
@@ -114,7 +105,7 @@ def strong_attributes(title: Column, details: Column) -> Column:
     return F.slice(F.array_distinct(F.array_compact(F.array(*found))), 1, 3)
 
 
-def first_value(lowered: Column, keys: list[str]) -> Column:
-    """The first non-empty value among the keys of a lower-keyed map."""
-    values = [F.element_at(lowered, F.lit(k)) for k in keys]
+def first_value(entries: Column, keys: list[str]) -> Column:
+    """The first non-empty value among lower-case keys."""
+    values = [entry_for(entries, F.lit(k))["value"] for k in keys]
     return F.coalesce(*[F.when(v != "", v) for v in values])

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelflight.functions import rules
-from shelflight.functions.attributes import first_value, lower_keys, product_type, strong_attributes
+from shelflight.functions.attributes import entry_for, first_value, lowered, product_type, strong_attributes
 from shelflight.functions.jsontext import brand_of
 from shelflight.functions.matching import contains_any, first_contained, null_like, strings
 
-_NO_STRINGS = F.array
-
 
 def sentence_case(text: Column) -> Column:
     """First letter upper case, everything else lower case."""
@@ -105,95 +103,92 @@ def _telling(value: Column) -> Column:
     )
 
 
-def labelled_attributes(details: Column, brand: Column) -> Column:
-    """Up to six "key: value" entries within 200 characters.
+def shortened_list(items: Column, limit: int) -> Column:
+    """Items joined by ". "; as many leading ones as fit when the whole is too long.
 
-    Important keys come first in their own order; with fewer than five of them the other
-    keys follow, except technical ones, a repeated brand and plain refusals, until there
-    are eight.
+    ``items`` should be a plain column: it is used many times.
     """
-    low = lower_keys(details)
-    entries = F.map_entries(details)
-    names = F.map_from_entries(
-        F.transform(
-            F.map_entries(lower_keys(F.map_from_entries(
-                F.transform(entries, lambda e: F.struct(e["key"].alias("key"), e["key"].alias("value")))
-            ))),
-            lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")),
-        )
-    )
-    important_keys = F.filter(
-        F.array_distinct(strings(rules.LABELLED_KEYS)), lambda k: _telling(F.element_at(low, k))
-    )
-    important = F.transform(
-        important_keys, lambda k: F.concat(F.element_at(names, k), F.lit(": "), F.element_at(low, k))
-    )
-
-    def other(e: Column) -> Column:
-        key = F.lower(e["key"])
-        value = e["value"]
-        same_brand = F.contains(key, F.lit("brand")) & F.coalesce(
-            F.lower(F.trim(value)) == F.lower(brand), F.lit(False)
-        )
-        return (
-            ~F.array_contains(important_keys, key)
-            & ~contains_any(key, rules.LABELLED_EXCLUDED)
-            & ~same_brand
-            & ~F.lower(value).isin("no", "false", "none", "n/a")
-            & _telling(value)
-        )
-
-    room = F.greatest(F.lit(8) - F.size(important), F.lit(0))
-    others = F.slice(
-        F.transform(F.filter(entries, other), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), F.lit(1), room
-    )
-    listed = F.slice(F.when(F.size(important) < 5, F.concat(important, others)).otherwise(important), 1, 6)
-    return shortened_list(listed, 200)
-
-
-def shortened_list(items: Column, limit: int) -> Column:
-    """Items joined by ". "; as many leading ones as fit when the whole is too long."""
     whole = F.array_join(items, ". ")
     fits = F.filter(
         F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1))),
         lambda n: F.aggregate(F.slice(items, F.lit(1), n), F.lit(0), lambda acc, x: acc + F.length(x) + 2)
         <= limit - 3,
     )
-    count = F.size(fits)
-    some = F.concat(F.array_join(F.slice(items, F.lit(1), count), ". "), F.lit("..."))
+    some = F.concat(F.array_join(F.slice(items, F.lit(1), F.size(fits)), ". "), F.lit("..."))
     one = F.concat(F.substring(F.get(items, F.lit(0)), 1, limit - 3), F.lit("..."))
     return (
         F.when(F.size(items) == 0, F.lit(""))
         .when(F.length(whole) <= limit, whole)
-        .when(count > 0, some)
+        .when(F.size(fits) > 0, some)
         .otherwise(one)
     )
 
 
-def labelled_text(title: Column, category: Column, store: Column, metadata: Column) -> Column:
+def _with_labelled_attributes(df: DataFrame) -> DataFrame:
+    """Add ``_attributes``: up to six "key: value" entries within 200 characters.
+
+    Important keys come first in their own order; with fewer than five of them the other
+    keys follow, except technical ones, a repeated brand and plain refusals, until there
+    are eight.
+    """
+    entries = F.col("_entries")
+    important_entries = F.filter(
+        F.transform(strings(rules.LABELLED_KEYS), lambda k: entry_for(entries, k)),
+        lambda e: e.isNotNull() & _telling(e["value"]),
+    )
+
+    def shown(e: Column) -> Column:
+        return F.concat(e["name"], F.lit(": "), e["value"])
+
+    def other(e: Column) -> Column:
+        same_brand = F.contains(e["key"], F.lit("brand")) & F.coalesce(
+            F.lower(F.trim(e["value"])) == F.lower(F.col("_brand")), F.lit(False)
+        )
+        return (
+            ~F.exists(F.col("_important"), lambda i: i["key"] == e["key"])
+            & ~contains_any(e["key"], rules.LABELLED_EXCLUDED)
+            & ~same_brand
+            & ~F.lower(e["value"]).isin("no", "false", "none", "n/a")
+            & _telling(e["value"])
+        )
+
+    staged = df.withColumn("_important", important_entries).withColumn("_others", F.filter(entries, other))
+    count = F.size("_important")
+    room = F.when(count < 5, F.lit(8) - count).otherwise(F.lit(0))
+    listed = F.slice(F.concat("_important", F.slice("_others", F.lit(1), room)), 1, 6)
+    return staged.withColumn("_listed", F.transform(listed, shown)).withColumn(
+        "_attributes", shortened_list(F.col("_listed"), 200)
+    )
+
+
+def labelled_texts(items: DataFrame) -> DataFrame:
     """Name, category, brand and attributes behind their labels, at most 500 characters."""
     def shown(label: str, value: Column) -> Column:
         return F.when(~null_like(value, rules.NULL_LIKE), F.concat(F.lit(f"{label}: "), F.trim(value)))
 
-    brand = brand_or_store(metadata, store)
-    attributes = F.concat(
-        F.lit(f"{rules.LABEL_ATTRIBUTES}: "), _filled(labelled_attributes(details_of(metadata), brand))
+    parts = F.array_compact(
+        F.array(
+            shown(rules.LABEL_TITLE, F.col("title")),
+            shown(rules.LABEL_CATEGORY, F.col("main_category")),
+            shown(rules.LABEL_BRAND, F.col("_brand")),
+            F.concat(F.lit(f"{rules.LABEL_ATTRIBUTES}: "), _filled(F.col("_attributes"))),
+        )
     )
-    head = [shown(rules.LABEL_TITLE, title), shown(rules.LABEL_CATEGORY, category), shown(rules.LABEL_BRAND, brand)]
-    parts = F.array_compact(F.array(*head, attributes))
-    whole = F.array_join(parts, ". ")
-    prefix = F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), ". ")
-    room = F.lit(500 - 3) - (F.length(prefix) + 2)
-    last = F.element_at(parts, -1)
-    trimmed = (
-        F.when((F.size(parts) > 3) & (room > 20),
-               F.concat(prefix, F.lit(". "), F.substr(last, F.lit(1), room), F.lit("...")))
-        .when(F.size(parts) > 3, prefix)
-        .otherwise(whole)
+    staged = _with_labelled_attributes(items).withColumn("_parts", parts)
+    count = F.size("_parts")
+    staged = staged.withColumn("_whole", F.array_join("_parts", ". ")).withColumn(
+        "_prefix", F.array_join(F.slice("_parts", F.lit(1), F.greatest(count - 1, F.lit(0))), ". ")
     )
-    return F.when(F.size(parts) == 0, F.lit("")).otherwise(
-        F.when(F.length(whole) > 500, _capped(trimmed)).otherwise(whole)
+    room = F.lit(500 - 3) - (F.length("_prefix") + 2)
+    last = F.get("_parts", count - 1)
+    trimmed = (
+        F.when((count > 3) & (room > 20),
+               F.concat("_prefix", F.lit(". "), F.substr(last, F.lit(1), room), F.lit("...")))
+        .when(count > 3, F.col("_prefix"))
+        .otherwise(F.col("_whole"))
     )
+    staged = staged.withColumn("_trimmed", F.when(F.length("_whole") > 500, trimmed).otherwise(F.col("_whole")))
+    return staged.withColumn("embedding_text", _capped(F.col("_trimmed")))
 
 
 # --- descriptive ---------------------------------------------------------------------
@@ -229,12 +224,9 @@ def descriptive_category(kind: Column, use: Column) -> Column:
     )
 
 
-def _short_values(details: Column, keys: list[str], limit: int, skipped: list[str]) -> Column:
-    """Values of the given lower-cased keys that are short, telling and no link or number."""
-    low = lower_keys(details)
-
-    def good(key: Column) -> Column:
-        text = F.trim(F.element_at(low, key))
+def _short_values(keys: list[str], limit: int, skipped: list[str]) -> Column:
+    """(key, value) of the given lower-case keys whose values are short, telling and no link or number."""
+    def good(text: Column) -> Column:
         return (
             text.isNotNull()
             & ~F.lower(text).isin(*skipped)
@@ -244,24 +236,27 @@ def _short_values(details: Column, keys: list[str], limit: int, skipped: list[st
             & (F.length(text) <= limit)
         )
 
-    entries = F.transform(
-        F.filter(strings(keys), good),
-        lambda k: F.struct(k.alias("key"), F.trim(F.element_at(low, k)).alias("value")),
+    found = F.transform(
+        strings(keys),
+        lambda k: F.struct(k.alias("key"), F.trim(entry_for(F.col("_entries"), k)["value"]).alias("value")),
     )
-    return F.map_from_entries(entries)
+    return F.filter(found, lambda e: good(e["value"]))
 
 
-def descriptive_text(title: Column, store: Column, metadata: Column) -> Column:
+def descriptive_texts(items: DataFrame) -> DataFrame:
     """Title, brand when the title lacks it, then type, use, attributes and category as sentences."""
-    name = F.coalesce(title, F.lit(""))
-    kind = product_type(name, rules.PRODUCT_TYPES_DESCRIPTIVE, None)
-    use = descriptive_use(name, kind)
-    category = descriptive_category(kind, use)
-    values = _short_values(details_of(metadata), rules.DESCRIPTIVE_KEYS, 50, ["null", "none", "n/a", ""])
+    name, kind, use, category = F.col("_name"), F.col("_kind"), F.col("_use"), F.col("_category")
+    staged = (
+        items.withColumn("_name", F.coalesce("title", F.lit("")))
+        .withColumn("_kind", product_type(name, rules.PRODUCT_TYPES_DESCRIPTIVE, None))
+        .withColumn("_use", descriptive_use(name, kind))
+        .withColumn("_category", descriptive_category(kind, use))
+        .withColumn("_values", _short_values(rules.DESCRIPTIVE_KEYS, 50, ["null", "none", "n/a", ""]))
+    )
     vague = ["various", "assorted"]
 
     def said(lead: str, keys: list[str], tail: str = "", skip: list[str] = vague) -> Column:
-        value = first_value(values, keys)
+        value = first_value(F.col("_values"), keys)
         return F.when(~F.lower(value).isin(*skip), F.concat(F.lit(lead), value, F.lit(tail)))
 
     intro = (
@@ -278,26 +273,30 @@ def descriptive_text(title: Column, store: Column, metadata: Column) -> Column:
             said("available in ", ["color", "colour"], "", vague + ["multi", "multicolor"]),
         )
     )
-    category_told = F.exists(told, lambda t: F.contains(F.lower(t), F.lower(category)))
+    category_told = F.exists("_told", lambda t: F.contains(F.lower(t), F.lower(category)))
     filed = F.when(
         (category != rules.FALLBACK_CATEGORY) & ~category_told, F.concat(F.lit("categorized as "), category)
     )
-    description = F.array_compact(F.concat(told, F.array(filed)))
-    brand = brand_or_store(metadata, store)
-    by = F.when(~F.contains(F.lower(name), F.lower(brand)), F.concat(F.lit("by "), brand))
-    shown_title = _filled(F.trim(name))
-
-    full_parts = F.array_compact(F.array(shown_title, by, _filled(F.array_join(description, ". "))))
-    full = _tidy(F.array_join(full_parts, ". "))
+    by = F.when(~F.contains(F.lower(name), F.lower("_brand")), F.concat(F.lit("by "), F.col("_brand")))
+    staged = (
+        staged.withColumn("_told", told)
+        .withColumn("_description", F.array_join(F.array_compact(F.concat("_told", F.array(filed))), ". "))
+        .withColumn("_by", by)
+        .withColumn("_full_parts", F.array_compact(
+            F.array(_filled(F.trim(name)), F.col("_by"), _filled(F.col("_description")))))
+        .withColumn("_full", _tidy(F.array_join("_full_parts", ". ")))
+    )
     # A text under 100 characters is laid out again: description before brand, a stock phrase if none.
-    plain = F.when(F.size(description) > 0, F.array_join(description, ". ")).otherwise(F.lit("A beauty product"))
-    short_parts = F.array_compact(F.array(_filled(name), plain, by))
-    short = _tidy(F.array_join(short_parts, ". "))
-
-    too_short = F.length(full) < 100
-    parts = F.when(too_short, short_parts).otherwise(full_parts)
-    text = F.when(too_short, short).otherwise(full)
-    return F.when(F.length(text) > rules.MAX_TEXT, _two_part_cut(parts, text)).otherwise(text)
+    plain = F.coalesce(_filled(F.col("_description")), F.lit("A beauty product"))
+    short_parts = F.array_compact(F.array(_filled(name), plain, F.col("_by")))
+    staged = staged.withColumn(
+        "_parts", F.when(F.length("_full") < 100, short_parts).otherwise(F.col("_full_parts"))
+    ).withColumn("_text", _tidy(F.array_join("_parts", ". ")))
+    return staged.withColumn(
+        "embedding_text",
+        F.when(F.length("_text") > rules.MAX_TEXT, _two_part_cut(F.col("_parts"), F.col("_text")))
+        .otherwise(F.col("_text")),
+    )
 
 
 def _two_part_cut(parts: Column, text: Column) -> Column:
@@ -350,15 +349,16 @@ def natural_category(use: Column) -> Column:
     )
 
 
-def natural_text(title: Column, store: Column, metadata: Column) -> Column:
+def natural_texts(items: DataFrame) -> DataFrame:
     """Title, then one running description of type, use, attributes, category and brand."""
-    name = F.trim(title)
-    kind = natural_type(name)
-    use = natural_use(name, kind)
-    category = natural_category(use)
-    values = _short_values(
-        details_of(metadata), rules.NATURAL_KEYS, 30,
-        ["null", "none", "n/a", "", "various", "assorted", "multi"],
+    name, kind, use, category = F.col("_name"), F.col("_kind"), F.col("_use"), F.col("_category")
+    staged = (
+        items.withColumn("_name", F.trim(F.coalesce("title", F.lit(""))))
+        .withColumn("_kind", natural_type(name))
+        .withColumn("_use", natural_use(name, kind))
+        .withColumn("_category", natural_category(use))
+        .withColumn("_values", _short_values(
+            rules.NATURAL_KEYS, 30, ["null", "none", "n/a", "", "various", "assorted", "multi"]))
     )
     verb = (
         F.when(contains_any(use, ["makeup", "cosmetic"]), " is designed for ")
@@ -374,7 +374,7 @@ def natural_text(title: Column, store: Column, metadata: Column) -> Column:
     )
 
     def said(lead: str, keys: list[str], tail: str = "") -> Column:
-        return F.concat(F.lit(lead), first_value(values, keys), F.lit(tail))
+        return F.concat(F.lit(lead), first_value(F.col("_values"), keys), F.lit(tail))
 
     told = F.concat_ws(
         " ",
@@ -383,33 +383,39 @@ def natural_text(title: Column, store: Column, metadata: Column) -> Column:
         said("featuring ", ["style"], " styling"),
         said("in ", ["color", "colour"]),
     )
-    brand = brand_or_store(metadata, store)
     sentences = F.array_compact(
         F.array(
             intro,
             _filled(told),
             F.when(category != rules.FALLBACK_CATEGORY, F.concat(F.lit("categorized under "), category)),
-            F.when(~F.contains(F.lower(name), F.lower(brand)), F.concat(F.lit("from "), brand)),
+            F.when(~F.contains(F.lower(name), F.lower("_brand")), F.concat(F.lit("from "), F.col("_brand"))),
         )
     )
-    body = F.array_join(sentences, " ")
-    text = F.when(body.startswith(name), body).otherwise(F.concat(name, F.lit(". "), body))
-    text = F.trim(F.regexp_replace(_tidy(text), r",\s*,", ","))
-
+    body = F.col("_body")
+    titled = F.when(body.startswith(name), body).otherwise(F.concat(name, F.lit(". "), body))
     more = (
         F.when(kind.isNotNull() & use.isNotNull(),
                F.concat(F.lit(" This "), kind, F.lit(" is designed for "), use, F.lit(".")))
         .when(kind.isNotNull(), F.concat(F.lit(" This is a "), kind, F.lit(" product.")))
         .otherwise("")
     )
-    longer = F.concat(text, more)
     belongs = F.when(
         category != rules.FALLBACK_CATEGORY, F.concat(F.lit(" It belongs to "), category, F.lit("."))
     ).otherwise(" It is a beauty product.")
+    text, longer = F.col("_text"), F.col("_longer")
     padded = F.when(F.length(longer) < 100, F.concat(longer, belongs)).otherwise(longer)
-    text = F.when(F.length(text) < 100, padded).otherwise(text)
-    return F.when(F.coalesce(name, F.lit("")) == "", F.lit("")).otherwise(
-        F.when(F.length(text) > rules.MAX_TEXT, _natural_cut(name, sentences, text)).otherwise(text)
+    staged = (
+        staged.withColumn("_sentences", sentences)
+        .withColumn("_body", F.array_join("_sentences", " "))
+        .withColumn("_text", F.trim(F.regexp_replace(_tidy(titled), r",\s*,", ",")))
+        .withColumn("_longer", F.concat(text, more))
+        .withColumn("_text", F.when(F.length(text) < 100, padded).otherwise(text))
+    )
+    return staged.withColumn(
+        "embedding_text",
+        F.when(name == "", F.lit(""))
+        .when(F.length(text) > rules.MAX_TEXT, _natural_cut(name, F.col("_sentences"), text))
+        .otherwise(text),
     )
 
 
@@ -431,9 +437,8 @@ def _natural_cut(name: Column, sentences: Column, text: Column) -> Column:
 
 # --- semantic role -------------------------------------------------------------------
 
-def role_text(title: Column, details: Column) -> Column:
+def role_texts(items: DataFrame) -> DataFrame:
     """Fixed template of type, primary use, functional role, key characteristics and category."""
-    kind = product_type(title, rules.PRODUCT_TYPES_ROLE)
     roles = F.create_map(
         *[
             x
@@ -444,8 +449,7 @@ def role_text(title: Column, details: Column) -> Column:
             )
         ]
     )
-    meaning = F.coalesce(F.element_at(roles, kind), F.element_at(roles, F.lit("default")))
-    strong = strong_attributes(title, details)
+    kind, meaning, strong = F.col("_kind"), F.col("_meaning"), F.col("_strong")
     kind_part = F.concat(F.lit("Product type: "), kind)
     use_part = F.concat(F.lit("Primary use: "), meaning["use"])
     role_part = F.concat(F.lit("Functional role: "), meaning["role"])
@@ -457,8 +461,36 @@ def role_text(title: Column, details: Column) -> Column:
     def closed(*parts: Column) -> Column:
         return F.concat(F.concat_ws(". ", *parts), F.lit("."))
 
-    text = closed(kind_part, use_part, role_part, trait_part, category_part)
+    text = F.col("_text")
     lacking = (F.length(text) < 150) & ~contains_any(F.lower(text), ["beauty", "cosmetic"])
-    context = F.when(lacking, F.lit("Application context: beauty and personal care product"))
-    text = closed(kind_part, use_part, role_part, trait_part, context, category_part)
-    return F.when(F.length(text) > rules.MAX_TEXT, closed(kind_part, use_part, category_part)).otherwise(text)
+    context = F.lit("Application context: beauty and personal care product")
+    return (
+        items.withColumn("_kind", product_type(F.col("title"), rules.PRODUCT_TYPES_ROLE))
+        .withColumn("_meaning", F.coalesce(F.element_at(roles, kind), F.element_at(roles, F.lit("default"))))
+        .withColumn("_strong", strong_attributes(F.col("title"), F.col("_entries")))
+        .withColumn("_text", closed(kind_part, use_part, role_part, trait_part, category_part))
+        .withColumn("_text", F.when(
+            lacking, closed(kind_part, use_part, role_part, trait_part, context, category_part)).otherwise(text))
+        .withColumn("embedding_text", F.when(
+            F.length(text) > rules.MAX_TEXT, closed(kind_part, use_part, category_part)).otherwise(text))
+    )
+
+
+STYLES = {
+    "labelled": labelled_texts,
+    "descriptive": descriptive_texts,
+    "natural": natural_texts,
+    "role": role_texts,
+}
+
+
+def styled_texts(items: DataFrame, style: str) -> DataFrame:
+    """(item_id, embedding_text) of items with title, store, main_category and raw_metadata.
+
+    Every intermediate value is a column of its own, so no expression is repeated inside
+    another one.
+    """
+    prepared = items.withColumn("_brand", brand_or_store(F.col("raw_metadata"), F.col("store"))).withColumn(
+        "_entries", lowered(details_of(F.col("raw_metadata")))
+    )
+    return STYLES[style](prepared).select("item_id", "embedding_text")

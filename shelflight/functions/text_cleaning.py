@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelflight.functions import rules
@@ -40,68 +40,62 @@ def _split_stops(text: Column, pattern: str) -> Column:
     return F.split(text, pattern, -1)
 
 
-def _first_by(items: Column, key) -> Column:
-    """Items whose key did not occur before, in order."""
-    return F.filter(
-        items,
-        lambda x, i: ~F.exists(F.slice(items, F.lit(1), i), lambda e: key(e) == key(x)),
-    )
-
-
-def pruned_attributes(text: Column) -> Column:
-    """The attribute section: distinct keys with real values, technical ones left out, five at most, 150 characters."""
+def pruned_attributes(df: DataFrame) -> DataFrame:
+    """The attribute section of ``_t``: distinct keys with real values, technical ones left out,
+    five at most, 150 characters."""
     label = f"{rules.LABEL_ATTRIBUTES}:"
-    pieces = _split_stops(text, re.escape(label))
-    prefix = F.rtrim(F.get(pieces, F.lit(0)))
+    text, pieces = F.col("_t"), F.col("_pieces")
     listed = F.filter(
         F.transform(_split_stops(F.get(pieces, F.lit(1)), r"\."), lambda a: F.trim(a)), lambda a: a != ""
     )
-    parsed = F.transform(
-        listed,
-        lambda a: F.struct(
+
+    def parsed(a: Column) -> Column:
+        return F.struct(
             F.contains(a, F.lit(":")).alias("keyed"),
             F.trim(F.substring_index(a, ":", 1)).alias("key"),
             F.trim(F.substr(a, F.locate(":", a) + 1)).alias("value"),
             a.alias("whole"),
-        ),
-    )
-    usable = F.filter(
-        parsed,
-        lambda a: F.when(
+        )
+
+    def usable(a: Column) -> Column:
+        return F.when(
             a["keyed"],
             (a["value"] != "")
             & ~F.lower(a["value"]).isin(*rules.NULL_LIKE)
             & ~contains_any(F.lower(a["key"]), rules.UNIMPORTANT_KEY_PARTS),
-        ).otherwise(F.length(a["whole"]) > 3),
-    )
-    distinct = F.filter(
-        usable,
-        lambda x, i: ~x["keyed"]
-        | ~F.exists(
-            F.slice(usable, F.lit(1), i), lambda e: e["keyed"] & (F.lower(e["key"]) == F.lower(x["key"]))
-        ),
-    )
-    shown = F.slice(
-        F.transform(
-            distinct,
-            lambda a: F.when(a["keyed"], F.concat(a["key"], F.lit(": "), a["value"])).otherwise(a["whole"]),
-        ),
-        1, 5,
-    )
-    section = F.concat(prefix, F.lit(f"{label} "), shortened_list(shown, 150))
-    return F.when(~F.contains(text, F.lit(label)), text).otherwise(
-        F.when(F.size(shown) > 0, section).otherwise(prefix)
+        ).otherwise(F.length(a["whole"]) > 3)
+
+    def is_first(x: Column, i: Column) -> Column:
+        earlier = F.slice("_usable", F.lit(1), i)
+        return ~x["keyed"] | ~F.exists(
+            earlier, lambda e: e["keyed"] & (F.lower(e["key"]) == F.lower(x["key"]))
+        )
+
+    def shown(a: Column) -> Column:
+        return F.when(a["keyed"], F.concat(a["key"], F.lit(": "), a["value"])).otherwise(a["whole"])
+
+    staged = (
+        df.withColumn("_pieces", F.when(F.contains(text, F.lit(label)), _split_stops(text, re.escape(label))))
+        .withColumn("_usable", F.filter(F.transform(listed, parsed), usable))
+        .withColumn("_shown", F.slice(F.transform(F.filter("_usable", is_first), shown), 1, 5))
     )
+    prefix = F.rtrim(F.get(pieces, F.lit(0)))
+    section = F.concat(prefix, F.lit(f"{label} "), shortened_list(F.col("_shown"), 150))
+    kept = F.when(pieces.isNull(), text).when(F.size("_shown") > 0, section).otherwise(prefix)
+    return staged.withColumn("_t", kept).drop("_pieces", "_usable", "_shown")
 
 
-def merged_sentences(text: Column) -> Column:
-    """Of sentences with the same key, or the same words, only the first stays."""
+def merged_sentences(df: DataFrame) -> DataFrame:
+    """Of sentences of ``_t`` with the same key, or the same words, only the first stays."""
     def key(s: Column) -> Column:
-        return F.when(F.contains(s, F.lit(":")), F.lower(F.trim(F.substring_index(s, ":", 1)))).otherwise(
-            F.lower(F.trim(s))
-        )
+        keyed = F.contains(s, F.lit(":"))
+        return F.lower(F.trim(F.when(keyed, F.substring_index(s, ":", 1)).otherwise(s)))
 
-    return F.array_join(_first_by(_split_stops(text, r"\. "), key), ". ")
+    staged = df.withColumn("_pieces", _split_stops(F.col("_t"), r"\. ")).withColumn(
+        "_keys", F.transform("_pieces", key)
+    )
+    first = F.filter("_pieces", lambda s, i: F.array_position("_keys", F.get("_keys", i)) == i + 1)
+    return staged.withColumn("_t", F.array_join(first, ". ")).drop("_pieces", "_keys")
 
 
 def sentence_starts(text: Column) -> Column:
@@ -115,54 +109,46 @@ def sentence_starts(text: Column) -> Column:
     return raised
 
 
-def fitted(text: Column, limit: int = rules.MAX_TEXT) -> Column:
-    """Within the limit: labelled sentences first, then the others, as many as fit."""
-    pieces = _split_stops(text, r"\. ")
+def fitted(df: DataFrame, limit: int = rules.MAX_TEXT) -> DataFrame:
+    """``_t`` within the limit: labelled sentences first, then the others, as many as fit."""
+    text, ordered, rest = F.col("_t"), F.col("_ordered"), F.col("_rest")
 
     def labelled(s: Column) -> Column:
         return contains_any(F.lower(s), [f"{label.lower()}:" for label in _LABELS])
 
-    ordered = F.concat(F.filter(pieces, labelled), F.filter(pieces, lambda s: ~labelled(s)))
-    fits = F.size(
-        F.filter(
-            F.sequence(F.lit(1), F.size(ordered)),
-            lambda n: F.aggregate(F.slice(ordered, F.lit(1), n), F.lit(0), lambda acc, s: acc + F.length(s) + 2)
-            <= limit - 3,
+    def fitting(items: Column) -> Column:
+        """How many leading items fit together."""
+        sums = F.aggregate(
+            items,
+            F.struct(F.lit(0).alias("used"), F.lit(0).alias("count"), F.lit(False).alias("full")),
+            lambda acc, s: F.when(
+                ~acc["full"] & (acc["used"] + F.length(s) + 2 <= limit - 3),
+                F.struct((acc["used"] + F.length(s) + 2).alias("used"), (acc["count"] + 1).alias("count"),
+                         F.lit(False).alias("full")),
+            ).otherwise(F.struct(acc["used"].alias("used"), acc["count"].alias("count"), F.lit(True).alias("full"))),
         )
+        return sums["count"]
+
+    too_long = F.length(text) > limit
+    staged = (
+        df.withColumn("_pieces", F.when(too_long, _split_stops(text, r"\. ")))
+        .withColumn("_ordered", F.concat(
+            F.filter("_pieces", labelled), F.filter("_pieces", lambda s: ~labelled(s))))
+        .withColumn("_rest", F.slice(ordered, F.lit(2), F.greatest(F.size(ordered) - 1, F.lit(0))))
+        .withColumn("_count", fitting(ordered))
+        .withColumn("_rest_count", F.when(F.col("_count") == 0, fitting(rest)))
     )
     # When not even the first fits it is cut, and the following ones are measured without it.
     first = F.concat(F.substring(F.get(ordered, F.lit(0)), 1, limit - 3), F.lit("..."))
-    rest = F.slice(ordered, F.lit(2), F.greatest(F.size(ordered) - 1, F.lit(0)))
-    rest_fits = F.size(
-        F.filter(
-            F.sequence(F.lit(1), F.greatest(F.size(rest), F.lit(1))),
-            lambda n: (F.size(rest) > 0)
-            & (
-                F.aggregate(F.slice(rest, F.lit(1), n), F.lit(0), lambda acc, s: acc + F.length(s) + 2)
-                <= limit - 3
-            ),
-        )
-    )
-    cut_first = F.array_join(F.concat(F.array(first), F.slice(rest, F.lit(1), rest_fits)), ". ")
-    joined = F.when(fits > 0, F.array_join(F.slice(ordered, F.lit(1), fits), ". ")).otherwise(cut_first)
-    capped = F.when(F.length(joined) > limit, F.concat(F.substring(joined, 1, limit - 3), F.lit("..."))).otherwise(
-        joined
+    cut_first = F.array_join(F.concat(F.array(first), F.slice(rest, F.lit(1), F.col("_rest_count"))), ". ")
+    staged = staged.withColumn("_joined", F.when(
+        F.col("_count") > 0, F.array_join(F.slice(ordered, F.lit(1), F.col("_count")), ". ")).otherwise(cut_first))
+    capped = F.when(
+        F.length("_joined") > limit, F.concat(F.substring("_joined", 1, limit - 3), F.lit("..."))
+    ).otherwise(F.col("_joined"))
+    return staged.withColumn("_t", F.when(too_long, capped).otherwise(text)).drop(
+        "_pieces", "_ordered", "_rest", "_count", "_rest_count", "_joined"
     )
-    return F.when(F.length(text) <= limit, text).otherwise(capped)
-
-
-# The steps in order; each is a function of one text column.
-CLEANING_STEPS = {
-    "spaced": lambda t: _spaced_labels(squeeze(t)),
-    "punctuated": lambda t: F.regexp_replace(
-        squeeze(tidy_punctuation(t)), rf"\.([{_LETTER}])", ". $1"
-    ),
-    "plain": without_promotion,
-    "pruned": pruned_attributes,
-    "merged": lambda t: squeeze(merged_sentences(t)),
-    "cased": sentence_starts,
-    "fitted": lambda t: squeeze(fitted(t)),
-}
 
 
 def _spaced_labels(text: Column) -> Column:
@@ -170,13 +156,16 @@ def _spaced_labels(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, rf"\.({names})", ". $1"), rf":({names})", ": $1")
 
 
-def clean_texts(df, column: str = "embedding_text", out: str = "embedding_text"):
-    """Clean a text column of a frame; a text that would become empty stays as it was.
+def clean_texts(df: DataFrame, column: str = "embedding_text") -> DataFrame:
+    """Clean a text column; a text that would become empty stays as it was."""
+    def step(work: DataFrame, fn) -> DataFrame:
+        return work.withColumn("_t", fn(F.col("_t")))
 
-    Every step is its own projection so that the next one refers to a column, not to the
-    whole expression before it.
-    """
     work = df.withColumn("_t", F.coalesce(F.col(column), F.lit("")))
-    for step in CLEANING_STEPS.values():
-        work = work.withColumn("_t", step(F.col("_t")))
-    return work.withColumn(out, F.when(F.col("_t") == "", F.col(column)).otherwise(F.col("_t"))).drop("_t")
+    work = step(work, lambda t: _spaced_labels(squeeze(t)))
+    work = step(work, lambda t: F.regexp_replace(squeeze(tidy_punctuation(t)), rf"\.([{_LETTER}])", ". $1"))
+    work = pruned_attributes(step(work, without_promotion))
+    work = step(merged_sentences(work), squeeze)
+    work = fitted(step(work, sentence_starts))
+    work = step(work, squeeze)
+    return work.withColumn(column, F.when(F.col("_t") == "", F.col(column)).otherwise(F.col("_t"))).drop("_t")

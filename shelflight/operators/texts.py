@@ -62,15 +62,8 @@ def compact_texts(attributes: DataFrame) -> DataFrame:
 
 
 def styled_texts(items: DataFrame, style: str) -> DataFrame:
-    """Texts of (item_id, title, store, main_category, raw_metadata) in one of the other styles."""
-    title, store, metadata = F.col("title"), F.col("store"), F.col("raw_metadata")
-    text = {
-        "labelled": lambda: et.labelled_text(title, F.col("main_category"), store, metadata),
-        "descriptive": lambda: et.descriptive_text(title, store, metadata),
-        "natural": lambda: et.natural_text(title, store, metadata),
-        "role": lambda: et.role_text(title, et.details_of(metadata)),
-    }[style]()
-    return items.select("item_id", text.alias("embedding_text"))
+    """Texts in one of the styles labelled, descriptive, natural, role."""
+    return et.styled_texts(items, style)
 
 
 def with_text(texts: DataFrame) -> DataFrame:

@@ -433,7 +433,7 @@ def descriptive_texts(spark, sf):
     return texts.styled_texts(_styled(spark, sf), "descriptive")
 
 
-block("natural", f"""
+block("natural_parts", f"""
   SELECT *, {sql_first("coalesce(nuse, '')", rules.CATEGORY_BY_USE_NATURAL, "'Beauty Products'")} AS ncategory,
     CASE WHEN nkind IS NOT NULL THEN 'This ' || nkind || CASE
            WHEN contains(nuse, 'makeup') OR contains(nuse, 'cosmetic') THEN ' is designed for '
@@ -447,7 +447,7 @@ block("natural", f"""
 block("natural2", """
   SELECT *, concat_ws(' ', title || '.', intro, told,
     CASE WHEN ncategory <> 'Beauty Products' THEN 'categorized under ' || ncategory END,
-    CASE WHEN NOT contains(lower(title), lower(brand)) THEN 'from ' || brand END) AS text FROM natural""", "natural")
+    CASE WHEN NOT contains(lower(title), lower(brand)) THEN 'from ' || brand END) AS text FROM natural_parts""", "natural_parts")
 
 
 @query("K16_natural_texts", with_blocks("""

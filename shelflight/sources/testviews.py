@@ -217,3 +217,23 @@ def cart_items(spark: SparkSession, sf: str) -> DataFrame:
         .groupBy(F.col("l_orderkey").alias("cart_id"), _text(F.col("l_partkey")).alias("asin"))
         .agg(F.sum(F.col("l_quantity").cast("bigint")).alias("quantity"))
     )
+
+
+def _borrowed_factors(ids: DataFrame, spark: SparkSession, sf: str, spread: int) -> DataFrame:
+    """Stand-in factors: each id takes the first 15 values of an embedding, and one more as its bias."""
+    vectors = read_table(spark, sf, "embeddings").select("vec_id", "embedding")
+    numbered = ids.withColumn("_count", vectors.agg(F.count("*")).scalar())
+    borrowed = numbered.withColumn("vec_id", F.pmod(F.col("id").cast("bigint") * spread, F.col("_count")))
+    return borrowed.join(vectors, "vec_id").select(
+        "id", F.slice("embedding", 1, 15).alias("factors"), F.get("embedding", F.lit(15)).cast("double").alias("bias")
+    )
+
+
+def user_factors(spark: SparkSession, sf: str) -> DataFrame:
+    users = read_table(spark, sf, "customer").select(_text(F.col("c_custkey")).alias("id"))
+    return _borrowed_factors(users, spark, sf, 7)
+
+
+def item_factors(spark: SparkSession, sf: str) -> DataFrame:
+    parts = read_table(spark, sf, "part").select(_text(F.col("p_partkey")).alias("id"))
+    return _borrowed_factors(parts, spark, sf, 3)

@@ -48,7 +48,8 @@ def _multiply(k: int, threshold: float | None):
                 ids = ids[order]
                 matrix = np.array([i["vec"] for i in row.items], dtype=np.float64)[order]
                 queries = np.array([q["query_id"] for q in row.queries], dtype=object)
-                scores = np.array([q["vec"] for q in row.queries], dtype=np.float64) @ matrix.T
+                # The order of summation differs between machines; without its noise equal scores are equal.
+                scores = np.round(np.array([q["vec"] for q in row.queries], dtype=np.float64) @ matrix.T, 9)
                 best = best_of_block(scores, k)
                 values = np.take_along_axis(scores, best, axis=1).ravel()
                 out = pd.DataFrame(

@@ -39,4 +39,4 @@ def load() -> None:
         importlib.import_module(f"shelflight.registry.{module}")
 
 
-MODULES = ["cleaning", "reporting", "activity", "texts", "recommending"]
+MODULES = ["cleaning", "reporting", "activity", "texts", "recommending", "streams"]

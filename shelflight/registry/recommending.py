@@ -19,6 +19,11 @@ def sql_dot(a: str, b: str) -> str:
     return f"list_dot_product({a}, {b})"
 
 
+def _interactions(spark, sf):
+    """Interactions as the earlier phase leaves them: a written table."""
+    return keep(testviews.interactions(spark, sf), "interactions")
+
+
 def _round(df, digits, *names):
     for n in names:
         df = df.withColumn(n, F.round(F.col(n), digits))
@@ -28,10 +33,9 @@ def _round(df, digits, *names):
 # --- G: vectors ----------------------------------------------------------------------
 
 block("neighbours", """
-  SELECT a.item_id AS query_id, b.item_id, list_cosine_similarity(a.embedding, b.embedding) AS score,
-         row_number() OVER (PARTITION BY a.item_id
-           ORDER BY list_cosine_similarity(a.embedding, b.embedding) DESC, b.item_id) AS position
-  FROM vectors a, vectors b""", "vectors")
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS position FROM (
+    SELECT a.item_id AS query_id, b.item_id, round(list_cosine_similarity(a.embedding, b.embedding), 9) AS score
+    FROM vectors a, vectors b)""", "vectors")
 
 
 @query("G1_unit_vectors", with_blocks("""
@@ -174,7 +178,7 @@ def mf_lookup(spark, sf):
 
 
 def _fitted(spark, sf):
-    core = inter.split_last_out(testviews.interactions(spark, sf))
+    core = inter.split_last_out(_interactions(spark, sf))
     return factors.fit_factors(core[0]), core
 
 
@@ -209,7 +213,7 @@ block("dataset", """
 
 
 def _dataset(spark, sf):
-    rows = testviews.interactions(spark, sf)
+    rows = _interactions(spark, sf)
     popular = popularity.normalize_popularity(popularity.popularity_stats(rows))
     return ranker.ranking_dataset(
         rows, testviews.user_factors(spark, sf), testviews.item_factors(spark, sf), popular
@@ -295,8 +299,8 @@ block("popular_recall", """
   QUALIFY pos <= 50""", "interactions", "popularity_norm", "refs")
 
 
-def _popular_recall(spark, sf):
-    rows = testviews.interactions(spark, sf)
+def _popular_recall(spark, sf, rows=None):
+    rows = _interactions(spark, sf) if rows is None else rows
     popular = popularity.normalize_popularity(popularity.popularity_stats(rows))
     # Equal counts give equal scores up to the last digit; rounding makes them equal outright.
     popular = popular.withColumn("popularity_score", F.round("popularity_score", 9))
@@ -327,8 +331,8 @@ block("content_recall", """
   QUALIFY pos <= 50""", "refs", "neighbours")
 
 
-def _content_recall(spark, sf):
-    rows = testviews.interactions(spark, sf)
+def _content_recall(spark, sf, rows=None):
+    rows = _interactions(spark, sf) if rows is None else rows
     v = testviews.item_vectors(spark, sf)
     return candidates.content_recall(_references(spark, sf, rows), nearest.similar_items(v, v, 60))
 
@@ -353,12 +357,14 @@ block("merged", """
       "bought", "content_recall", "popular_recall")
 
 
-def _merged(spark, sf):
+def _merged(spark, sf, rows=None):
     from shelflight.functions.common import top_per_group
 
-    rows = testviews.interactions(spark, sf)
+    rows = _interactions(spark, sf) if rows is None else rows
     bought = top_per_group(rows, ["user_id"], [F.desc("ts"), F.asc("item_id")], candidates.K_MF, "pos")
-    return candidates.merge_candidates(bought, _content_recall(spark, sf), _popular_recall(spark, sf))
+    return candidates.merge_candidates(
+        bought, _content_recall(spark, sf, rows), _popular_recall(spark, sf, rows)
+    )
 
 
 @query("I3_merged_candidates", with_blocks("SELECT * FROM merged", "merged"))
@@ -389,15 +395,15 @@ def _catalogue(spark, sf):
 
 
 def _features(spark, sf):
-    rows = testviews.interactions(spark, sf)
+    rows = _interactions(spark, sf)
     popular = popularity.normalize_popularity(popularity.popularity_stats(rows))
     content = nearest.weighted_content_scores(
         rows.select("user_id", "item_id").distinct(), _references(spark, sf, rows), testviews.item_vectors(spark, sf)
     )
     scored = factors.with_mf_score(
-        _merged(spark, sf), testviews.user_factors(spark, sf), testviews.item_factors(spark, sf)
+        _merged(spark, sf, rows), testviews.user_factors(spark, sf), testviews.item_factors(spark, sf)
     )
-    full = scoring.with_features(scored, popular, _catalogue(spark, sf), content)
+    full = keep(scoring.with_features(scored, popular, _catalogue(spark, sf), content), "features")
     return scoring.boosted(full, scoring.USER_PAGE_BOOST)
 
 
@@ -521,10 +527,10 @@ def _ruled(spark, sf):
 
 
 @query("I9_context_rules", with_blocks("""
-  SELECT user_id, item_id, round(adjusted_score, 6) AS adjusted_score, rules FROM ruled""", "ruled"))
+  SELECT user_id, item_id, round(adjusted_score, 10) AS adjusted_score, rules FROM ruled""", "ruled"))
 def context_rules(spark, sf):
     return _ruled(spark, sf).select(
-        "user_id", "item_id", F.round("adjusted_score", 6).alias("adjusted_score"), F.size("applied_rules").alias("rules")
+        "user_id", "item_id", F.round("adjusted_score", 10).alias("adjusted_score"), F.size("applied_rules").alias("rules")
     )
 
 
@@ -552,9 +558,8 @@ for _i in (1, 2, 3):
       SELECT * EXCLUDE (o), row_number() OVER (PARTITION BY user_id ORDER BY pool DESC, adjusted_score DESC, o) AS o
       FROM {_PREVIOUS}""", _PREVIOUS)
     block(f"pool{_i}", f"""
-      SELECT * REPLACE (adjusted_score * CASE WHEN top AND same / named > 0.25 THEN 0.7 ELSE 1.0 END
+      SELECT * EXCLUDE (top, same, named) REPLACE (adjusted_score * CASE WHEN top AND same / named > 0.25 THEN 0.7 ELSE 1.0 END
                                        * CASE WHEN top AND same > 4 THEN 0.5 ELSE 1.0 END AS adjusted_score)
-             EXCLUDE (top, same, named)
       FROM (SELECT *, pool AND o <= 40 AS top,
                    count(*) FILTER (pool AND o <= 40) OVER (PARTITION BY user_id, category) AS same,
                    count(*) FILTER (pool AND o <= 40) OVER (PARTITION BY user_id) AS named FROM pass{_i})""", f"pass{_i}")
@@ -562,10 +567,10 @@ for _i in (1, 2, 3):
 
 
 @query("I12_diversity", with_blocks("""
-  SELECT user_id, item_id, round(adjusted_score, 6) AS adjusted_score FROM pool3""", "pool3"))
+  SELECT user_id, item_id, round(adjusted_score, 10) AS adjusted_score FROM pool3""", "pool3"))
 def diversity(spark, sf):
     return rerank.diversify(_ruled(spark, sf)).select(
-        "user_id", "item_id", F.round("adjusted_score", 6).alias("adjusted_score")
+        "user_id", "item_id", F.round("adjusted_score", 10).alias("adjusted_score")
     )
 
 
@@ -580,12 +585,12 @@ def rule_audit(spark, sf):
 
 
 @query("I14_final_cut", with_blocks("""
-  SELECT user_id, position, item_id, round(adjusted_score, 6) AS adjusted_score FROM (
+  SELECT user_id, position, item_id, round(adjusted_score, 10) AS adjusted_score FROM (
     SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY adjusted_score DESC, rank_position) AS position FROM pool3)
   WHERE position <= 20""", "pool3"))
 def final_cut(spark, sf):
     return rerank.final_cut(rerank.diversify(_ruled(spark, sf))).select(
-        "user_id", "position", "item_id", F.round("adjusted_score", 6).alias("adjusted_score")
+        "user_id", "position", "item_id", F.round("adjusted_score", 10).alias("adjusted_score")
     )
 
 
@@ -682,7 +687,7 @@ def decorated(spark, sf):
 def recommendations(spark, sf):
     from shelflight.plans.recommend import Inputs, recommend
 
-    rows = keep(testviews.interactions(spark, sf), "interactions")
+    rows = _interactions(spark, sf)
     popular = popularity.normalize_popularity(popularity.popularity_stats(rows))
     logs = testviews.interaction_logs(spark, sf).withColumn("user_id", F.col("user_id").cast("string"))
     out = recommend(Inputs(
@@ -690,7 +695,7 @@ def recommendations(spark, sf):
         item_factors=testviews.item_factors(spark, sf), popularity=popular, items=_catalogue(spark, sf),
         vectors=testviews.item_vectors(spark, sf), logs=logs, as_of=logs.agg(F.max("ts")).scalar(),
     ))
-    return out.select("user_id", "position", "item_id", F.round("adjusted_score", 6).alias("adjusted_score"),
+    return out.select("user_id", "position", "item_id", F.round("adjusted_score", 10).alias("adjusted_score"),
                       "recall_count", "ranking_count")
 
 

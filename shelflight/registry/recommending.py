@@ -478,7 +478,7 @@ def ranked_without_model(spark, sf):
 block("ranked_list", """
   SELECT user_id, item_id, rank_score, row_number() OVER (PARTITION BY user_id ORDER BY rank_score DESC, item_id) AS rank_position
   FROM (SELECT CAST(o_custkey AS VARCHAR) AS user_id, CAST(l_partkey AS VARCHAR) AS item_id,
-               max(l_extendedprice) / 100000 AS rank_score
+               sqrt(max(l_extendedprice)) / 1000 AS rank_score
         FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2)""")
 block("context_recent", """
   SELECT CAST(user_id AS VARCHAR) AS user_id, item_id, min(pos) - 1 AS recent_pos FROM (
@@ -509,7 +509,7 @@ def _ranked_list(spark, sf):
     lines = read_table(spark, sf, "lineitem").join(read_table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     best = lines.groupBy(
         F.col("o_custkey").cast("string").alias("user_id"), F.col("l_partkey").cast("string").alias("item_id")
-    ).agg((F.max("l_extendedprice") / 100000).alias("rank_score"))
+    ).agg((F.sqrt(F.max("l_extendedprice")) / 1000).alias("rank_score"))
     w = Window.partitionBy("user_id").orderBy(F.desc("rank_score"), F.asc("item_id"))
     return best.withColumn("rank_position", F.row_number().over(w))
 
@@ -527,10 +527,10 @@ def _ruled(spark, sf):
 
 
 @query("I9_context_rules", with_blocks("""
-  SELECT user_id, item_id, round(adjusted_score, 10) AS adjusted_score, rules FROM ruled""", "ruled"))
+  SELECT user_id, item_id, round(adjusted_score, 8) AS adjusted_score, rules FROM ruled""", "ruled"))
 def context_rules(spark, sf):
     return _ruled(spark, sf).select(
-        "user_id", "item_id", F.round("adjusted_score", 10).alias("adjusted_score"), F.size("applied_rules").alias("rules")
+        "user_id", "item_id", F.round("adjusted_score", 8).alias("adjusted_score"), F.size("applied_rules").alias("rules")
     )
 
 
@@ -567,10 +567,10 @@ for _i in (1, 2, 3):
 
 
 @query("I12_diversity", with_blocks("""
-  SELECT user_id, item_id, round(adjusted_score, 10) AS adjusted_score FROM pool3""", "pool3"))
+  SELECT user_id, item_id, round(adjusted_score, 8) AS adjusted_score FROM pool3""", "pool3"))
 def diversity(spark, sf):
     return rerank.diversify(_ruled(spark, sf)).select(
-        "user_id", "item_id", F.round("adjusted_score", 10).alias("adjusted_score")
+        "user_id", "item_id", F.round("adjusted_score", 8).alias("adjusted_score")
     )
 
 
@@ -585,12 +585,12 @@ def rule_audit(spark, sf):
 
 
 @query("I14_final_cut", with_blocks("""
-  SELECT user_id, position, item_id, round(adjusted_score, 10) AS adjusted_score FROM (
+  SELECT user_id, position, item_id, round(adjusted_score, 8) AS adjusted_score FROM (
     SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY adjusted_score DESC, rank_position) AS position FROM pool3)
   WHERE position <= 20""", "pool3"))
 def final_cut(spark, sf):
     return rerank.final_cut(rerank.diversify(_ruled(spark, sf))).select(
-        "user_id", "position", "item_id", F.round("adjusted_score", 10).alias("adjusted_score")
+        "user_id", "position", "item_id", F.round("adjusted_score", 8).alias("adjusted_score")
     )
 
 
@@ -695,7 +695,7 @@ def recommendations(spark, sf):
         item_factors=testviews.item_factors(spark, sf), popularity=popular, items=_catalogue(spark, sf),
         vectors=testviews.item_vectors(spark, sf), logs=logs, as_of=logs.agg(F.max("ts")).scalar(),
     ))
-    return out.select("user_id", "position", "item_id", F.round("adjusted_score", 10).alias("adjusted_score"),
+    return out.select("user_id", "position", "item_id", F.round("adjusted_score", 8).alias("adjusted_score"),
                       "recall_count", "ranking_count")
 
 

@@ -18,7 +18,7 @@ _TTL = 6 * 3600
 def _log_stream(spark, sf):
     stream.prepare(spark)
     logs = testviews.interaction_logs(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    _, path = stream.as_stream(logs, "event-stream")
+    path = testviews.as_stream(logs, "event-stream")
     return stream.read_events(spark, path, _SCHEMA, files_per_trigger=1)
 
 
@@ -73,7 +73,7 @@ def trending_stream(spark, sf):
 def popularity_stream(spark, sf):
     stream.prepare(spark)
     rows = testviews.interactions(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    _, path = stream.as_stream(rows, "rating-stream")
+    path = testviews.as_stream(rows, "rating-stream")
     ratings = stream.read_events(spark, path, "user_id string, item_id string, rating double, ts timestamp", 1)
     out = stream.drain(
         stream.running_popularity(ratings), scratch_path(spark, "popularity"), "update", scratch_path(spark, "state")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from shelflight.operators import interactions as inter
 from shelflight.operators import reviews as rev
+from shelflight.session import scratch_path
 from shelflight.sources.tables import read_table
 
 # Product phrases appended to part names, by part size (1..50), so that every
@@ -237,3 +238,19 @@ def user_factors(spark: SparkSession, sf: str) -> DataFrame:
 def item_factors(spark: SparkSession, sf: str) -> DataFrame:
     parts = read_table(spark, sf, "part").select(_text(F.col("p_partkey")).alias("id"))
     return _borrowed_factors(parts, spark, sf, 3)
+
+
+def as_stream(df: DataFrame, label: str, rows_per_file: int = 1_000_000) -> str:
+    """Write a closed table as at least four time slices of bounded size, one after the other.
+
+    A file source takes files by their age, so the slices arrive in event-time order.
+    """
+    path = scratch_path(df.sparkSession, label)
+    first, last, rows = df.agg(F.min("ts"), F.max("ts"), F.count("*")).first()
+    parts = max(4, -(-rows // rows_per_file))
+    step = (last - first) / parts
+    for i in range(parts):
+        later = F.lit(True) if i == 0 else F.col("ts") >= F.lit(first + i * step)
+        sooner = F.lit(True) if i == parts - 1 else F.col("ts") < F.lit(first + (i + 1) * step)
+        df.filter(later & sooner).coalesce(1).write.mode("append").parquet(path)
+    return path

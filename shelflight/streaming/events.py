@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from shelflight.operators.activity import (
     RECENT_ITEMS, TTL_SECONDS, enriched, is_valid_type, rejected_events, valid_events,
 )
-from shelflight.session import scratch_path, shared_folder
+from shelflight.session import shared_folder
 
 WATERMARK = "30 minutes"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -169,10 +169,3 @@ def prepare(spark: SparkSession) -> SparkSession:
     shared_folder(spark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     return spark
-
-
-def as_stream(df: DataFrame, label: str, parts: int = 4) -> tuple[SparkSession, str]:
-    """Write a closed table as ``parts`` event-time ordered files for a file source."""
-    path = scratch_path(df.sparkSession, label)
-    df.repartitionByRange(parts, "ts").write.parquet(path)
-    return df.sparkSession, path

@@ -30,10 +30,16 @@ def tidy_punctuation(text: Column) -> Column:
 
 
 def without_promotion(text: Column) -> Column:
-    """Promotional phrases vanish together with the marks and blanks around them, one phrase after the other."""
+    """Promotional phrases vanish together with the marks and blanks around them, one phrase after the other.
+
+    A text without any phrase, the common case, is recognised by plain substring tests.
+    """
+    cleaned = text
     for phrase in rules.PROMO_PHRASES:
-        text = F.regexp_replace(text, rf"(?iu)[.,:;]?[\s\p{{Z}}]*{re.escape(phrase)}[\s\p{{Z}}]*[.,:;]?", "")
-    return text
+        cleaned = F.regexp_replace(
+            cleaned, rf"(?iu)[.,:;]?[\s\p{{Z}}]*{re.escape(phrase)}[\s\p{{Z}}]*[.,:;]?", ""
+        )
+    return F.when(contains_any(F.lower(text), rules.PROMO_PHRASES), cleaned).otherwise(text)
 
 
 def _split_stops(text: Column, pattern: str) -> Column:

@@ -34,19 +34,23 @@ def clean_title(title: Column, demographic: str = "exact") -> Column:
     ``demographic="substring"`` drops a token that contains an audience word or is
     contained in one; ``"exact"`` drops only the audience words themselves.
     """
-    noise = strings(rules.MEASUREMENT_TOKENS + rules.MARKETING_TOKENS)
-    audience = strings(rules.DEMOGRAPHIC_TOKENS)
+    noise = rules.MEASUREMENT_TOKENS + rules.MARKETING_TOKENS
+    audience = [w for w in rules.DEMOGRAPHIC_TOKENS if " " not in w]
     if demographic == "substring":
+        # A token has no blanks: it holds an audience word, or is a piece of a word of some phrase.
+        words = {word for phrase in rules.DEMOGRAPHIC_TOKENS for word in phrase.split(" ")}
+        pieces = sorted({w[i:j] for w in words for i in range(len(w)) for j in range(i + 1, len(w) + 1)})
+
         def addressed(t):
-            return F.exists(audience, lambda d: F.contains(t, d) | F.contains(d, t))
+            return t.rlike("|".join(audience)) | t.isin(*pieces)
     elif demographic == "exact":
         def addressed(t):
-            return F.array_contains(audience, t)
+            return t.isin(*audience)
     else:
         raise ValueError(f"unknown demographic mode: {demographic}")
     kept = F.filter(
         tokens_of(light_clean(title)),
-        lambda t: ~t.rlike(r"^\p{Nd}{3,}$") & ~F.array_contains(noise, t) & ~addressed(t),
+        lambda t: ~t.rlike(r"^\p{Nd}{3,}$") & ~t.isin(*noise) & ~addressed(t),
     )
     return F.array_join(F.slice(F.array_distinct(kept), 1, rules.MAX_TITLE_TOKENS), " ")
 

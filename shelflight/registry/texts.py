@@ -18,7 +18,7 @@ from shelflight.registry import query
 from shelflight.registry.ctes import block, quoted, with_blocks
 from shelflight.registry.reporting import rounded
 from shelflight.sources import testviews
-from shelflight.sources.tables import read_table
+from shelflight.sources.tables import read_table, spread
 
 
 def _lit(text: str) -> str:
@@ -80,8 +80,12 @@ for _name, _said in (
       GROUP BY titles.id""", "title_tokens", "titles")
 
 
+def _documents(spark, sf):
+    return spread(read_table(spark, sf, "documents"), "doc_id")
+
+
 def _titles(spark, sf):
-    docs = read_table(spark, sf, "documents").select(
+    docs = _documents(spark, sf).select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.col("text").alias("title")
     )
     meta = testviews.metadata_raw(spark, sf).select(F.col("parent_asin").alias("id"), "title")
@@ -302,7 +306,7 @@ def usage_features(spark, sf):
         nullif(trim(split_part(t, '?', 1)), ''), trim(t[1:100])) AS s
       FROM (SELECT doc_id, trim(text) AS t FROM documents)))""")
 def description_fallback(spark, sf):
-    return read_table(spark, sf, "documents").select(
+    return _documents(spark, sf).select(
         "doc_id", attr.description_fallback(F.array("text")).alias("description")
     )
 
@@ -489,7 +493,7 @@ def role_texts(spark, sf):
 
 @query("K18_cleaned_texts")
 def cleaned_texts(spark, sf):
-    docs = read_table(spark, sf, "documents").select(
+    docs = _documents(spark, sf).select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("item_id"), F.col("text").alias("embedding_text")
     )
     return texts.cleaned_texts(texts.styled_texts(_styled(spark, sf), "labelled").unionByName(docs))

@@ -12,6 +12,16 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal rows out over all cores when the table is fewer files than cores.
+
+    For work that costs far more than its input: a small file is one row group and would
+    otherwise be one task.  Big tables are many files and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
 def read_first(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
     """The first path that exists wins."""
     tried = []

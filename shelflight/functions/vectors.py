@@ -23,9 +23,3 @@ def unit(a: Column) -> Column:
     """x / |x| as doubles; null for a zero vector, which has no direction."""
     n = norm(a)
     return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n))
-
-
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity; 0.0 when a vector is missing or zero."""
-    d = norm(a) * norm(b)
-    return F.coalesce(F.when(d > 0, dot(a, b) / d), F.lit(0.0))

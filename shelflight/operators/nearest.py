@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelflight.functions.common import clip01, top_per_group
-from shelflight.functions.vectors import cosine, unit
+from shelflight.functions.vectors import dot, unit
+from shelflight.session import keep
 
 ITEM_BLOCK = 8192
 QUERY_CHUNK = 1024
@@ -195,10 +196,13 @@ def self_nearest(neighbours: DataFrame) -> DataFrame:
 
 def content_scores(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     """Cosine of (reference_id, item_id) pairs clipped to [0, 1]; a missing vector scores 0."""
-    refs = vectors.select(F.col("item_id").alias("reference_id"), F.col("embedding").alias("_ref"))
-    own = vectors.select("item_id", F.col("embedding").alias("_own"))
+    # Lengths are divided out once per vector, so that a pair costs one inner product.
+    units = keep(unit_items(vectors), "units")
+    refs = units.select(F.col("item_id").alias("reference_id"), F.col("vec").alias("_ref"))
+    own = units.select("item_id", F.col("vec").alias("_own"))
     joined = pairs.join(refs, "reference_id", "left").join(own, "item_id", "left")
-    return joined.withColumn("score", clip01(cosine(F.col("_ref"), F.col("_own")))).drop("_ref", "_own")
+    score = F.coalesce(dot(F.col("_ref"), F.col("_own")), F.lit(0.0))
+    return joined.withColumn("score", clip01(score)).drop("_ref", "_own")
 
 
 def weighted_content_scores(candidates: DataFrame, references: DataFrame, vectors: DataFrame) -> DataFrame:

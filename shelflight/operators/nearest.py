@@ -73,15 +73,16 @@ def _chunks(queries: DataFrame, *cells: str) -> DataFrame:
     return queries.groupBy(*cells).agg(F.collect_list(F.struct("query_id", "vec")).alias("queries"))
 
 
-def _paired(chunks: DataFrame, blocks: DataFrame, keys: list[str], n_blocks: int) -> DataFrame:
+def _paired(chunks: DataFrame, blocks: DataFrame, keys: list[str], n_blocks: int, n_chunks: int) -> DataFrame:
     """Bring chunks to the blocks with the same keys, on all tasks.
 
     Blocks are copied to a few salts and chunks dealt out over them, so that neither few
-    blocks nor one popular block leave executors idle.  The number of partitions is given
-    outright, because AQE would merge these small but costly partitions by their size.
+    blocks nor one popular block leave executors idle; more salts than chunks would only copy
+    blocks in vain.  The number of partitions is given outright, because AQE would merge these
+    small but costly partitions by their size.
     """
     tasks = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salts = max(1, math.ceil(4 * tasks / n_blocks))
+    salts = max(1, min(n_chunks, math.ceil(4 * tasks / n_blocks)))
     copies = blocks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     dealt = chunks.withColumn("_salt", F.pmod("_chunk", F.lit(salts)).cast("int"))
     keys = [*keys, "_salt"]
@@ -105,7 +106,7 @@ def top_k(
     chunks = _chunks(queries.withColumn("_chunk", _slot(F.col("query_id"), n_chunks)), "_chunk").withColumn(
         "_cell", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint")))
     )
-    work = _paired(chunks, blocks, ["_cell"], n_blocks)
+    work = _paired(chunks, blocks, ["_cell"], n_blocks, n_chunks)
     return _merge(work.mapInPandas(_multiply(k, threshold), _PAIR), k)
 
 
@@ -176,7 +177,7 @@ def approximate_similar_items(
         spread.join(loads, ["_cell", "_part"]).withColumn("_chunk", _slot(F.col("query_id"), F.col("_chunks"))),
         "_cell", "_part", "_chunk",
     )
-    work = _paired(chunks, blocks, ["_cell", "_part"], cells)
+    work = _paired(chunks, blocks, ["_cell", "_part"], cells, math.ceil(queries.count() / QUERY_CHUNK))
     return _merge(work.mapInPandas(_multiply(k, None), _PAIR), k)
 
 

@@ -53,3 +53,18 @@ def slices(texts: list[str | None], most: int = 16 << 20) -> Iterator[tuple[int,
         size += len(text or "")
     if start < len(texts):
         yield start, len(texts)
+
+
+def labelled_sample(labels: DataFrame, columns: list[str], most: int) -> dict[str, list]:
+    """At most ``most`` labelled rows, chosen by a hash of the id, as columns on the driver.
+
+    ``most`` is the documented bound of what a model is fitted on; nulls are left out.
+    """
+    known = labels.select("doc_id", *columns).dropna()
+    rows = known.orderBy(F.xxhash64("doc_id"), "doc_id", *columns).limit(most).toPandas()
+    return {c: rows[c].to_numpy() for c in rows.columns}
+
+
+def broadcast(df: DataFrame, value: object):
+    """A value of bounded size for the tasks of ``df``'s session."""
+    return df.sparkSession.sparkContext.broadcast(value)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelflight.llm import chat, line_dedup, mixing
+from shelflight.llm import chat, line_dedup, mixing, quality, toxicity
 from shelflight.llm.common import table
 from shelflight.session import tune
 
@@ -87,3 +87,19 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
         F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query("op6_toxicity")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    index = toxicity.fit(docs, table(spark, sf, "labels"))
+    return toxicity.score_documents(docs, index).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence",
+    )
+
+
+@query("op10_quality_rules")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return quality.judge_quality(docs, table(spark, sf, "labels"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelflight.llm import chat, line_dedup, mixing, quality, toxicity
+from shelflight.llm import chat, html_text, licenses, line_dedup, mixing, quality, toxicity
 from shelflight.llm.common import table
 from shelflight.session import tune
 
@@ -103,3 +103,13 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return quality.judge_quality(docs, table(spark, sf, "labels"))
+
+
+@query("op4_license_scan")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query("op8_html_text")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    return html_text.extract(table(spark, sf, "pages").select("page_id", "url", "html"))

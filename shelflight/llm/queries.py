@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelflight.llm import chat, html_text, licenses, line_dedup, mixing, quality, toxicity
+from shelflight.llm import chat, html_text, licenses, line_dedup, mixing, pii, quality, toxicity
 from shelflight.llm.common import table
 from shelflight.session import tune
 
@@ -113,3 +113,8 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
 @query("op8_html_text")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     return html_text.extract(table(spark, sf, "pages").select("page_id", "url", "html"))
+
+
+@query("op1_personal_data")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf, "documents").select("doc_id", "text"))

@@ -119,7 +119,8 @@ def drop_common_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_D
     mark = F.struct(F.xxhash64(body).alias("x"), F.xxhash64(F.lit(1), body).alias("y"))
     placed = docs.select(mark.alias("_mark"), F.posexplode(key_hashes(F.col(text), min_chars)).alias("_at", "_key"))
     hit = placed.filter(F.col("_key").isNotNull()).select("_mark", "_at", "_key.a", "_key.b").join(settled, ["a", "b"])
-    drops = hit.groupBy("_mark").agg(F.array_sort(F.collect_set("_at")).alias("_drops"))
+    # Written, so that both sides of the join below are plain exchanges that AQE can split for a text of many copies.
+    drops = keep(hit.groupBy("_mark").agg(F.array_sort(F.collect_set("_at")).alias("_drops")), "line-drops")
     marked = docs.withColumn("_mark", mark).join(drops, "_mark", "left").drop("_mark")
     marked = marked.withColumn("_lines", lines(F.col(text))).withColumn(
         "_drops", F.coalesce("_drops", F.array().cast("array<int>"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelflight.llm import chat, html_text, licenses, line_dedup, mixing, pii, quality, toxicity
+from shelflight.llm import chat, decontaminate, html_text, licenses, line_dedup, mixing, pii, quality, toxicity
 from shelflight.llm.common import table
 from shelflight.session import tune
 
@@ -118,3 +118,44 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 @query("op1_personal_data")
 def op1(spark: SparkSession, sf: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+_TOKENS = f"regexp_extract_all({_LOWER.format('coalesce(text, chr(32))')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+@query("op3_decontaminate", f"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, {_TOKENS} AS w FROM documents),
+item AS (SELECT item_id, {_TOKENS} AS w FROM benchmark),
+sized AS (SELECT item_id, w, least(10, len(w)) AS n FROM item WHERE len(w) > 0),
+win AS (
+    SELECT DISTINCT item_id, n, array_to_string(list_slice(w, p, p + n - 1), ' ') AS key
+    FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS p FROM sized)
+),
+place AS (
+    SELECT r, p, n, array_to_string(list_slice(w, p, p + n - 1), ' ') AS key
+    FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS p
+          FROM doc, (SELECT DISTINCT n FROM win) AS lengths WHERE len(w) >= n)
+),
+hit AS (SELECT r, p, place.n, item_id FROM place JOIN win ON place.key = win.key AND place.n = win.n),
+word AS (SELECT r, count(DISTINCT pos) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS pos FROM hit) GROUP BY r),
+named AS (
+    SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+    FROM (SELECT DISTINCT r, item_id::VARCHAR AS id FROM hit) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN word USING (r) LEFT JOIN named USING (r)
+""")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    marked = decontaminate.mark(docs, table(spark, sf, "benchmark"))
+    n_hit = F.aggregate(
+        F.sequence(F.lit(1), F.floor(F.size("_spans") / 2)),
+        F.lit(0).cast("long"),
+        lambda total, i: total + F.element_at("_spans", (2 * i).cast("int")) - F.element_at("_spans", (2 * i - 1).cast("int")),
+    )
+    n_hit = F.when(F.size("_spans") > 0, n_hit).otherwise(F.lit(0).cast("long"))
+    return marked.select(
+        "doc_id", F.col("_words").alias("n_words"), n_hit.alias("n_hit"), F.size("_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"), (F.size("_spans") > 0).alias("contaminated"),
+    )

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelflight.llm import line_dedup, mixing
+from shelflight.llm import decontaminate, line_dedup, mixing, ngram_join, toxicity
+from shelflight.llm.common import table
 from shelflight.session import scratch_path, tune
 
 
@@ -15,18 +16,36 @@ def rewritten(docs: DataFrame, columns: list[str]) -> DataFrame:
     return docs.select(*[new[c].alias(c) if c in new else F.col(c) for c in columns])
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.5 or more go; the examples are labelled rows among ``docs``."""
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in ten documents or more go from all of them; every document stays."""
     return rewritten(line_dedup.drop_common_lines(docs), docs.columns)
 
 
+def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of similar texts stays, the one with the smallest id."""
+    return ngram_join.one_per_class(docs)
+
+
+def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of the benchmark are cut out of the texts; every document stays."""
+    return rewritten(decontaminate.without_benchmark(docs, table(spark, sf_dir, "benchmark")), docs.columns)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the mix takes: a row per document with the number of its copies, 1 or more."""
     return mixing.mix(docs).filter(F.col("copies") > 0)
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
     ("line_dedup", dedup_lines),
+    ("ngram_join", join_near_copies),
+    ("decontamination", cut_benchmark),
     ("mixing", mix_sources),
 ]
 

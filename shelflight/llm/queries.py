@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelflight.llm import chat, decontaminate, html_text, licenses, line_dedup, mixing, pii, quality, toxicity
+from shelflight.llm import chat, decontaminate, html_text, licenses, line_dedup, mixing, ngram_join, pii, quality, toxicity
 from shelflight.llm.common import table
 from shelflight.session import tune
 
@@ -159,3 +159,10 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", F.col("_words").alias("n_words"), n_hit.alias("n_hit"), F.size("_items").cast("long").alias("n_items"),
         F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"), (F.size("_spans") > 0).alias("contaminated"),
     )
+
+
+@query("op5_ngram_join")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.link(table(spark, sf, "documents").select("doc_id", "text")).select(
+        "doc_id", "class_id", "n_links", "n_copies", "class_size"
+    )

@@ -6,16 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelflight.llm import decontaminate, line_dedup, mixing, ngram_join, toxicity
-from shelflight.llm.common import table
+from shelflight.llm.common import table, unwrapped
 from shelflight.session import scratch_path, tune
 
 
-def rewritten(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """``docs`` with ``_kept`` as its text and the character count that goes with it."""
-    new = {"text": F.col("_kept"), "n_chars": F.length("_kept").cast("long")}
-    return docs.select(*[new[c].alias(c) if c in new else F.col(c) for c in columns])
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more go; the examples are labelled rows among ``docs``."""
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
@@ -23,7 +17,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in ten documents or more go from all of them; every document stays."""
-    return rewritten(line_dedup.drop_common_lines(docs), docs.columns)
+    return unwrapped(line_dedup.drop_common_lines(docs), docs.columns)
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +27,7 @@ def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of the benchmark are cut out of the texts; every document stays."""
-    return rewritten(decontaminate.without_benchmark(docs, table(spark, sf_dir, "benchmark")), docs.columns)
+    return unwrapped(decontaminate.without_benchmark(docs, table(spark, sf_dir, "benchmark")), docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

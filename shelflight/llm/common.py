@@ -30,6 +30,17 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def wrapped(df: DataFrame) -> DataFrame:
+    """Every row as one struct ``row``: what an operator adds beside it can clash with no column."""
+    return df.select(F.struct(*[df[c] for c in df.columns]).alias("row"))
+
+
+def unwrapped(df: DataFrame, columns: list[str], text: str = "kept") -> DataFrame:
+    """The columns of ``row`` with the new text in place, and the character count that goes with it."""
+    new = {"text": F.col(text), "n_chars": F.length(text).cast("long")}
+    return df.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in columns])
+
+
 def map_batches(
     df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: StructType | str
 ) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelflight.llm.common import _WORD, broadcast, map_batches, slices, words
+from shelflight.llm.common import _WORD, broadcast, map_batches, slices, words, wrapped
 
 WINDOW, BLOCK_CHARS, SHARD_CHARS, SAMPLE = 10, 32 << 20, 8 << 20, 8
 
@@ -234,25 +234,24 @@ def benchmark_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS, windo
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``docs`` with ``_words`` (their number), ``_spans`` (flat merged word spans) and ``_items``."""
-    plain = docs.columns
-    df = docs.withColumns({
-        "_words": F.lit(0).cast("long"), "_spans": F.array().cast("array<long>"), "_items": F.array().cast("array<string>"),
-    })
-    column = plain.index("text")
+    """(row, n_words, spans, items): the row as it was, flat merged word spans, item ids."""
+    df = wrapped(docs).select(
+        "row", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("spans"),
+        F.array().cast("array<string>").alias("items"),
+    )
     for windows in benchmark_blocks(benchmark, block_chars):
         shared = broadcast(docs, windows)
 
         def run(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
-            texts, found = batch.column(column).to_pylist(), []
+            texts, found = batch.column("row").field("text").to_pylist(), []
             for a, b in slices(texts, SHARD_CHARS):
                 found += search(texts[a:b], shared.value)
-            n = len(plain)
-            spans = [_merged(old, new[1]) for old, new in zip(batch.column(n + 1).to_pylist(), found, strict=True)]
-            items = [sorted({*old, *new[2]}) for old, new in zip(batch.column(n + 2).to_pylist(), found, strict=True)]
-            columns = [pa.array([f[0] for f in found], pa.int64()), pa.array(spans, pa.list_(pa.int64())),
-                       pa.array(items, pa.list_(pa.string()))]
-            return pa.RecordBatch.from_arrays([*batch.columns[:n], *columns], names=batch.schema.names)
+            spans = [_merged(old, new[1]) for old, new in zip(batch.column("spans").to_pylist(), found, strict=True)]
+            items = [sorted({*old, *new[2]}) for old, new in zip(batch.column("items").to_pylist(), found, strict=True)]
+            return pa.RecordBatch.from_arrays(
+                [batch.column("row"), pa.array([f[0] for f in found], pa.int64()), pa.array(spans, pa.list_(pa.int64())),
+                 pa.array(items, pa.list_(pa.string()))], ["row", "n_words", "spans", "items"],
+            )
 
         df = map_batches(df, run, df.schema)
     return df
@@ -270,18 +269,12 @@ def cut_spans(text: str, spans: list[int]) -> str:
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` with the column ``_kept``: the text with all benchmark spans cut out."""
-    marked = mark(docs, benchmark)
-    column, n = docs.columns.index("text"), len(docs.columns)
-    schema = marked.drop("_words", "_spans", "_items").withColumn("_kept", F.lit("")).schema
+    """(row, kept): the row as it was, and its text with all benchmark spans cut out."""
+    marked = mark(docs, benchmark).select("row", "spans")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        kept = [
-            cut_spans(text, spans) if spans else text or ""
-            for text, spans in zip(batch.column(column).to_pylist(), batch.column(n + 1).to_pylist(), strict=True)
-        ]
-        return pa.RecordBatch.from_arrays(
-            [*batch.columns[:n], pa.array(kept, pa.string())], names=[*batch.schema.names[:n], "_kept"]
-        )
-
-    return map_batches(marked, run, schema)
+        texts, spans = batch.column("row").field("text").to_pylist(), batch.column("spans").to_pylist()
+        kept = [cut_spans(t, s) if s else t or "" for t, s in zip(texts, spans, strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.string())], ["row", "kept"])
+
+    return map_batches(marked, run, marked.select("row", F.lit("").alias("kept")).schema)

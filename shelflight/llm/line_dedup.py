@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelflight.llm.common import SPACE, ascii_lower
+from shelflight.llm.common import SPACE, ascii_lower, wrapped
 from shelflight.session import keep
 
 MIN_DOCS, MIN_CHARS = 10, 1
@@ -109,32 +109,31 @@ def common_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS,
 
 
 def drop_common_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with the columns ``_kept`` (text), ``_n_lines`` and ``_n_dropped`` added.
+    """(row, kept, n_lines, n_dropped): the row as it was, its kept text and its counts.
 
     Only hashes travel to the settled keys; what comes back is, per distinct text, the sorted
     positions of its dropped lines.  Texts are shuffled once, by their own hash.
     """
     settled = common_lines(docs, text, min_docs, min_chars)
-    body = F.coalesce(F.col(text), F.lit(""))
-    mark = F.struct(F.xxhash64(body).alias("x"), F.xxhash64(F.lit(1), body).alias("y"))
-    placed = docs.select(mark.alias("_mark"), F.posexplode(key_hashes(F.col(text), min_chars)).alias("_at", "_key"))
-    hit = placed.filter(F.col("_key").isNotNull()).select("_mark", "_at", "_key.a", "_key.b").join(settled, ["a", "b"])
+    body = F.coalesce(F.col(f"row.`{text}`"), F.lit(""))
+    marked = wrapped(docs).select(
+        "row", body.alias("body"), F.struct(F.xxhash64(body).alias("x"), F.xxhash64(F.lit(1), body).alias("y")).alias("mark")
+    )
+    placed = marked.select("mark", F.posexplode(key_hashes(F.col("body"), min_chars)).alias("at", "key"))
+    hit = placed.filter(F.col("key").isNotNull()).select("mark", "at", "key.a", "key.b").join(settled, ["a", "b"])
     # Written, so that both sides of the join below are plain exchanges that AQE can split for a text of many copies.
-    drops = keep(hit.groupBy("_mark").agg(F.array_sort(F.collect_set("_at")).alias("_drops")), "line-drops")
-    marked = docs.withColumn("_mark", mark).join(drops, "_mark", "left").drop("_mark")
-    marked = marked.withColumn("_lines", lines(F.col(text))).withColumn(
-        "_drops", F.coalesce("_drops", F.array().cast("array<int>"))
+    drops = keep(hit.groupBy("mark").agg(F.array_sort(F.collect_set("at")).alias("drops")), "line-drops")
+    cut = marked.join(drops, "mark", "left").select(
+        "row", "body", lines(F.col("body")).alias("lines"), F.coalesce("drops", F.array().cast("array<int>")).alias("drops")
     )
     # The kept lines are the stretches between dropped ones.
-    edges = F.concat(F.array(F.lit(-1)), F.col("_drops"), F.array(F.size("_lines")))
+    edges = F.concat(F.array(F.lit(-1)), F.col("drops"), F.array(F.size("lines")))
     stretches = F.transform(
-        F.sequence(F.lit(1), F.size("_drops") + 1),
-        lambda i: F.slice("_lines", F.element_at("_edges", i) + 2,
-                          F.element_at("_edges", i + 1) - F.element_at("_edges", i) - 1),
+        F.sequence(F.lit(1), F.size("drops") + 1),
+        lambda i: F.slice("lines", F.element_at("edges", i) + 2,
+                          F.element_at("edges", i + 1) - F.element_at("edges", i) - 1),
+    )
+    kept = F.when(F.size("drops") == 0, F.col("body")).otherwise(F.array_join(F.flatten(stretches), "\n"))
+    return cut.withColumn("edges", edges).select(
+        "row", kept.alias("kept"), F.size("lines").cast("long").alias("n_lines"), F.size("drops").cast("long").alias("n_dropped")
     )
-    return marked.withColumn("_edges", edges).withColumn(
-        "_kept", F.when(F.size("_drops") == 0, F.coalesce(F.col(text), F.lit("")))
-        .otherwise(F.array_join(F.flatten(stretches), "\n"))
-    ).withColumn("_n_lines", F.size("_lines").cast("long")).withColumn(
-        "_n_dropped", F.size("_drops").cast("long")
-    ).drop("_lines", "_drops", "_edges")

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelflight.llm.common import map_batches, words
+from shelflight.llm.common import map_batches, words, wrapped
 from shelflight.session import keep
 
 SHINGLE, BANDS, ROWS, STEP, TOLERANCE = 5, 24, 5, 24, 1e-6
@@ -393,12 +393,12 @@ def link(docs: DataFrame) -> DataFrame:
 
 def one_per_class(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that head their class: the smallest doc_id, once."""
-    heads = link(docs).filter(
+    heads = link(docs.select("doc_id", "text")).filter(
         F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("mark") == F.col("class_mark"))
-    ).select(F.struct("doc_id", "mark").alias("_row")).distinct()
-    marked = docs.withColumn("_row", F.struct(
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark")
+    ).select(F.struct("doc_id", "mark").alias("name")).distinct()
+    named = wrapped(docs).withColumn("name", F.struct(
+        F.col("row.doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("row.text", F.lit(""))).alias("mark")
     ))
-    once = Window.partitionBy("_row").orderBy("_row")
-    first = marked.join(heads, "_row", "left_semi").withColumn("_at", F.row_number().over(once)).filter("_at = 1")
-    return first.drop("_row", "_at")
+    once = Window.partitionBy("name").orderBy("name")
+    first = named.join(heads, "name", "left_semi").withColumn("at", F.row_number().over(once)).filter("at = 1")
+    return first.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -46,8 +46,7 @@ FROM keyed LEFT JOIN common USING (key) GROUP BY r, doc_id
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return line_dedup.drop_common_lines(docs).select(
-        "doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"),
-        F.sha2("_kept", 256).alias("kept_sha256"),
+        "row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256")
     )
 
 
@@ -149,15 +148,15 @@ FROM doc LEFT JOIN word USING (r) LEFT JOIN named USING (r)
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     marked = decontaminate.mark(docs, table(spark, sf, "benchmark"))
-    n_hit = F.aggregate(
-        F.sequence(F.lit(1), F.floor(F.size("_spans") / 2)),
-        F.lit(0).cast("long"),
-        lambda total, i: total + F.element_at("_spans", (2 * i).cast("int")) - F.element_at("_spans", (2 * i - 1).cast("int")),
+    sizes = F.transform(
+        F.sequence(F.lit(1), F.floor(F.size("spans") / 2).cast("int")),
+        lambda i: F.element_at("spans", 2 * i) - F.element_at("spans", 2 * i - 1),
     )
-    n_hit = F.when(F.size("_spans") > 0, n_hit).otherwise(F.lit(0).cast("long"))
+    n_hit = F.aggregate(sizes, F.lit(0).cast("long"), lambda total, n: total + n)
     return marked.select(
-        "doc_id", F.col("_words").alias("n_words"), n_hit.alias("n_hit"), F.size("_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"), (F.size("_spans") > 0).alias("contaminated"),
+        "row.doc_id", "n_words", F.when(F.size("spans") > 0, n_hit).otherwise(F.lit(0).cast("long")).alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
     )
 
 

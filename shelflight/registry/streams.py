@@ -15,10 +15,10 @@ _SCHEMA = "event_id bigint, user_id bigint, asin string, event_type string, ts t
 _TTL = 6 * 3600
 
 
-def _log_stream(spark, sf):
+def _log_stream(spark, sf, disorder_seconds=0):
     stream.prepare(spark)
     logs = testviews.interaction_logs(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    path = testviews.as_stream(logs, "event-stream")
+    path = testviews.as_stream(logs, "event-stream", disorder_seconds=disorder_seconds)
     return stream.read_events(spark, path, _SCHEMA, files_per_trigger=1)
 
 
@@ -36,21 +36,36 @@ def event_log_stream(spark, sf):
     )
 
 
+# The list and the counts after a user's last event, from all events in order; the stream gets them out of order.
 @query("L3_context_stream", with_blocks(f"""
-  SELECT user_id, string_agg(asin, ',' ORDER BY pos) AS recent_items FROM (
-    SELECT CAST(user_id AS VARCHAR) AS user_id, asin, pos,
-           max(CASE WHEN date_diff('microsecond', ts, later) >= {_TTL * 1000000} THEN 1 ELSE 0 END)
-             OVER (PARTITION BY user_id ORDER BY pos) AS expired
-    FROM (SELECT user_id, asin, ts, row_number() OVER w AS pos, coalesce(lag(ts) OVER w, ts) AS later
-          FROM logs WINDOW w AS (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)))
-  WHERE expired = 0 AND pos <= 20 GROUP BY 1""", "logs"))
+  SELECT user_id, recent_items, recent_categories, last_active FROM (
+    SELECT user_id, list(asin ORDER BY pos) FILTER (expired = 0 AND pos <= 20) AS recent_items,
+           epoch_us(max(ts)) // 1000000 AS last_active
+    FROM (SELECT CAST(user_id AS VARCHAR) AS user_id, asin, pos, ts,
+                 max(CASE WHEN date_diff('microsecond', ts, later) >= {_TTL * 1000000} THEN 1 ELSE 0 END)
+                   OVER (PARTITION BY user_id ORDER BY pos) AS expired
+          FROM (SELECT user_id, asin, ts, row_number() OVER w AS pos, coalesce(lag(ts) OVER w, ts) AS later
+                FROM logs WINDOW w AS (PARTITION BY user_id ORDER BY ts DESC, event_id DESC))) GROUP BY 1)
+  JOIN (
+    SELECT user_id, string_agg(category || '=' || n, ',' ORDER BY category) AS recent_categories FROM (
+      SELECT user_id, category, count(*) AS n FROM (
+        SELECT CAST(user_id AS VARCHAR) AS user_id, event_type AS category, pos,
+               max(CASE WHEN date_diff('microsecond', ts, later) >= {_TTL * 1000000} THEN 1 ELSE 0 END)
+                 OVER (PARTITION BY user_id ORDER BY pos) AS expired
+        FROM (SELECT user_id, event_type, ts, row_number() OVER w AS pos, coalesce(lag(ts) OVER w, ts) AS later
+              FROM logs WINDOW w AS (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)))
+      WHERE expired = 0 GROUP BY 1, 2) GROUP BY 1) USING (user_id)""", "logs"))
 def context_stream(spark, sf):
-    """What every user's list held after the user's last event."""
-    events = _log_stream(spark, sf).withColumn("category", F.col("event_type"))
+    """What every user's context held after the user's last event; slices overlap by up to twenty minutes."""
+    events = _log_stream(spark, sf, disorder_seconds=600).withColumn("category", F.col("event_type"))
     out = stream.drain(
         stream.context_updates(events, _TTL), scratch_path(spark, "context"), "update", scratch_path(spark, "state")
     )
-    return first_per_group(out, ["user_id"], [F.desc("updated")]).select("user_id", "recent_items")
+    last = first_per_group(out, ["user_id"], [F.desc("batch")])
+    counts = F.transform(
+        F.array_sort(F.map_entries("recent_categories")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))
+    )
+    return last.select("user_id", "recent_items", F.array_join(counts, ",").alias("recent_categories"), "last_active")
 
 
 @query("L6_trending_stream", with_blocks("""

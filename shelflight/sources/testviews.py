@@ -240,17 +240,24 @@ def item_factors(spark: SparkSession, sf: str) -> DataFrame:
     return _borrowed_factors(parts, spark, sf, 3)
 
 
-def as_stream(df: DataFrame, label: str, rows_per_file: int = 1_000_000) -> str:
-    """Write a closed table as at least four time slices of bounded size, one after the other.
+def as_stream(df: DataFrame, label: str, slices: int = 6, disorder_seconds: int = 0) -> str:
+    """Write a closed table in one pass as time slices, a file each, that a file source reads in order.
 
-    A file source takes files by their age, so the slices arrive in event-time order.
+    With ``disorder_seconds`` every row is placed by its time plus a hash of the row within that
+    many seconds before or after, so neighbouring slices overlap by up to twice as much.  A file
+    source takes files by their age; the ages are set from the slice numbers.
     """
     path = scratch_path(df.sparkSession, label)
-    first, last, rows = df.agg(F.min("ts"), F.max("ts"), F.count("*")).first()
-    parts = max(4, -(-rows // rows_per_file))
-    step = (last - first) / parts
-    for i in range(parts):
-        later = F.lit(True) if i == 0 else F.col("ts") >= F.lit(first + i * step)
-        sooner = F.lit(True) if i == parts - 1 else F.col("ts") < F.lit(first + (i + 1) * step)
-        df.filter(later & sooner).coalesce(1).write.mode("append").parquet(path)
+    place = F.unix_micros(F.col("ts").cast("timestamp"))
+    if disorder_seconds:
+        spread = 2 * disorder_seconds * 1_000_000
+        place = place + F.pmod(F.xxhash64(*df.columns), F.lit(spread)) - F.lit(spread // 2)
+    placed = df.withColumn("_place", place).repartitionByRange(slices, "_place").drop("_place")
+    placed.write.parquet(path)
+    hadoop = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(path)
+    store = folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    names = sorted(f.getPath().toString() for f in store.listStatus(folder) if f.getPath().getName().startswith("part-"))
+    for number, name in enumerate(names):  # names only, as many as slices
+        store.setTimes(hadoop.Path(name), 1_000_000_000_000 + 1000 * number, -1)
     return path

@@ -65,16 +65,43 @@ def running_popularity(ratings: DataFrame) -> DataFrame:
 
 
 CONTEXT_SCHEMA = (
-    "user_id string, recent_items string, recent_categories string, last_active bigint, updated double"
+    "user_id string, recent_items array<string>, recent_categories map<string,bigint>, last_active bigint, updated double"
 )
 
 
+def newest_run(events: list[tuple[float, int, str]], ttl: float) -> list[str]:
+    """Items of events sorted newest first, up to the first pause of ``ttl`` or more."""
+    out: list[str] = []
+    later = None
+    for at, _, asin in events:
+        if later is not None and later - at >= ttl:
+            break
+        out.append(asin)
+        later = at
+    return out
+
+
+def merge_chains(chains: list[list], ttl: float) -> list[list]:
+    """Stretches (first, last, counts) of activity, joined where less than ``ttl`` lies between them."""
+    out: list[list] = []
+    for first, last, counts in sorted(chains, key=lambda c: (c[0], c[1])):
+        if out and first - out[-1][1] < ttl:
+            out[-1][1] = max(out[-1][1], last)
+            for name, n in counts.items():
+                out[-1][2][name] = out[-1][2].get(name, 0) + n
+        else:
+            out.append([first, last, dict(counts)])
+    return out
+
+
 class RecentContext(StatefulProcessor):
-    """Per user: the newest items, category counts and the last activity, each with a life of its own.
+    """Per user: the newest items, category counts and the last activity, whatever the order of arrival.
 
-    State is three single values of bounded size: a list of at most ``limit`` items, the
-    category counts, and the times both were renewed.  What is older than the life when the
-    next event arrives starts anew; an event-time timer clears users nobody hears of again.
+    State is two small values.  The newest ``limit`` events with their times: a late event takes
+    the place its time gives it.  And stretches of categorised activity without a pause of ``ttl``:
+    a late event may extend or bridge them, so an older stretch is kept until the watermark rules
+    that out, which leaves one or two.  Frames are folded one by one, never gathered.  An
+    event-time timer, never moved back, clears users nobody hears of again.
     """
 
     def __init__(self, ttl: int = TTL_SECONDS, limit: int = RECENT_ITEMS):
@@ -83,42 +110,45 @@ class RecentContext(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.items = handle.getValueState("items", "asins string, at double")
-        self.categories = handle.getValueState("categories", "counts string, at double")
+        self.items = handle.getValueState("items", "newest string, at double")
+        self.categories = handle.getValueState("categories", "chains string")
+
+    def fold(self, newest: list, chains: list, frame: pd.DataFrame) -> tuple[list, list]:
+        """State after one more frame of events in any order."""
+        top = frame.nlargest(self.limit, ["at", "event_id"])
+        rows = [(float(a), int(e), s) for a, e, s in zip(top["at"], top["event_id"], top["asin"], strict=True)]
+        newest = sorted([*map(tuple, newest), *rows], key=lambda r: (-r[0], -r[1]))[: self.limit]
+        named = frame[frame["category"].notna() & (frame["category"] != "")].sort_values("at")
+        if len(named):
+            part = (named["at"].diff() >= self.ttl).cumsum()
+            for _, rows_ in named.groupby(part):
+                counts = {c: int(n) for c, n in rows_["category"].value_counts().items()}
+                chains = [*chains, [float(rows_["at"].iloc[0]), float(rows_["at"].iloc[-1]), counts]]
+        return newest, merge_chains(chains, self.ttl)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         import json
 
-        batch = pd.concat(list(rows))[["at", "event_id", "asin", "category"]].sort_values(["at", "event_id"])
-        asins, item_at = [], None
+        newest, chains, item_at = [], [], None
         if self.items.exists():
             text, item_at = self.items.get()
-            asins = json.loads(text)
-        counts, category_at = {}, None
+            newest = json.loads(text)
         if self.categories.exists():
-            text, category_at = self.categories.get()
-            counts = json.loads(text)
-        for at, _, asin, category in batch.itertuples(index=False):
-            if item_at is not None and at - item_at >= self.ttl:
-                asins = []
-            asins = [asin, *asins][: self.limit]
-            item_at = at
-            if category:
-                if category_at is not None and at - category_at >= self.ttl:
-                    counts = {}
-                counts[category] = counts.get(category, 0) + 1
-                category_at = at
-        self.items.update((json.dumps(asins), float(item_at)))
-        if category_at is not None:
-            self.categories.update((json.dumps(counts), float(category_at)))
-            if item_at - category_at >= self.ttl:
-                counts = {}
+            chains = json.loads(self.categories.get()[0])
+        for frame in rows:
+            newest, chains = self.fold(newest, chains, frame)
+        item_at = newest[0][0] if item_at is None else max(item_at, newest[0][0])
+        watermark = timerValues.getCurrentWatermarkInMs() / 1000
+        # An older stretch matters while an event that is not yet too late could bridge the pause after it.
+        chains = [c for i, c in enumerate(chains) if i + 1 == len(chains) or chains[i + 1][0] > watermark]
+        self.items.update((json.dumps(newest), float(item_at)))
+        self.categories.update((json.dumps(chains),))
+        live = chains[-1][2] if chains and item_at - chains[-1][1] < self.ttl else {}
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(int((item_at + self.ttl) * 1000))
         yield pd.DataFrame({
-            "user_id": [key[0]], "recent_items": [",".join(asins)],
-            "recent_categories": [",".join(f"{c}={n}" for c, n in sorted(counts.items()))],
+            "user_id": [key[0]], "recent_items": [newest_run(newest, self.ttl)], "recent_categories": [live],
             "last_active": [int(item_at // 1)], "updated": [float(item_at)],
         })
 

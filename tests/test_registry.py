@@ -12,7 +12,7 @@ ROOT = Path(__file__).resolve().parents[1]
 def test_every_twin_has_a_query():
     queries, oracles = entry.queries(), entry.oracle_sql()
     assert set(oracles) <= set(queries) and len(queries) > 100
-    assert all(re.match(r"^[A-M]\d+_[a-z0-9_]+$", name) for name in queries)
+    assert all(re.match(r"^([A-M]|op)\d+_[a-z0-9_]+$|^pipeline$", name) for name in queries)
 
 
 def test_entry(spark):
@@ -62,5 +62,45 @@ def test_context_stream_equals_batch(spark, sf):
     for name in ("events",):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
     want = sorted(con.execute(entry.oracle_sql()["L3_context_stream"]).fetchall())
-    got = sorted(tuple(r) for r in entry.queries()["L3_context_stream"](spark, sf).select("user_id", "recent_items").collect())
+    got = sorted(tuple(r) for r in entry.queries()["L3_context_stream"](spark, sf).collect())
     assert got == want
+
+
+def test_context_folds_events_in_any_order():
+    import random
+
+    import pandas as pd
+
+    from shelflight.streaming.events import RecentContext, newest_run
+
+    context = RecentContext(ttl=900, limit=3)
+    def run(*batches):
+        newest, chains = [], []
+        for batch in batches:
+            newest, chains = context.fold(newest, chains, pd.DataFrame(batch, columns=["at", "event_id", "asin", "category"]))
+        return newest_run(newest, 900), newest[0][0], chains[-1][2] if chains else {}
+    a, b, c = (1000.0, 1, "A", "x"), (1200.0, 2, "B", "x"), (1500.0, 3, "C", None)
+    assert run([a, c], [b]) == (["C", "B", "A"], 1500.0, {"x": 2})
+    # A late event bridges what looked like a pause.
+    assert run([(0.0, 1, "A", "x"), (1700.0, 2, "B", "y")], [(850.0, 3, "M", "z")]) == (["B", "M", "A"], 1700.0, {"x": 1, "y": 1, "z": 1})
+    assert run([(0.0, 1, "A", "x"), (1700.0, 2, "B", "y")]) == (["B"], 1700.0, {"y": 1})
+    rng = random.Random(3)
+    events = [(float(rng.randrange(20_000)), n, f"i{n}", rng.choice(["x", "y", "", None])) for n in range(60)]
+    want = run(sorted(events))
+    for _ in range(20):
+        rng.shuffle(events)
+        assert run(*[events[k : k + 7] for k in range(0, 60, 7)]) == want
+
+
+def test_a_cluster_must_name_its_shared_folder(monkeypatch):
+    import pytest
+
+    from shelflight import session
+
+    class Somewhere:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+        class sparkContext:
+            master = "spark://host:7077"
+    with pytest.raises(RuntimeError):
+        session.shared_folder(Somewhere)

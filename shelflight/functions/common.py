@@ -100,9 +100,3 @@ def banded(value: Column, edges: Sequence[int]) -> Column:
         name = f"[{low},{high})" if high is not None else f"[{low},inf)"
         label = F.when(value >= low, F.lit(name)).otherwise(label)
     return label
-
-
-def unpivot_metrics(df: DataFrame, key: str = "metric", value: str = "value") -> DataFrame:
-    """Turn a one-row frame of numbers into (metric, value) rows."""
-    wide = df.select([F.col(c).cast("double").alias(c) for c in df.columns])
-    return wide.unpivot([], list(wide.columns), key, value)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelflight.functions.common import first_per_group, hash_order, top_per_group
@@ -21,24 +21,20 @@ def popularity_recall(
     """The k most popular items per user outside the user's exclusions, (user_id, item_id, pos).
 
     ``users`` has (user_id, excluded array).  Twice k items are taken; the first fifth stays in
-    front and the rest is shuffled.  No user needs more than the top 2k + ``max_excluded``
-    items, so that short list is one scalar and the work per user is array arithmetic,
-    without any join.
+    front and the rest is shuffled.  No user with at most ``max_excluded`` exclusions needs more
+    than the top 2k + ``max_excluded`` items, so that short list is one scalar and the work per
+    user is array arithmetic, without any join.  Users with more exclusions go by an anti join.
     """
     w = 2 * k + max_excluded
     head = popularity.orderBy(F.desc("popularity_score"), F.asc("item_id")).limit(w)
     ranked = F.transform(
         F.array_sort(F.collect_list(F.struct((-F.col("popularity_score")).alias("s"), "item_id"))), lambda e: e["item_id"]
     )
-    checked = F.when(
-        F.assert_true(F.size("excluded") <= max_excluded, F.lit("more exclusions than max_excluded")).isNull(),
-        F.col("excluded"),
-    )
-    staged = (
-        users.withColumn("excluded", checked)
-        .withColumn("_head", head.agg(ranked).scalar())
-        .withColumn("_pool", F.slice(F.array_except("_head", "excluded"), 1, 2 * k))
+    few = F.coalesce(F.size("excluded"), F.lit(0)) <= max_excluded
+    usual = users.filter(few).withColumn("_head", head.agg(ranked).scalar()).select(
+        "user_id", F.slice(F.array_except("_head", "excluded"), 1, 2 * k).alias("_pool")
     )
+    staged = usual.unionByName(_long_exclusions(users.filter(~few), popularity, 2 * k))
     size = F.size("_pool")
     fixed = F.floor(size * 0.2).cast("int")
     rest = F.slice("_pool", fixed + 1, F.greatest(size - fixed, F.lit(0)))
@@ -55,6 +51,28 @@ def popularity_recall(
     )
 
 
+def _long_exclusions(users: DataFrame, popularity: DataFrame, n: int) -> DataFrame:
+    """(user_id, _pool) of users whose exclusions outgrow the shared list.
+
+    A user with e exclusions needs the top n + e items: ranks are numbered once over items, and a
+    user meets the ranks up to that bound, never the whole catalogue.
+    """
+    order = (-F.col("popularity_score")).alias("s")
+    ranks = popularity.select(F.struct(order, "item_id").alias("place"), "item_id")
+    bands = users.select("user_id", "excluded", F.ceil(F.log2(F.size("excluded") + n)).cast("int").alias("_band"))
+    pools = []
+    for band in [r[0] for r in bands.select("_band").distinct().collect()]:  # at most 31 numbers
+        places = F.transform(F.array_sort(F.collect_list("place")), lambda e: e["item_id"])
+        head = ranks.orderBy("place").limit(2 ** band).agg(places).scalar()
+        pools.append(bands.filter(F.col("_band") == band).withColumn("_head", head).select(
+            "user_id", F.slice(F.array_except("_head", "excluded"), 1, n).alias("_pool")
+        ))
+    none = users.filter(F.lit(False)).select("user_id", F.col("excluded").alias("_pool"))
+    for pool in pools:
+        none = none.unionByName(pool)
+    return none
+
+
 def content_recall(
     references: DataFrame, neighbours: DataFrame, excluded: DataFrame | None = None,
     k: int = K_CONTENT, single: bool = False,
@@ -79,7 +97,7 @@ def content_recall(
     cut = lists.withColumn("_at", F.row_number().over(per_ref)).filter(F.col("_at") <= F.col("_fetch"))
     first = first_per_group(cut, ["user_id", "item_id"], [F.asc("ref_pos"), F.asc("_at")])
     return top_per_group(
-        first, ["user_id"], [F.desc("score"), F.asc("ref_pos"), F.asc("_at")], k, "pos"
+        first, ["user_id"], [F.desc(F.round("score", 9)), F.asc("ref_pos"), F.asc("_at")], k, "pos"
     ).select("user_id", "item_id", "score", "pos")
 
 
@@ -154,7 +172,3 @@ def excluded_array(items: DataFrame, alias: str = "excluded") -> DataFrame:
     """Distinct item ids per user as an array; for lists that are short by construction."""
     return items.groupBy("user_id").agg(F.collect_set("item_id").alias(alias))
 
-
-def first_seen(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """Order-preserving dedupe."""
-    return first_per_group(rows, keys, order)

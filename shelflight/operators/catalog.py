@@ -59,10 +59,6 @@ def items_in_order(requested: DataFrame, items: DataFrame, products: DataFrame)
     return requested.join(item_details(items, products), "asin").orderBy("pos")
 
 
-def _has(category: Column) -> Column:
-    return F.coalesce(F.trim(category) != "", F.lit(False))
-
-
 def _with_product_category(items: DataFrame, products: DataFrame) -> DataFrame:
     return items.select("asin", "parent_asin", "category").join(
         products.select("parent_asin", "main_category"), "parent_asin"

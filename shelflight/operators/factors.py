@@ -24,20 +24,22 @@ class Factors:
     mean: float
 
 
-def dense_ids(df: DataFrame, key: str, partitions: int = 64) -> DataFrame:
+def dense_ids(df: DataFrame, key: str) -> DataFrame:
     """Consecutive integers for the distinct values of a column: (key, index).
 
     Values are range-partitioned and written with their partition number; an index is the
     position inside the partition plus the sizes of the earlier ones.
     """
-    ids = df.select(key).distinct().repartitionByRange(partitions, key)
+    ids = df.select(key).distinct().repartitionByRange(key)  # as many ranges as the session's shuffle partitions
     placed = keep(ids.withColumn("_p", F.spark_partition_id()), "ids")
     sizes = placed.groupBy("_p").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     inside = F.row_number().over(Window.partitionBy("_p").orderBy(key))
+    index = F.col("_offset") + F.col("_i") - 1
+    fits = F.assert_true(index < F.lit(2**31), F.lit("more ids than the factor model can number")).isNull()
     return placed.withColumn("_i", inside).join(offsets, "_p").select(
-        key, (F.col("_offset") + F.col("_i") - 1).cast("int").alias("index")
+        key, F.when(fits, index).cast("int").alias("index")
     )
 
 
@@ -90,11 +92,12 @@ def fit_factors(
     )
 
 
-def factor_recall(users: DataFrame, items: DataFrame, k: int = 100) -> DataFrame:
-    """Top-k items per user by p.q alone; known items are not excluded."""
+def factor_recall(users: DataFrame, items: DataFrame, k: int = 100, seen: DataFrame | None = None) -> DataFrame:
+    """Top-k items per user by p.q alone; known items stay unless ``seen`` (user_id, item_id) hides them."""
     found = top_k(
         users.select(F.col("id").cast("string").alias("query_id"), F.col("factors").alias("vec")),
         items.select(F.col("id").cast("string").alias("item_id"), F.col("factors").alias("vec")), k,
+        hidden=None if seen is None else seen.select(F.col("user_id").cast("string").alias("query_id"), "item_id"),
     )
     return found.select(F.col("query_id").alias("user_id"), "item_id", "score", "position")
 
@@ -102,22 +105,10 @@ def factor_recall(users: DataFrame, items: DataFrame, k: int = 100) -> DataFrame
 def factor_recall_unseen(users: DataFrame, items: DataFrame, seen: DataFrame, k: int) -> DataFrame:
     """Top-k per user among the items the user has not seen.
 
-    A user needs k plus as many neighbours as the user has seen items.  Users are grouped
-    into bands by that number, so one busy user does not widen everybody's list.
+    Seen items are masked inside each block, so every user ships k rows per block however many
+    items the user has seen.
     """
-    counts = seen.select("user_id", "item_id").distinct().groupBy("user_id").agg(F.count("*").alias("_seen"))
-    sized = users.join(counts, users["id"] == counts["user_id"], "left").select(
-        "id", "factors", F.coalesce("_seen", F.lit(0)).alias("_seen")
-    )
-    sized = keep(sized.withColumn("_band", F.ceil(F.log2(F.col("_seen") + k))), "seen")
-    bands = [r["_band"] for r in sized.select("_band").distinct().orderBy("_band").collect()]  # at most 64 numbers
-    found = None
-    for band in bands:
-        part = factor_recall(sized.filter(F.col("_band") == band), items, 2 ** int(band))
-        found = part if found is None else found.unionByName(part)
-    left = found.drop("position").join(seen.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
-    w = Window.partitionBy("user_id").orderBy(F.desc("score"), F.asc("item_id"))
-    return left.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= k)
+    return factor_recall(users, items, k, seen)
 
 
 def with_factors(pairs: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:

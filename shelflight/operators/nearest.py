@@ -22,8 +22,8 @@ from shelflight.functions.common import clip01, top_per_group
 from shelflight.functions.vectors import dot, unit
 from shelflight.session import keep
 
-ITEM_BLOCK = 8192
-QUERY_CHUNK = 1024
+BLOCK_BYTES = 4 << 20  # of doubles, in a block of items and in a chunk of queries
+MOST_ROWS = 8192
 
 _PAIR = "query_id string, item_id string, score double"
 
@@ -44,33 +44,59 @@ def _multiply(k: int, threshold: float | None):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples(index=False):
-                ids = np.array([i["item_id"] for i in row.items], dtype=object)
+                ids = np.asarray(row.item_ids, dtype=object)
                 order = np.argsort(ids, kind="stable")
                 ids = ids[order]
-                matrix = np.array([i["vec"] for i in row.items], dtype=np.float64)[order]
-                queries = np.array([q["query_id"] for q in row.queries], dtype=object)
+                matrix = np.asarray(row.item_values, dtype=np.float64).reshape(len(ids), -1)[order]
+                queries = np.asarray(row.query_ids, dtype=object)
+                raw = np.asarray(row.query_values, dtype=np.float64).reshape(len(queries), -1) @ matrix.T
                 # The order of summation differs between machines; without its noise equal scores are equal.
-                scores = np.round(np.array([q["vec"] for q in row.queries], dtype=np.float64) @ matrix.T, 9)
-                best = best_of_block(scores, k)
-                values = np.take_along_axis(scores, best, axis=1).ravel()
-                out = pd.DataFrame(
-                    {"query_id": np.repeat(queries, best.shape[1]), "item_id": ids[best.ravel()], "score": values}
-                )
-                yield out if threshold is None else out[out.score >= threshold]
+                # Only the order goes by rounded scores; the scores themselves are passed on whole.
+                key = np.round(raw, 9)
+                for at, hidden in enumerate(row.hidden):
+                    if hidden is not None and len(hidden):
+                        place = np.minimum(np.searchsorted(ids, hidden), len(ids) - 1)
+                        key[at, place[ids[place] == hidden]] = -np.inf
+                best = best_of_block(key, k)
+                out = pd.DataFrame({
+                    "query_id": np.repeat(queries, best.shape[1]), "item_id": ids[best.ravel()],
+                    "score": np.take_along_axis(raw, best, axis=1).ravel(),
+                })
+                visible = np.isfinite(np.take_along_axis(key, best, axis=1).ravel())
+                yield out[visible] if threshold is None else out[visible & (out.score.to_numpy() >= threshold)]
 
     return run
 
 
+def rows_of(vectors: DataFrame) -> int:
+    """How many vectors of this table fill a block of ``BLOCK_BYTES``."""
+    first = vectors.select(F.size("vec")).first()
+    return min(MOST_ROWS, max(1, BLOCK_BYTES // (8 * max(1, first[0] if first else 1))))
+
+
 def _slot(key: Column, slots: Column | int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(slots) if isinstance(slots, int) else slots)
 
 
 def _blocks(items: DataFrame, *cells: str) -> DataFrame:
-    return items.groupBy(*cells).agg(F.collect_list(F.struct("item_id", "vec")).alias("items"))
+    """Ids and one flat array of values per block."""
+    rows = items.groupBy(*cells).agg(F.collect_list(F.struct("item_id", "vec")).alias("_rows"))
+    return rows.select(
+        *cells, F.transform("_rows", lambda r: r["item_id"]).alias("item_ids"),
+        F.flatten(F.transform("_rows", lambda r: r["vec"])).alias("item_values"),
+    )
 
 
 def _chunks(queries: DataFrame, *cells: str) -> DataFrame:
-    return queries.groupBy(*cells).agg(F.collect_list(F.struct("query_id", "vec")).alias("queries"))
+    rows = queries.groupBy(*cells).agg(F.collect_list(F.struct("query_id", "vec", "_hidden")).alias("_rows"))
+    return rows.select(
+        *cells, F.transform("_rows", lambda r: r["query_id"]).alias("query_ids"),
+        F.flatten(F.transform("_rows", lambda r: r["vec"])).alias("query_values"),
+        F.transform("_rows", lambda r: r["_hidden"]).alias("hidden"),
+    )
+
+
+_NOTHING = "array<string>"
 
 
 def _paired(chunks: DataFrame, blocks: DataFrame, keys: list[str], n_blocks: int, n_chunks: int) -> DataFrame:
@@ -86,27 +112,42 @@ def _paired(chunks: DataFrame, blocks: DataFrame, keys: list[str], n_blocks: int
     copies = blocks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     dealt = chunks.withColumn("_salt", F.pmod("_chunk", F.lit(salts)).cast("int"))
     keys = [*keys, "_salt"]
-    return dealt.repartition(tasks, *keys).join(copies.repartition(tasks, *keys), keys).select("queries", "items")
+    return dealt.repartition(tasks, *keys).join(copies.repartition(tasks, *keys), keys).select(
+        "query_ids", "query_values", "hidden", "item_ids", "item_values"
+    )
 
 
 def _merge(pairs: DataFrame, k: int) -> DataFrame:
-    return top_per_group(pairs, ["query_id"], [F.desc("score"), F.asc("item_id")], k, "position")
+    return top_per_group(pairs, ["query_id"], [F.desc(F.round("score", 9)), F.asc("item_id")], k, "position")
 
 
 def top_k(
-    queries: DataFrame, items: DataFrame, k: int, threshold: float | None = None, block: int = ITEM_BLOCK
+    queries: DataFrame, items: DataFrame, k: int, threshold: float | None = None, block: int | None = None,
+    hidden: DataFrame | None = None,
 ) -> DataFrame:
     """Exact top-k by inner product: (query_id, vec) against (item_id, vec).
 
-    The two counts only decide how many blocks and chunks there are.
+    ``hidden`` (query_id, item_id) names pairs that must not be found; they travel with the query,
+    each to the block of its item.  Both inputs are written once; their counts decide how many
+    blocks and chunks there are.
     """
+    queries, items = keep(queries, "queries"), keep(items, "items")
+    block = block or rows_of(items)
+    chunk = min(1024, rows_of(queries))
     n_blocks = max(1, math.ceil(items.count() / block))
-    n_chunks = max(1, math.ceil(queries.count() / QUERY_CHUNK))
+    n_chunks = max(1, math.ceil(queries.count() / chunk))
     blocks = _blocks(items.withColumn("_cell", _slot(F.col("item_id"), n_blocks)), "_cell")
-    chunks = _chunks(queries.withColumn("_chunk", _slot(F.col("query_id"), n_chunks)), "_chunk").withColumn(
+    dealt = queries.withColumn("_chunk", _slot(F.col("query_id"), n_chunks)).withColumn(
         "_cell", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint")))
     )
-    work = _paired(chunks, blocks, ["_cell"], n_blocks, n_chunks)
+    if hidden is None:
+        dealt = dealt.withColumn("_hidden", F.lit(None).cast(_NOTHING))
+    else:
+        by_block = hidden.withColumn("_cell", _slot(F.col("item_id"), n_blocks)).groupBy("query_id", "_cell").agg(
+            F.collect_set("item_id").alias("_hidden")
+        )
+        dealt = dealt.join(by_block, ["query_id", "_cell"], "left")
+    work = _paired(_chunks(dealt, "_chunk", "_cell"), blocks, ["_cell"], n_blocks, n_chunks)
     return _merge(work.mapInPandas(_multiply(k, threshold), _PAIR), k)
 
 
@@ -131,53 +172,59 @@ def similar_items(
 def without_excluded(neighbours: DataFrame, excluded: DataFrame, k: int) -> DataFrame:
     """Drop excluded (query_id, item_id) pairs and cut to k.
 
-    ``neighbours`` must have been fetched with k plus the most exclusions of any query.
+    ``neighbours`` must have been fetched with k plus the most exclusions of any query, else a
+    list may come out short; ``top_k(hidden=...)`` needs no such reserve.
     """
     left = neighbours.drop("position").join(excluded, ["query_id", "item_id"], "left_anti")
     return _merge(left, k)
 
 
+def _nearest_cells(centres: np.ndarray, probes: int):
+    """Add the ``probes`` cells nearest to each vector; the centres are a table of fixed size."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                vectors = np.stack(frame.vec.to_numpy())
+                distance = (centres**2).sum(axis=1) - 2 * vectors @ centres.T
+                near = np.argsort(np.round(distance, 12), axis=1, kind="stable")[:, :probes]
+                yield frame.assign(_near=list(near.astype(np.int32)))
+
+    return run
+
+
 def approximate_similar_items(
     queries: DataFrame, vectors: DataFrame, k: int, cells: int = 16, probes: int = 4,
-    key: str = "item_id", block: int = ITEM_BLOCK, seed: int = 42,
+    key: str = "item_id", block: int | None = None, seed: int = 42,
 ) -> DataFrame:
     """Cosine top-k over the ``probes`` cells nearest to each query.
 
     Cells come from k-means over the unit vectors.  A cell of any size is split into blocks
     of bounded size, and its queries into chunks, so a crowded cell is many tasks.
     """
-    units = unit_items(vectors).withColumn("features", array_to_vector("vec"))
+    units = keep(unit_items(vectors), "units").withColumn("features", array_to_vector("vec"))
+    asked = keep(unit_queries(queries, key), "queries")
+    block = block or rows_of(units)
+    chunk = min(1024, block)
     model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="features", predictionCol="_cell").fit(units)
-    centres = [list(map(float, c)) for c in model.clusterCenters()]  # cells x dimensions, a fixed size
+    centres = np.array(model.clusterCenters(), dtype=np.float64)
     placed = model.transform(units).select("item_id", "vec", "_cell")
     sizes = placed.groupBy("_cell").agg(F.ceil(F.count("*") / F.lit(block)).alias("_parts"))
     blocks = _blocks(
         placed.join(sizes, "_cell").withColumn("_part", _slot(F.col("item_id"), F.col("_parts"))), "_cell", "_part"
     )
-    distances = F.array(
-        *[
-            F.struct(
-                F.aggregate(
-                    F.zip_with("vec", F.array(*[F.lit(x) for x in c]), lambda a, b: (a - b) * (a - b)),
-                    F.lit(0.0), lambda acc, x: acc + x,
-                ).alias("d"),
-                F.lit(i).alias("cell"),
-            )
-            for i, c in enumerate(centres)
-        ]
-    )
-    probed = unit_queries(queries, key).withColumn("_near", F.slice(F.array_sort(distances), 1, probes)).select(
-        "query_id", "vec", F.explode(F.col("_near.cell")).alias("_cell")
-    )
+    probed = asked.mapInPandas(
+        _nearest_cells(centres, probes), "query_id string, vec array<double>, _near array<int>"
+    ).select("query_id", "vec", F.explode("_near").alias("_cell"))
     spread = probed.join(sizes, "_cell").withColumn(
         "_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1))
     )
-    loads = spread.groupBy("_cell", "_part").agg(F.ceil(F.count("*") / F.lit(QUERY_CHUNK)).alias("_chunks"))
+    loads = spread.groupBy("_cell", "_part").agg(F.ceil(F.count("*") / F.lit(chunk)).alias("_chunks"))
     chunks = _chunks(
-        spread.join(loads, ["_cell", "_part"]).withColumn("_chunk", _slot(F.col("query_id"), F.col("_chunks"))),
+        spread.join(loads, ["_cell", "_part"]).withColumn("_chunk", _slot(F.col("query_id"), F.col("_chunks")))
+        .withColumn("_hidden", F.lit(None).cast(_NOTHING)),
         "_cell", "_part", "_chunk",
     )
-    work = _paired(chunks, blocks, ["_cell", "_part"], cells, math.ceil(queries.count() / QUERY_CHUNK))
+    work = _paired(chunks, blocks, ["_cell", "_part"], cells, math.ceil(asked.count() / chunk))
     return _merge(work.mapInPandas(_multiply(k, None), _PAIR), k)
 
 
@@ -196,14 +243,20 @@ def self_nearest(neighbours: DataFrame) -> DataFrame:
 
 
 def content_scores(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Cosine of (reference_id, item_id) pairs clipped to [0, 1]; a missing vector scores 0."""
-    # Lengths are divided out once per vector, so that a pair costs one inner product.
+    """Cosine of (reference_id, item_id) pairs clipped to [0, 1]; a missing vector scores 0.
+
+    Each distinct pair of items meets its two vectors once; what is joined back to the rows is
+    one number, so no row of a user carries a vector.
+    """
     units = keep(unit_items(vectors), "units")
     refs = units.select(F.col("item_id").alias("reference_id"), F.col("vec").alias("_ref"))
     own = units.select("item_id", F.col("vec").alias("_own"))
-    joined = pairs.join(refs, "reference_id", "left").join(own, "item_id", "left")
-    score = F.coalesce(dot(F.col("_ref"), F.col("_own")), F.lit(0.0))
-    return joined.withColumn("score", clip01(score)).drop("_ref", "_own")
+    distinct = pairs.select("reference_id", "item_id").distinct()
+    scored = distinct.join(refs, "reference_id").join(own, "item_id").select(
+        "reference_id", "item_id", clip01(dot(F.col("_ref"), F.col("_own"))).alias("score")
+    )
+    rows = pairs.join(keep(scored, "pair-scores"), ["reference_id", "item_id"], "left")
+    return rows.withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
 def weighted_content_scores(candidates: DataFrame, references: DataFrame, vectors: DataFrame) -> DataFrame:

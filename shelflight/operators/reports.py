@@ -44,18 +44,27 @@ def top_items(interactions: DataFrame, n: int) -> DataFrame:
     return _counted(interactions, F.col("item_id"), "item_id").orderBy(F.desc("count"), "item_id").limit(n)
 
 
-def interaction_stats(interactions: DataFrame, train: DataFrame, test: DataFrame) -> DataFrame:
-    base = interactions.agg(
-        F.count("*").alias("total_interactions"),
-        F.countDistinct("user_id").alias("unique_users"),
-        F.countDistinct("item_id").alias("unique_items"),
-        F.avg("rating").alias("avg_rating"),
-        F.min("rating").alias("min_rating"),
-        F.max("rating").alias("max_rating"),
+def interaction_stats(interactions: DataFrame) -> DataFrame:
+    """Counts, ratings and the sizes of the leave-last-out split.
+
+    Rows are folded per (user, instant), then per user, so the last instant of a user, whose rows
+    are the test side, needs neither a window nor a join.
+    """
+    instants = interactions.groupBy("user_id", "ts").agg(
+        F.count("*").alias("_n"), F.sum("rating").alias("_sum"), F.count("rating").alias("_rated"),
+        F.min("rating").alias("_min"), F.max("rating").alias("_max"),
     )
-    sides = base.withColumn("train_count", train.agg(F.count("*")).scalar()).withColumn(
-        "test_count", test.agg(F.count("*")).scalar()
+    users = instants.groupBy("user_id").agg(
+        F.sum("_n").alias("_n"), F.max_by("_n", "ts").alias("_last"), F.sum("_sum").alias("_sum"),
+        F.sum("_rated").alias("_rated"), F.min("_min").alias("_min"), F.max("_max").alias("_max"),
     )
+    base = users.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("total_interactions"), F.count("user_id").alias("unique_users"),
+        (F.sum("_sum") / F.sum("_rated")).alias("avg_rating"), F.min("_min").alias("min_rating"),
+        F.max("_max").alias("max_rating"), F.coalesce(F.sum("_last"), F.lit(0)).alias("test_count"),
+    ).withColumn("train_count", F.col("total_interactions") - F.col("test_count"))
+    items = interactions.select("item_id").distinct().agg(F.count("item_id")).scalar()
+    sides = base.withColumn("unique_items", items)
     both = F.col("train_count") + F.col("test_count")
     return sides.withColumn("train_ratio", share(F.col("train_count"), both, 1.0)).withColumn(
         "test_ratio", share(F.col("test_count"), both, 1.0)

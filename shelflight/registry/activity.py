@@ -173,7 +173,7 @@ def last_active(spark, sf):
 
 _NEWEST_100 = """
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS pos FROM logs
-  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 50"""
+  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 100"""
 
 
 @query("E17_item_history", with_blocks(f"""
@@ -181,7 +181,7 @@ _NEWEST_100 = """
   GROUP BY 1""", "logs"))
 def item_history(spark, sf):
     logs = testviews.interaction_logs(spark, sf)
-    return activity.item_history(activity.recent_items(logs, _as_of(logs), _TTL), logs, limit=50)
+    return activity.item_history(activity.recent_items(logs, _as_of(logs), _TTL), logs, limit=100)
 
 
 @query("E17_category_history", with_blocks(f"""
@@ -204,7 +204,7 @@ def category_history(spark, sf):
     context = activity.recent_categories(
         activity.with_product_facts(logs, items, products), _as_of(logs), _TTL
     )
-    return activity.category_history(context, logs, items, products, limit=50)
+    return activity.category_history(context, logs, items, products, limit=100)
 
 
 @query("M1_cart_fold", with_blocks("""

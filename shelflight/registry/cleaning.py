@@ -18,17 +18,14 @@ from shelflight.sources import jsonl, sinks, tables, testviews
   SELECT item_id, interaction_count, round(mean_rating, 6) AS mean_rating,
          round((l - min(l) OVER ()) / (max(l) OVER () - min(l) OVER ()), 6) AS popularity_score
   FROM (SELECT item_id, count(*) AS interaction_count, avg(rating) AS mean_rating,
-               ln(1 + count(*)) AS l FROM {CORE5} GROUP BY item_id)
-  ORDER BY popularity_score DESC, item_id LIMIT 100""", CORE5))
+               ln(1 + count(*)) AS l FROM {CORE5} GROUP BY item_id)""", CORE5))
 def core_popularity(spark, sf):
     core = kcore.k_core(testviews.interactions(spark, sf), 5)
     stats = popularity.popularity_stats(core.rows)
     normal = popularity.normalize_popularity(stats)
-    return (
-        normal.join(stats, "item_id")
-        .select("item_id", "interaction_count", F.round("mean_rating", 6).alias("mean_rating"),
-                F.round("popularity_score", 6).alias("popularity_score"))
-        .orderBy(F.desc("popularity_score"), "item_id").limit(100)
+    return normal.join(stats, "item_id").select(
+        "item_id", "interaction_count", F.round("mean_rating", 6).alias("mean_rating"),
+        F.round("popularity_score", 6).alias("popularity_score"),
     )
 
 

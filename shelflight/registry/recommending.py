@@ -33,8 +33,8 @@ def _round(df, digits, *names):
 # --- G: vectors ----------------------------------------------------------------------
 
 block("neighbours", """
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS position FROM (
-    SELECT a.item_id AS query_id, b.item_id, round(list_cosine_similarity(a.embedding, b.embedding), 9) AS score
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) AS position FROM (
+    SELECT a.item_id AS query_id, b.item_id, list_cosine_similarity(a.embedding, b.embedding) AS score
     FROM vectors a, vectors b)""", "vectors")
 
 
@@ -95,7 +95,7 @@ def content_scores(spark, sf):
 block("refs", """
   SELECT user_id, item_id AS reference_id, rating - 2 AS weight, pos FROM (
     SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, item_id) AS pos FROM interactions)
-  WHERE pos <= 3""", "interactions")
+  WHERE pos <= 10""", "interactions")
 block("content", """
   SELECT user_id, p.item_id, least(1, sum(w * greatest(0, least(1, coalesce(
            list_cosine_similarity(a.embedding, b.embedding), 0))))) AS content_score
@@ -111,7 +111,7 @@ block("content", """
 def _references(spark, sf, rows):
     from shelflight.functions.common import top_per_group
 
-    newest = top_per_group(rows, ["user_id"], [F.desc("ts"), F.asc("item_id")], 3, "pos")
+    newest = top_per_group(rows, ["user_id"], [F.desc("ts"), F.asc("item_id")], candidates.MAX_REFERENCES, "pos")
     return newest.select("user_id", F.col("item_id").alias("reference_id"), (F.col("rating") - 2).alias("weight"), "pos")
 
 
@@ -323,7 +323,7 @@ def popularity_shuffle(spark, sf):
 
 
 block("content_recall", """
-  SELECT user_id, item_id, score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, ref_pos, position) AS pos
+  SELECT user_id, item_id, score, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, ref_pos, position) AS pos
   FROM (SELECT r.user_id, n.item_id, n.score, r.pos AS ref_pos, n.position
         FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM refs) r
         JOIN neighbours n ON n.query_id = r.reference_id AND n.position <= 50 // r.n + 5

@@ -60,9 +60,8 @@ def top_items(spark, sf):
          round(count(*) FILTER (ts < last_ts) / count(*), 6) AS train_ratio,
          round(count(*) FILTER (ts = last_ts) / count(*), 6) AS test_ratio FROM split""", "split"))
 def interaction_stats(spark, sf):
-    rows = testviews.interactions(spark, sf)
-    train, test = inter.split_last_out(rows)
-    return rounded(reports.interaction_stats(rows, train, test), "avg_rating", "train_ratio", "test_ratio")
+    rows = reports.interaction_stats(testviews.interactions(spark, sf))
+    return rounded(rows, "avg_rating", "train_ratio", "test_ratio")
 
 
 @query("E8_table_stats", with_blocks("""

@@ -13,13 +13,12 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Deal rows out over all cores when the table is fewer files than cores.
+    """Deal rows out over the session's shuffle partitions.
 
-    For work that costs far more than its input: a small file is one row group and would
-    otherwise be one task.  Big tables are many files and stay as they are.
+    For work that costs far more than moving its input once: tasks then do not depend on how
+    the files were cut, whatever the size of the table.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+    return df.repartition(key)
 
 
 def read_first(spark: SparkSession, paths: Iterable[str]) -> DataFrame:

@@ -236,12 +236,17 @@ def label_counts(spark, sf):
     return rounded(reports.label_counts(_dataset(spark, sf)), "percent")
 
 
-@query("H5_stratified_split", with_blocks("""
-  SELECT user_id, item_id, label FROM (
+block("split_dataset", """
+  SELECT *, n <= cut AS in_test FROM (
     SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || user_id || '|' || item_id)) AS n,
-           round(count(*) OVER (PARTITION BY label) * 0.2) AS cut FROM dataset) WHERE n <= cut""", "dataset"))
+           round(count(*) OVER (PARTITION BY label) * 0.2) AS cut FROM dataset)""", "dataset")
+
+
+@query("H5_stratified_split", with_blocks("SELECT user_id, item_id, label, in_test FROM split_dataset", "split_dataset"))
 def stratified_split(spark, sf):
-    return ranker.stratified_split(_dataset(spark, sf))[1].select("user_id", "item_id", "label")
+    train, test = ranker.stratified_split(_dataset(spark, sf))
+    sides = train.withColumn("in_test", F.lit(False)).unionByName(test.withColumn("in_test", F.lit(True)))
+    return sides.select("user_id", "item_id", "label", "in_test")
 
 
 @query("H5_ranker_coefficients")
@@ -253,17 +258,32 @@ def ranker_coefficients(spark, sf):
     )
 
 
-@query("H6_ranker_metrics")
-def ranker_metrics(spark, sf):
-    train, test = ranker.stratified_split(_dataset(spark, sf))
-    return ranker.binary_metrics(ranker.fit_ranker(train), test)
-
-
 _SIGMOID = " + ".join(
     [f"({ranker.INTERCEPT})"] + [f"({w}) * {f}" for f, w in zip(ranker.FEATURES, ranker.COEFFICIENTS, strict=True)]
 )
 
 
+# The published model on the test side; the area under the curve from the sum of ranks, ties at their mean rank.
+@query("H6_ranker_metrics", with_blocks(f"""
+  SELECT count(*) AS rows, round(avg((label = p)::INT), 6) AS accuracy,
+         round((sum(mean_rank) FILTER (label = 1) - sum(label) * (sum(label) + 1) / 2)
+               / (sum(label) * (count(*) - sum(label))), 6) AS roc_auc,
+         count(*) FILTER (label = 0 AND p = 0) AS tn, count(*) FILTER (label = 0 AND p = 1) AS fp,
+         count(*) FILTER (label = 1 AND p = 0) AS fn, count(*) FILTER (label = 1 AND p = 1) AS tp
+  FROM (SELECT label, (s > 0.5)::INT AS p,
+               rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2 AS mean_rank
+        FROM (SELECT label, 1 / (1 + exp(-({_SIGMOID}))) AS s FROM split_dataset WHERE in_test))""", "split_dataset"))
+def ranker_metrics(spark, sf):
+    test = ranker.stratified_split(_dataset(spark, sf))[1]
+    return _round(ranker.binary_metrics(None, test), 6, "accuracy", "roc_auc")
+
+
+@query("H6_fitted_metrics")
+def fitted_metrics(spark, sf):
+    train, test = ranker.stratified_split(_dataset(spark, sf))
+    return ranker.binary_metrics(ranker.fit_ranker(train), test)
+
+
 @query("H7_scores", with_blocks(f"""
   SELECT user_id, item_id, round(1 / (1 + exp(-({_SIGMOID}))), 6) AS rank_score FROM dataset""", "dataset"))
 def scores(spark, sf):
@@ -315,11 +335,9 @@ def popularity_recall(spark, sf):
 
 
 @query("F9_popularity_shuffle", with_blocks("""
-  SELECT pos, count(*) AS users, count(DISTINCT item_id) AS items FROM popular_recall GROUP BY 1""", "popular_recall"))
+  SELECT user_id, item_id, pos, pos <= 20 AS in_front FROM popular_recall""", "popular_recall"))
 def popularity_shuffle(spark, sf):
-    return _popular_recall(spark, sf).groupBy("pos").agg(
-        F.count("*").alias("users"), F.countDistinct("item_id").alias("items")
-    )
+    return _popular_recall(spark, sf).select("user_id", "item_id", "pos", (F.col("pos") <= 20).alias("in_front"))
 
 
 block("content_recall", """
@@ -373,9 +391,9 @@ def merged_candidates(spark, sf):
 
 
 @query("D4_first_seen", with_blocks("""
-  SELECT source, count(*) AS items FROM merged GROUP BY 1""", "merged"))
+  SELECT user_id, item_id, source, pos FROM merged""", "merged"))
 def first_seen(spark, sf):
-    return _merged(spark, sf).groupBy("source").agg(F.count("*").alias("items"))
+    return _merged(spark, sf).select("user_id", "item_id", "source", "pos")
 
 
 block("features", """
@@ -479,7 +497,7 @@ block("ranked_list", """
   SELECT user_id, item_id, rank_score, row_number() OVER (PARTITION BY user_id ORDER BY rank_score DESC, item_id) AS rank_position
   FROM (SELECT CAST(o_custkey AS VARCHAR) AS user_id, CAST(l_partkey AS VARCHAR) AS item_id,
                sqrt(max(l_extendedprice)) / 1000 AS rank_score
-        FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2)""")
+        FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2) QUALIFY rank_position <= 40""")
 block("context_recent", """
   SELECT CAST(user_id AS VARCHAR) AS user_id, item_id, min(pos) - 1 AS recent_pos FROM (
     SELECT user_id, asin AS item_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS pos FROM logs)
@@ -502,16 +520,15 @@ block("ruled", """
 
 
 def _ranked_list(spark, sf):
-    from pyspark.sql import Window
-
+    """Lists as the service passes them on: at most twice the final length per user."""
+    from shelflight.functions.common import top_per_group
     from shelflight.sources.tables import read_table
 
     lines = read_table(spark, sf, "lineitem").join(read_table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     best = lines.groupBy(
         F.col("o_custkey").cast("string").alias("user_id"), F.col("l_partkey").cast("string").alias("item_id")
     ).agg((F.sqrt(F.max("l_extendedprice")) / 1000).alias("rank_score"))
-    w = Window.partitionBy("user_id").orderBy(F.desc("rank_score"), F.asc("item_id"))
-    return best.withColumn("rank_position", F.row_number().over(w))
+    return top_per_group(best, ["user_id"], [F.desc("rank_score"), F.asc("item_id")], 2 * rerank.TOP_N, "rank_position")
 
 
 def _ruled(spark, sf):
@@ -535,18 +552,27 @@ def context_rules(spark, sf):
 
 
 @query("I10_recent_penalty", with_blocks("""
-  SELECT recent_rule, count(*) AS items FROM ruled WHERE recent_rule IS NOT NULL GROUP BY 1""", "ruled"))
+  SELECT user_id, item_id, recent_rule FROM ruled WHERE recent_rule IS NOT NULL""", "ruled"))
 def recent_penalty(spark, sf):
-    return (
-        _ruled(spark, sf).select(F.explode("applied_rules").alias("recent_rule"))
-        .filter(F.col("recent_rule").startswith("recent_penalty")).groupBy("recent_rule").agg(F.count("*").alias("items"))
+    return _ruled(spark, sf).select("user_id", "item_id", F.explode("applied_rules").alias("recent_rule")).filter(
+        F.col("recent_rule").startswith("recent_penalty")
     )
 
 
+# The last digit stands in for the number of ratings, so that half of the items are under the floor of five.
 @query("I11_popularity_floor", with_blocks("""
-  SELECT item_id, count(*) AS lists FROM ruled WHERE rating_number < 20 GROUP BY 1""", "ruled"))
+  SELECT user_id, item_id, rating_number % 10 < 5 AS floored,
+         round(rank_score * CASE WHEN rating_number % 10 < 5 THEN 0.9 ELSE 1.0 END, 8) AS adjusted_score
+  FROM ranked_list JOIN products ON parent_asin = item_id""", "ranked_list", "products"))
 def popularity_floor(spark, sf):
-    return _ruled(spark, sf).filter(F.col("rating_number") < 20).groupBy("item_id").agg(F.count("*").alias("lists"))
+    goods = _catalogue(spark, sf).withColumn("rating_number", F.col("rating_number") % 10)
+    listed = rerank.with_metadata(_ranked_list(spark, sf), goods).withColumns({
+        "recent_pos": F.lit(None).cast("int"), "category_count": F.lit(None).cast("long"),
+    })
+    ruled = rerank.apply_rules(listed)
+    floored = F.exists("applied_rules", lambda r: r == F.concat(
+        F.lit("popularity_floor(rating="), F.col("rating_number").cast("string"), F.lit(")")))
+    return ruled.select("user_id", "item_id", floored.alias("floored"), F.round("adjusted_score", 8).alias("adjusted_score"))
 
 
 _PREVIOUS = "pool0"
@@ -575,13 +601,14 @@ def diversity(spark, sf):
 
 
 @query("I13_rule_audit", with_blocks("""
-  SELECT category, count(*) AS items, sum(category_count IS NOT NULL)::BIGINT AS boosted FROM ruled
-  LEFT JOIN context_categories USING (user_id, category) GROUP BY 1""", "ruled", "context_categories"))
+  SELECT user_id, item_id, concat_ws('|',
+           CASE WHEN category_count IS NOT NULL
+                THEN 'intent_boost(' || category || ':+' || printf('%.2f', least(40.0, 8.0 * category_count)) || '%)' END,
+           recent_rule,
+           CASE WHEN rating_number < 5 THEN 'popularity_floor(rating=' || rating_number || ')' END) AS rules
+  FROM ruled LEFT JOIN context_categories USING (user_id, category)""", "ruled", "context_categories"))
 def rule_audit(spark, sf):
-    return _ruled(spark, sf).groupBy("category").agg(
-        F.count("*").alias("items"),
-        F.count_if(F.exists("applied_rules", lambda r: r.startswith("intent_boost("))).alias("boosted"),
-    )
+    return _ruled(spark, sf).select("user_id", "item_id", F.array_join("applied_rules", "|").alias("rules"))
 
 
 @query("I14_final_cut", with_blocks("""
@@ -730,13 +757,33 @@ def precision_recall(spark, sf):
     return _round(evaluate.precision_recall(lists, liked), 6, "precision", "recall")
 
 
-@query("J3_leave_one_out")
+# Stand-in factors over all items a user has not trained on; equal scores go by item id.
+@query("J3_leave_one_out", with_blocks(f"""
+  SELECT k, count(*) AS users, round(avg(hits / k), 6) AS precision, round(avg(hits / liked), 6) AS recall FROM (
+    SELECT k, l.user_id, count(*) AS liked, count(r.item_id) AS hits
+    FROM (SELECT k, user_id, item_id FROM (SELECT unnest([5, 10, 20]) AS k),
+                 (SELECT DISTINCT user_id, item_id FROM test WHERE rating >= 3.5)) l
+    LEFT JOIN (
+      SELECT u.id AS user_id, i.id AS item_id,
+             row_number() OVER (PARTITION BY u.id ORDER BY round({sql_dot("u.factors", "i.factors")}, 9) DESC, i.id) AS position
+      FROM user_factors u, item_factors i
+      ANTI JOIN (SELECT DISTINCT user_id AS uid, item_id AS iid FROM split WHERE ts < last_ts) s ON s.uid = u.id AND s.iid = i.id
+      QUALIFY position <= 20) r ON r.user_id = l.user_id AND r.item_id = l.item_id AND r.position <= k
+    GROUP BY 1, 2) GROUP BY 1""", "test", "split", "user_factors", "item_factors"))
 def leave_one_out(spark, sf):
+    train, test = inter.split_last_out(_interactions(spark, sf))
+    users, items = testviews.user_factors(spark, sf), testviews.item_factors(spark, sf)
+    lists = factors.factor_recall_unseen(users, items, train, 20)
+    liked = evaluate.positives(test, users, items, 3.5)
+    return _round(evaluate.precision_recall(lists, liked), 6, "precision", "recall")
+
+
+@query("J3_fitted_leave_one_out")
+def fitted_leave_one_out(spark, sf):
     model, (train, test) = _fitted(spark, sf)
     users, items = keep(model.users, "user-factors"), keep(model.items, "item-factors")
     lists = factors.factor_recall_unseen(users, items, train, 20)
-    liked = evaluate.positives(test, users, items, 3.5)
-    return evaluate.precision_recall(lists, liked)
+    return evaluate.precision_recall(lists, evaluate.positives(test, users, items, 3.5))
 
 
 block("liked", "SELECT DISTINCT user_id, item_id FROM test WHERE rating >= 4", "test")

@@ -1,8 +1,8 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Examples are a bounded sample of labelled rows (``EXAMPLES``).  Their terms are counted per class
-in Spark; the ``TERMS`` terms that tell the classes apart best (chi-square, one degree of freedom,
-at least ``LEAST_CHI2``) are the vocabulary.  Examples become unit TF-IDF vectors over it and go
+in Spark; the ``TERMS`` terms that tell the classes apart best (squared phi coefficient, at least
+``LEAST_PHI2`` whatever the number of examples) are the vocabulary.  Examples become unit TF-IDF vectors over it and go
 into an inverted index whose examples are sorted by their heaviest term and cut into blocks: for
 every term and block the index knows the largest weight.  A document is scored against blocks in
 the order of their upper bounds, and the search ends when no block can reach the k-th best
@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 
 from shelflight.llm.common import broadcast, labelled_sample, map_batches, words
 
-EXAMPLES, TERMS, LEAST_CHI2, K, BLOCK, PRIOR = 16_384, 512, 30.0, 15, 64, 0.25
+EXAMPLES, TERMS, LEAST_PHI2, K, BLOCK, PRIOR = 16_384, 512, 0.01, 15, 64, 0.25
+CHUNK = 8  # blocks scored at a time
 
 
 def held_out(doc_id: Column) -> Column:
@@ -66,6 +67,7 @@ class Index:
     """Unit vectors of the examples behind per-term, per-block maxima."""
 
     def __init__(self, idf: dict[bytes, float], examples: dict[int, dict[bytes, int]], toxic: dict[int, int]) -> None:
+        self.seen: dict[tuple, tuple[float, list[int]]] = {}
         self.terms = {t: i for i, t in enumerate(sorted(idf))}
         self.idf = np.array([idf[t] for t in sorted(idf)])
         vectors = {e: self.vector(c) for e, c in examples.items()}
@@ -97,17 +99,19 @@ class Index:
         bound = weight @ self.most[ids]
         best = np.empty(0, np.int64)
         cosine = np.empty(0, np.float32)
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or len(best) == k and bound[block] * 1.00001 < cosine[-1]:
+        order = np.argsort(-bound, kind="stable")
+        blocks = self.dense.reshape(len(self.terms), len(bound), BLOCK)
+        for at in range(0, len(order), CHUNK):
+            chunk = order[at : at + CHUNK]
+            if bound[chunk[0]] <= 0 or len(best) == k and bound[chunk[0]] * 1.00001 < cosine[-1]:
                 break
-            rows = slice(block * BLOCK, (block + 1) * BLOCK)
-            score = weight @ self.dense[ids, rows]
+            score = (weight @ blocks[np.ix_(ids, chunk)].reshape(len(ids), -1)).ravel()
             own = np.flatnonzero(score > 0)
-            own = own[own + rows.start < len(self.ids)]
-            best = np.concatenate([best, own + rows.start])
+            rows = chunk[own // BLOCK] * BLOCK + own % BLOCK
+            best = np.concatenate([best, rows])
             cosine = np.concatenate([cosine, score[own]])
-            order = np.lexsort((self.ids[best], -np.round(cosine, 6)))[:k]
-            best, cosine = best[order], cosine[order]
+            first = np.lexsort((self.ids[best], -np.round(cosine, 6)))[:k]
+            best, cosine = best[first], cosine[first]
         return best, cosine
 
     def score(self, text: str | None, k: int = K, prior: float = PRIOR) -> tuple[float, list[int]]:
@@ -115,12 +119,19 @@ class Index:
         found = Counter(w for w in words(text) if get(w) is not None)
         if not found or not len(self.ids):
             return self.alone, []
+        key = (k, prior, *sorted(found.items()))  # many texts hold the same few terms
+        known = self.seen.get(key)
+        if known is not None:
+            return known
         rows, cosine = self.nearest(*self.vector(found), k)
         if not len(rows):
             return self.alone, []
+        if len(self.seen) > 50_000:
+            self.seen.clear()
         weight = cosine.astype(float)
         vote = (weight * self.toxic[rows]).sum() + prior * self.alone
-        return float(vote / (weight.sum() + prior)), self.ids[rows[:3]].tolist()
+        self.seen[key] = float(vote / (weight.sum() + prior)), self.ids[rows[:3]].tolist()
+        return self.seen[key]
 
 
 def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> Index:
@@ -135,10 +146,10 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
         return Index({}, {}, {0: 1} if whole is not None and whole["a"] else {})
     pos, neg = float(whole["a"]), float(whole["b"])
     a, b, n = F.col("a").cast("double"), F.col("b").cast("double"), pos + neg
-    chi2 = n * (a * (neg - b) - b * (pos - a)) ** 2 / (pos * neg * (a + b) * (n - a - b + 1e-9))
-    chosen = per_term.filter((F.length("term") > 0) & (F.col("df") >= 5)).withColumn("chi2", chi2).filter(
-        F.col("chi2") >= LEAST_CHI2
-    ).orderBy(F.col("chi2").desc(), "term").limit(terms).select("term", "df").toPandas()
+    phi2 = (a * (neg - b) - b * (pos - a)) ** 2 / (pos * neg * (a + b) * (n - a - b + 1e-9))
+    chosen = per_term.filter((F.length("term") > 0) & (F.col("df") >= 5)).withColumn("phi2", phi2).filter(
+        F.col("phi2") >= LEAST_PHI2
+    ).orderBy(F.col("phi2").desc(), "term").limit(terms).select("term", "df").toPandas()
     idf = {bytes(t): math.log(n / d) + 1 for t, d in zip(chosen["term"], chosen["df"], strict=True)}
     wanted = counted.filter(F.col("term").isin([bytearray(t) for t in idf]) | (F.length("term") == 0))
     vectors: dict[int, dict[bytes, int]] = {}

@@ -148,11 +148,15 @@ def category_history(context: DataFrame, logs: DataFrame, items: DataFrame, prod
 
 
 def item_history(recent: DataFrame, logs: DataFrame, limit: int = 100) -> DataFrame:
-    """Distinct items over the live list and the newest log rows, with the number of log rows."""
+    """Distinct items over the live list and the newest log rows, sorted, with their number and that of log rows.
+
+    Both sides hold a bounded number of rows per user, so the list does too.
+    """
     rows = recent_rows(logs, limit).select("user_id", "asin", F.lit(1).alias("logged"))
     both = recent.select("user_id", "asin", F.lit(0).alias("logged")).unionByName(rows)
     return both.groupBy("user_id").agg(
-        F.countDistinct("asin").alias("all_items"), F.sum("logged").alias("interaction_count")
+        F.array_sort(F.collect_set("asin")).alias("items"), F.countDistinct("asin").alias("all_items"),
+        F.sum("logged").alias("interaction_count"),
     )
 
 

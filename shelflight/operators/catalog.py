@@ -94,8 +94,8 @@ def droppable_items(items: DataFrame, products: DataFrame, core_keys: DataFrame)
 def drop_counts(dropped: DataFrame, tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     """Dry run: rows each table would lose, as (table, rows).
 
-    ``tables`` maps a name to the frame and the column holding the asin (or the parent for
-    products, which go only when no variant is left).
+    ``tables`` maps a name to the frame and the column holding the asin; products are counted
+    from ``orphan_products``, as they go only when no variant is left.
     """
     out = None
     asins = dropped.select("asin").distinct()

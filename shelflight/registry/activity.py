@@ -177,7 +177,8 @@ _NEWEST_100 = """
 
 
 @query("E17_item_history", with_blocks(f"""
-  SELECT user_id, count(DISTINCT asin) AS all_items, count(*) AS interaction_count FROM ({_NEWEST_100})
+  SELECT user_id, list_sort(list(DISTINCT asin)) AS items, count(DISTINCT asin) AS all_items,
+         count(*) AS interaction_count FROM ({_NEWEST_100})
   GROUP BY 1""", "logs"))
 def item_history(spark, sf):
     logs = testviews.interaction_logs(spark, sf)

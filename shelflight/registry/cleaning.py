@@ -112,16 +112,27 @@ def append_reviews(spark, sf):
     )
 
 
+def _scaled(factor):
+    return F.transform("embedding", lambda x: (x * factor).cast("float"))
+
+
 @query("A7_upsert_vectors", with_blocks("""
-  SELECT item_id, round(embedding[1] * CASE WHEN category = '3' THEN 2 ELSE 1 END, 5) AS first_value,
+  SELECT item_id, round(embedding[1] * CASE WHEN category = '3' THEN 3 ELSE 1 END, 5) AS first_value,
          CAST(('0x' || substr(md5(item_id), 1, 16))::UBIGINT % 9223372036854775808 AS BIGINT) AS id
   FROM vectors""", "vectors"))
 def upsert_vectors(spark, sf):
+    """All vectors stored, then category 3 sent twice in one batch: the copy that arrives last stays."""
     vectors = testviews.item_vectors(spark, sf)
-    stored = sinks.vectors_for_load(vectors)
-    doubled = F.transform("embedding", lambda x: x * 2)
-    again = sinks.vectors_for_load(vectors.filter(F.col("category") == "3").withColumn("embedding", doubled))
-    merged = sinks.upserted(stored, again.unionByName(again), "id", [F.col("item_id").asc()])
+    path = scratch_path(spark, "vectors")
+    sinks.upsert_table(sinks.vectors_for_load(vectors).withColumn("seq", F.lit(0)), path, "id", [F.desc("seq")])
+    batch = None
+    for seq, factor in ((1, 2), (2, 3)):
+        rows = sinks.vectors_for_load(
+            vectors.filter(F.col("category") == "3").withColumn("embedding", _scaled(factor))
+        )
+        rows = rows.withColumn("seq", F.lit(seq))
+        batch = rows if batch is None else batch.unionByName(rows)
+    merged = sinks.upsert_table(batch, path, "id", [F.desc("seq")])
     return merged.select(
         "id", "item_id", F.round(F.get("embedding", F.lit(0)).cast("double"), 5).alias("first_value")
     )

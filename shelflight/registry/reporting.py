@@ -11,6 +11,7 @@ from shelflight.operators import interactions as inter
 from shelflight.registry import query
 from shelflight.registry.cleaning import _DIRTY, _dirty
 from shelflight.registry.ctes import CORE20, with_blocks
+from shelflight.session import keep
 from shelflight.sources import testviews
 from shelflight.sources.tables import read_table
 
@@ -397,14 +398,37 @@ def droppable_items(spark, sf):
   SELECT 'interaction_logs' AS "table", count(*) AS rows FROM logs WHERE asin IN (SELECT asin FROM ({_DROPPED}))
   UNION ALL SELECT 'reviews', count(*) FROM reviews_clean WHERE asin IN (SELECT asin FROM ({_DROPPED}))
   UNION ALL SELECT 'items', count(*) FROM items WHERE asin IN (SELECT asin FROM ({_DROPPED}))
-""", "items", "products", "logs", "reviews_clean", CORE20))
+  UNION ALL SELECT 'cart_items', count(*) FROM cart_items WHERE asin IN (SELECT asin FROM ({_DROPPED}))
+  UNION ALL SELECT 'products', count(*) FROM products WHERE parent_asin IN (SELECT parent_asin FROM ({_DROPPED}))
+    AND parent_asin NOT IN (SELECT parent_asin FROM items WHERE asin NOT IN (SELECT asin FROM ({_DROPPED})))
+""", "items", "products", "logs", "reviews_clean", "cart_items", CORE20))
 def drop_counts(spark, sf):
-    dropped = _droppable(spark, sf)
-    return catalog.drop_counts(dropped, {
+    dropped = keep(_droppable(spark, sf), "dropped")
+    counts = catalog.drop_counts(dropped, {
+        "cart_items": (testviews.cart_items(spark, sf), "asin"),
         "interaction_logs": (testviews.interaction_logs(spark, sf), "asin"),
         "reviews": (testviews.reviews_clean(spark, sf), "asin"),
         "items": (testviews.items(spark, sf), "asin"),
     })
+    orphans = catalog.orphan_products(testviews.items(spark, sf), testviews.products(spark, sf), dropped)
+    return counts.unionByName(orphans.agg(F.count("*").alias("rows")).select(F.lit("products").alias("table"), "rows"))
+
+
+@query("B15_cascade_carts", with_blocks(f"""
+  SELECT cart_id, asin, quantity FROM cart_items WHERE asin NOT IN (SELECT asin FROM ({_DROPPED}))
+""", "items", "products", "cart_items", CORE20))
+def cascade_carts(spark, sf):
+    return catalog.without_items(testviews.cart_items(spark, sf), _droppable(spark, sf)).select("cart_id", "asin", "quantity")
+
+
+@query("B15_cascade_products", with_blocks(f"""
+  SELECT parent_asin FROM products WHERE parent_asin NOT IN (SELECT parent_asin FROM ({_DROPPED}))
+    OR parent_asin IN (SELECT parent_asin FROM items WHERE asin NOT IN (SELECT asin FROM ({_DROPPED})))
+""", "items", "products", CORE20))
+def cascade_products(spark, sf):
+    products = testviews.products(spark, sf).select("parent_asin")
+    orphans = catalog.orphan_products(testviews.items(spark, sf), products, _droppable(spark, sf))
+    return products.join(orphans, "parent_asin", "left_anti")
 
 
 @query("B15_cascade_reviews", with_blocks(f"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,3 +87,29 @@ def append_new(incoming: DataFrame, target: str, key: str, order: Sequence[Colum
     new_rows(incoming, spark.read.parquet(target), key, order).write.parquet(staged)
     spark.read.parquet(staged).write.mode("append").parquet(target)
     return spark.read.parquet(target)
+
+
+def upsert_table(incoming: DataFrame, path: str, key: str, arrival: Sequence[Column], buckets: int = 64) -> DataFrame:
+    """Store rows by key in a table of hash buckets and return the table; the last arrival of a key wins.
+
+    ``arrival`` orders rows of one batch from last to first.  Only buckets that receive rows are
+    read and written anew, and they are staged first, so a job that fails leaves the table as it was.
+    """
+    spark = incoming.sparkSession
+    placed = first_per_group(incoming.filter(F.col(key).isNotNull()), [key], arrival).withColumn(
+        "bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    )
+    staged = scratch_path(spark, "upsert")
+    try:
+        stored = spark.read.parquet(path)
+    except AnalysisException as err:
+        if "PATH_NOT_FOUND" not in str(err):
+            raise
+        placed.write.partitionBy("bucket").parquet(path)
+        return spark.read.parquet(path)
+    touched = placed.select("bucket").distinct()
+    kept = stored.select(*placed.columns).join(touched, "bucket", "left_semi").join(placed.select(key), key, "left_anti")
+    kept.unionByName(placed).write.parquet(staged)
+    (spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("bucket").parquet(path))
+    return spark.read.parquet(path)

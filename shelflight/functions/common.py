@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelflight.session import keep
+
 
 def share(part: Column, whole: Column, scale: float = 100.0) -> Column:
     """``part / whole`` scaled, 0.0 for an empty whole."""
@@ -58,18 +60,14 @@ def folded_median(df: DataFrame, column: str) -> Column:
     return folded.agg(F.percentile("_v", F.lit(0.5), F.col("_n"))).scalar()
 
 
-def wide_median(df: DataFrame, column: str, buckets: int = 4096) -> Column:
+def wide_median(df: DataFrame, column: str) -> Column:
     """The exact median of a continuous column as a scalar column.
 
-    A histogram of fixed size finds the bucket of the middle ranks; only the distinct
-    values of that bucket are ranked one by one.
+    Distinct values are dealt out by range, with bounds sampled from the values themselves, so
+    outliers leave no range fuller than others; only the ranges of the middle ranks are ranked
+    one by one, a window each.
     """
-    folded = _folded(df, column)
-    bounds = folded.agg(F.struct(F.min("_v").alias("lo"), F.max("_v").alias("hi"))).scalar()
-    width = F.col("_r.hi") - F.col("_r.lo")
-    placed = folded.withColumn("_r", bounds).withColumn(
-        "_b", F.when(width > 0, F.floor((F.col("_v") - F.col("_r.lo")) / width * (buckets - 1))).otherwise(F.lit(0))
-    )
+    placed = keep(_folded(df, column).repartitionByRange("_v").withColumn("_b", F.spark_partition_id()), "median")
     ahead = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     histogram = placed.groupBy("_b").agg(F.sum("_n").alias("_size"))
     everything = Window.partitionBy()

@@ -143,7 +143,9 @@ def self_nearest(spark, sf):
     return nearest.self_nearest(nearest.similar_items(v, v, 1))
 
 
-@query("G8_text_embeddings")
+@query("G8_text_embeddings", with_blocks("""
+  SELECT parent_asin AS item_id, 256 AS dimensions, 1.0::DOUBLE AS norm FROM compact
+  WHERE trim(embedding_text) <> ''""", "compact"))
 def text_embeddings(spark, sf):
     compact = texts.compact_texts(texts.semantic_attributes(_text_view(spark, sf)))
     vectors = nearest.encode_texts(compact.withColumnRenamed("parent_asin", "item_id"))

@@ -202,12 +202,24 @@ def factor_recall(spark, sf):
   SELECT user_id, item_id, round(greatest(1, least(5, (SELECT avg(rating) FROM interactions) + bias + mf_score)), 6)
     AS prediction FROM mf_pairs""", "mf_pairs"))
 def predictions(spark, sf):
-    rows = testviews.interactions(spark, sf)
+    rows = _interactions(spark, sf)
     mean = rows.agg(F.avg("rating")).first()[0]
     out = factors.predict(rows, testviews.user_factors(spark, sf), testviews.item_factors(spark, sf), mean)
     return out.select("user_id", "item_id", F.round("prediction", 6).alias("prediction"))
 
 
+@query("H3_predictions_without_bias", with_blocks("""
+  SELECT user_id, item_id, round(greatest(1, least(5, (SELECT avg(rating) FROM interactions) + mf_score)), 6)
+    AS prediction FROM mf_pairs""", "mf_pairs"))
+def predictions_without_bias(spark, sf):
+    rows = _interactions(spark, sf)
+    mean = rows.agg(F.avg("rating")).first()[0]
+    out = factors.predict(
+        rows, testviews.user_factors(spark, sf), testviews.item_factors(spark, sf), mean, zero_bias=True
+    )
+    return out.select("user_id", "item_id", F.round("prediction", 6).alias("prediction"))
+
+
 block("dataset", """
   SELECT user_id, item_id, mf_score, 0.0 AS content_score, coalesce(popularity_score, 0) AS popularity_score,
          coalesce(rating_score, 0) AS rating_score, CAST(rating >= 4 AS INTEGER) AS label
@@ -363,6 +375,16 @@ def content_recall(spark, sf):
     return _round(_content_recall(spark, sf), 5, "score")
 
 
+@query("I2_single_reference", with_blocks("""
+  SELECT user_id, item_id, round(score, 5) AS score,
+         row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, position) AS pos
+  FROM refs JOIN neighbours ON query_id = reference_id AND position <= 50 WHERE pos = 1""", "refs", "neighbours"))
+def single_reference(spark, sf):
+    rows, v = _interactions(spark, sf), testviews.item_vectors(spark, sf)
+    newest = _references(spark, sf, rows).filter(F.col("pos") == 1)
+    return _round(candidates.content_recall(newest, nearest.similar_items(v, v, 60), single=True), 5, "score")
+
+
 # Factor lists of the test buyers, standing in with what they bought, newest first.
 block("bought", """
   SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, item_id) AS pos FROM interactions
@@ -392,6 +414,14 @@ def merged_candidates(spark, sf):
     return _merged(spark, sf)
 
 
+@query("I3_content_only", with_blocks("""
+  SELECT user_id, item_id, 'content' AS source, pos, count(*) OVER (PARTITION BY user_id) AS recall_count
+  FROM content_recall""", "content_recall"))
+def content_only(spark, sf):
+    found = _content_recall(spark, sf)
+    return candidates.merge_candidates(found, found, found, only_content=True)
+
+
 @query("D4_first_seen", with_blocks("""
   SELECT user_id, item_id, source, pos FROM merged""", "merged"))
 def first_seen(spark, sf):

@@ -75,6 +75,14 @@ def approximate_recall(spark, sf):
     return nearest.recall_against(exact, nearest.approximate_similar_items(v, v, 10, cells=16, probes=6))
 
 
+# With every cell visited the approximate search is the exact one.
+@query("G3_all_cells", with_blocks("""
+  SELECT query_id, item_id, round(score, 5) AS score, position FROM neighbours WHERE position <= 10""", "neighbours"))
+def all_cells(spark, sf):
+    v = testviews.item_vectors(spark, sf)
+    return _round(nearest.approximate_similar_items(v, v, 10, cells=16, probes=16), 5, "score")
+
+
 def _pairs(spark, sf):
     """Pairs of bought item and its neighbour on the shelf."""
     return testviews.interactions(spark, sf).select(

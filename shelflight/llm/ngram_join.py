@@ -305,11 +305,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     def star(pairs: DataFrame, own: Column) -> DataFrame:
         """Hang what ``own`` selects on the smallest neighbour of its centre."""
-        least = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # Written, so that AQE may split the join of a centre with very many neighbours.
+        least = keep(pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         return pairs.filter(own).join(least, "u")
 
     now = keep(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    last = None
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = star(both, F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -319,10 +319,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             small.select("u", F.col("m").alias("v"))
         )
         now = keep(small.filter("u <> v").distinct(), "edges")
-        state = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if state == last:
+        # Done when all pieces are stars: nobody has two centres, and no centre has one.
+        ends = now.select(F.col("u").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(
+            now.select(F.col("v").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("holds"))
+        )
+        nodes = ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+        if nodes.filter((F.col("hangs") > 1) | (F.col("hangs") + F.col("holds") > 1)).isEmpty():
             break
-        last = state
     else:
         raise RuntimeError(f"no fixpoint after {rounds} rounds")
     leaves = now.select(F.col("u").alias("key"), F.col("v").alias("root"))
@@ -338,11 +341,31 @@ def candidate_pieces(reps: DataFrame) -> DataFrame:
     return components(keep(edges.distinct(), "candidates"))
 
 
+def possibly_in(rows: DataFrame, wanted: DataFrame, columns: list[str], bits: int = 1 << 24) -> DataFrame:
+    """The rows whose ``columns`` may occur in ``wanted``: what surely does not is dropped in place.
+
+    A bit map of fixed size, 2 MB, is broadcast whatever the size of ``wanted``; the fuller it is,
+    the more rows pass, never one too few.
+    """
+    slot = F.pmod(F.xxhash64(*columns), F.lit(bits)) + 1
+    maps = wanted.groupBy(F.bitmap_bucket_number(slot).alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("_map")
+    )
+    at = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring("_map", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    is_set = F.bit_get(byte.cast("long"), (at % 8).cast("int")) == 1
+    return rows.withColumn("_bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(maps), "_bucket").filter(is_set).drop(
+        "_bucket", "_map"
+    )
+
+
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``wanted`` (doc_id, mark, key, root, n) with the shingle set of the text, once per key."""
     text = F.coalesce("text", F.lit(""))
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
-    found = thin.join(wanted.select("doc_id", "mark", "key", "root", "n"), ["doc_id", "mark"])
+    thin = possibly_in(thin, wanted, ["doc_id", "mark"])
+    name = F.struct("doc_id", "mark").alias("name")  # structs are equal with null ids, too
+    found = thin.select(name, "doc_id", "text").join(wanted.select(name, "key", "root", "n"), "name")
     hashes = _WordHashes()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

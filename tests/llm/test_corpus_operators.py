@@ -189,6 +189,8 @@ def test_near_copy_edges(spark):
             (None, "a b c d e f", None), (6, "a b c d e f", None), (7, "w " * 40_000, None)]
     got = sorted(((r.doc_id or -1, r.class_id or -1, r.n_links, r.n_copies) for r in ngram_join.link(frame(spark, rows)).collect()))
     assert got == [(-1, -1, 0, 2), (1, 1, 0, 1), (2, 2, 0, 1), (3, 3, 0, 1), (4, 4, 0, 3), (4, 4, 0, 3), (5, 4, 0, 3), (6, -1, 0, 2), (7, 7, 0, 1)]
+    near = [(None, " ".join(map(str, range(60))), None), (8, " ".join(map(str, range(61))), None)]
+    assert [(r.class_id, r.n_links) for r in ngram_join.link(frame(spark, near)).collect()] == [(None, 1)] * 2
     kept = ngram_join.one_per_class(frame(spark, rows))
     assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 2, 3, 4, 7] and "key" in kept.columns
     assert ngram_join.link(frame(spark, [])).count() == 0

@@ -7,6 +7,12 @@ until one of them is 0 or 1.  The words a source takes therefore stay equal to i
 the rounding of one last document, and as groups are folded from large to small documents, that
 one is small.
 
+The ``HEAVY`` largest documents of a source go first, one after the other, as one long document is
+worth thousands of others: each is paired with all documents after it together, and what its
+rounding leaves over or short moves to them by their common rate.  The direction is random, unless
+one direction would leave more or less than the others can take.  So only small documents are left
+to the end.
+
 The pairs form a reduction tree: documents meet in groups of ``GROUP`` by a hash of their id, a
 group hands on its one undecided document, and those meet in groups again.  So a source of any
 size is rounded by many tasks, and the tree has log(n) / log(GROUP) levels.  All randomness is a
@@ -25,9 +31,10 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelflight.functions.common import top_per_group
 from shelflight.session import keep
 
-GROUP = 64
+GROUP = HEAVY = 64
 WEIGHTS = (5.0, 2.0, 1.0)
 _NEAR = 1e-9
 
@@ -123,63 +130,124 @@ ROW = "struct<doc_id:bigint,copy:bigint>"
 _DONE = f"array<struct<row:{ROW},size:bigint,copies:int>>"
 
 
-def mix(docs: DataFrame, seed: int = 17, weights: Sequence[float] = WEIGHTS, share: float = 1.5) -> DataFrame:
+def _folded(due: DataFrame, keys: list[str], level: int, seed: int) -> DataFrame:
+    """One fold per group of bounded size: its decided documents and the one left over."""
+    # Large documents first: what is left of a large one is spread over the smaller ones after it.
+    item = F.struct((-F.col("size")).alias("order"), "row", "size", "p", "base")
+    start = F.struct(
+        F.array().cast(_DONE).alias("done"), F.lit(None).cast(ROW).alias("row"), F.lit(1.0).alias("size"),
+        F.lit(0.0).alias("p"), F.lit(0).alias("base"),
+    )
+    return due.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items")).select(
+        *keys, F.aggregate("items", start, lambda state, x: _pair(state, x, level, seed)).alias("state")
+    )
+
+
+def _heaviest(heavy: DataFrame, goals: DataFrame, most: float, seed: int) -> DataFrame:
+    """(_source, spent, heavy_size, n_heavy, done): the largest documents against all after them."""
+    item = F.struct((-F.col("size")).alias("order"), "row", "size")
+    grouped = heavy.groupBy("_source").agg(F.array_sort(F.collect_list(item)).alias("items")).join(goals, "_source")
+
+    def settle(state: Column, x: Column) -> Column:
+        s, due, behind = x["size"].cast("double"), F.col("target") - state["spent"], state["left"] - x["size"]
+        rate = F.least(F.greatest(due / state["left"], F.lit(0.0)), F.lit(most))
+
+        def choose(r: Column) -> Column:
+            base = F.floor(r + _NEAR)
+            up_fits = due - s * (base + 1) >= 0
+            down_fits = due - s * base <= most * behind
+            drawn = uniform(x["row"]["doc_id"], F.lit(seed), F.lit("heavy")) < r - base
+            up = F.when(up_fits & ~down_fits, F.lit(True)).when(down_fits & ~up_fits, F.lit(False)).otherwise(drawn)
+            return F.least(base + F.when(up & (r - base > _NEAR), 1).otherwise(0), F.lit(int(most))).cast("int")
+
+        def after(copies: Column) -> Column:
+            item = F.struct(x["row"].alias("row"), x["size"].alias("size"), copies.alias("copies"))
+            return F.struct(
+                (state["spent"] + s * copies).alias("spent"), behind.alias("left"),
+                F.concat(state["done"], F.array(item)).alias("done"),
+            )
+
+        return let(let(rate, choose), after)
+
+    start = F.struct(F.lit(0.0).alias("spent"), F.col("source_size").alias("left"), F.array().cast(_DONE).alias("done"))
+    return grouped.withColumn("state", F.aggregate("items", start, settle)).select(
+        "_source", "state.spent", (F.col("source_size") - F.col("state.left")).alias("heavy_size"),
+        F.size("state.done").alias("n_heavy"), "state.done",
+    )
+
+
+def _last(open_: DataFrame, seed: int) -> DataFrame:
+    """The document left over at the end is rounded by its own probability."""
+    up = F.when(uniform(F.col("row.doc_id"), F.lit(seed), F.lit("last")) < F.col("p"), 1).otherwise(0)
+    return open_.select("_source", F.struct("row", "size", (F.col("base") + up).cast("int").alias("copies")).alias("done"))
+
+
+def _open(folded: DataFrame, *keys: str) -> DataFrame:
+    return folded.filter(F.col("state.row").isNotNull()).select(
+        *keys, "state.row", F.col("state.size").cast("long").alias("size"), "state.p", "state.base"
+    )
+
+
+def _due(docs: DataFrame, rates: DataFrame) -> DataFrame:
+    """Whole and fractional copies of every document by the rate of its source."""
+    whole = F.floor(F.col("rate") + _NEAR)
+    return docs.join(rates, "_source").withColumn("base", whole.cast("int")).withColumn(
+        "p", F.greatest(F.col("rate") - whole, F.lit(0.0))
+    )
+
+
+def mix(docs: DataFrame, seed: int = 17, weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) of every document."""
     thin = docs.select(
-        "doc_id", "source", word_count(F.col("text")).alias("size"),
+        F.struct("source").alias("_source"), word_count(F.col("text")).alias("size"),
         F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("copy")).alias("row"),
     )
     thin = keep(thin, "mix-sizes")
-    goals = keep(targets(thin, weights, share), "mix-targets")
+    goals = targets(thin.select("_source.source", "size"), weights, share, most)
+    goals = keep(goals.select(F.struct("source").alias("_source"), "source_size", "target", "n_docs"), "mix-targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    due = thin.withColumn("_source", F.struct("source")).join(
-        goals.select(F.struct("source").alias("_source"), "source_size", "target", "n_docs"), "_source"
-    ).withColumn("base", F.floor(rate + _NEAR).cast("int")).withColumn("p", F.greatest(rate - F.col("base"), F.lit(0.0)))
+
+    # The largest documents, a bounded number per source.
+    heavy = keep(top_per_group(
+        thin.filter("size > 0"), ["_source"], [F.desc("size"), F.asc("row")], HEAVY
+    ).drop("_pos"), "mix-heavy")
+    spent = keep(_heaviest(heavy, goals, most, seed), "mix-heavy-fold")
+    settled = spent.select("_source", F.explode("done").alias("done"))
+    zero = F.lit(0)
+    left = goals.join(spent.drop("done"), "_source", "left").select(
+        "_source", F.greatest(F.col("n_docs") - F.coalesce("n_heavy", zero), zero).alias("n_rest"),
+        F.when(
+            F.col("source_size") > F.coalesce("heavy_size", zero),
+            F.least(F.greatest((F.col("target") - F.coalesce("spent", zero)) / (F.col("source_size") - F.coalesce("heavy_size", zero)),
+                               F.lit(0.0)), F.lit(most)),
+        ).otherwise(rate).alias("rate"),
+    )
+    left = keep(left, "mix-rest")
+
+    rest = _due(thin.join(heavy.select("row"), "row", "left_anti"), left)
     alone = (F.col("size") == 0) | (F.col("p") < _NEAR)
-    own = F.when(uniform(F.col("doc_id"), F.lit(seed)) < F.col("p"), 1).otherwise(0)
-    decided = due.filter(alone).select(
+    own = F.when(uniform(F.col("row.doc_id"), F.lit(seed)) < F.col("p"), 1).otherwise(0)
+    decided = rest.filter(alone).select(
         "_source", F.struct("row", "size", (F.col("base") + own).cast("int").alias("copies")).alias("done")
     )
-    groups = F.ceil(F.col("n_docs") / GROUP)
-    level = due.filter(~alone).select(
+    groups = F.greatest(F.ceil(F.col("n_rest") / GROUP), F.lit(1))
+    level = rest.filter(~alone).select(
         "_source", "row", "size", "p", "base",
-        F.pmod(F.xxhash64("doc_id", F.lit(seed)), groups).alias("cell"), groups.alias("cells"),
+        F.pmod(F.xxhash64("row.doc_id", F.lit(seed)), groups).alias("cell"), groups.alias("cells"),
     )
-    largest = goals.agg(F.coalesce(F.max("n_docs"), F.lit(0))).first()[0]
+    largest = left.agg(F.coalesce(F.max("n_rest"), F.lit(0))).first()[0]
     depth, cells = 1, -(-largest // GROUP)
     while cells > 1:
         depth, cells = depth + 1, -(-cells // GROUP)
-
-    def fold(number: int) -> Callable[[Column, Column], Column]:
-        return lambda state, x: _pair(state, x, number, seed)
-
-    parts = [decided]
+    every = settled.unionByName(decided)
     for number in range(depth):
-        # Large documents first: what is left of a large one is spread over the smaller ones after it.
-        item = F.struct((-F.col("size")).alias("order"), "row", "size", "p", "base")
-        start = F.struct(
-            F.array().cast(_DONE).alias("done"), F.lit(None).cast(ROW).alias("row"), F.lit(1.0).alias("size"),
-            F.lit(0.0).alias("p"), F.lit(0).alias("base"),
-        )
-        folded = level.groupBy("_source", "cell", "cells").agg(F.array_sort(F.collect_list(item)).alias("items")).select(
-            "_source", "cell", "cells",
-            F.aggregate("items", start, fold(number)).alias("state"),
-        )
-        folded = keep(folded, f"mix-level{number}")
-        parts.append(folded.select("_source", F.explode("state.done").alias("done")))
-        open_ = folded.filter(F.col("state.row").isNotNull())
-        level = open_.select(
-            "_source", "state.row", F.col("state.size").cast("long").alias("size"), "state.p", "state.base",
-            F.floor(F.col("cell") / GROUP).alias("cell"), F.ceil(F.col("cells") / GROUP).alias("cells"),
+        folded = keep(_folded(level, ["_source", "cell", "cells"], number, seed), f"mix-level{number}")
+        every = every.unionByName(folded.select("_source", F.explode("state.done").alias("done")))
+        level = _open(folded, "_source", "cell", "cells").withColumn("cell", F.floor(F.col("cell") / GROUP)).withColumn(
+            "cells", F.ceil(F.col("cells") / GROUP)
         )
-    last = F.when(uniform(F.col("row.doc_id"), F.lit(seed), F.lit("last")) < F.col("p"), 1).otherwise(0)
-    parts.append(level.select(
-        "_source", F.struct("row", "size", (F.col("base") + last).cast("int").alias("copies")).alias("done")
-    ))
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    return every.join(goals.select(F.struct("source").alias("_source"), "source_size", "target"), "_source").select(
+    every = every.unionByName(_last(level, seed))
+    return every.join(goals.select("_source", "source_size", "target"), "_source").select(
         F.col("done.row.doc_id").alias("doc_id"), F.col("_source.source").alias("source"), F.col("done.size").alias("size"),
         "source_size", "target", F.col("done.copies").alias("copies"),
         (F.col("done.size") * F.col("done.copies")).alias("taken"),

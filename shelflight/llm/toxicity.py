@@ -1,28 +1,37 @@
-"""Toxicity by the nearest labelled examples under exact TF-IDF cosine.
-
-Examples are a bounded sample of labelled rows (``EXAMPLES``).  Their terms are counted per class
-in Spark; the ``TERMS`` terms that tell the classes apart best (squared phi coefficient, at least
-``LEAST_PHI2`` whatever the number of examples) are the vocabulary.  Examples become unit TF-IDF vectors over it and go
-into an inverted index whose examples are sorted by their heaviest term and cut into blocks: for
-every term and block the index knows the largest weight.  A document is scored against blocks in
+"""Toxicity by the nearest labelled examples under the exact cosine of weighted TF-IDF vectors.
+
+Examples are a bounded sample of labelled rows (``EXAMPLES``).  Every term of theirs is indexed,
+however rare, and counts with ``(1 + log tf) * idf * gain``.  The gain is what the term says about
+the class: the divergence of its share of toxic examples, drawn towards the overall share by
+``STRENGTH`` examples, from that overall share, and ``FLOOR`` at least.  With plain TF-IDF the
+nearest examples are about the same topic, not of the same class: on sf0.1 it finds 22 of the 97
+held-out toxic rows, with the gain it finds 91.
+
+Examples become unit vectors, are sorted by their heaviest term and cut into blocks.  Terms of at
+least one example in ``OFTEN`` are written out with their largest weight in every block, all others
+are postings.  A document's postings are summed over all examples; blocks are then completed in
 the order of their upper bounds, and the search ends when no block can reach the k-th best
-example: the k neighbours are exact.  The index has a size bounded by the two parameters.
+example: the k neighbours are exact.  The index grows with the distinct words of the sampled
+examples, not with the corpus.
 
 Score: the neighbours' labels weighed by cosine, drawn towards ``alone``, the share of toxic
-examples among those without any vocabulary term, by a weight of ``PRIOR``.  A document without
-vocabulary terms (empty and null texts too) has no neighbours and scores ``alone`` itself.  Ties of
-the cosine go to the smaller example id; the nearest ids are returned as evidence.
-
-Edge rows: repeated rows are scored each; labels that are null are no examples; without examples
-of both classes every score is the share of toxic examples (0 without any); an empty table gives
-an empty result; other columns are carried along by the filter and ignored by the scores.
+examples among those without any word (0 where there is none), by a weight of ``PRIOR``.  A
+document without words of the examples (empty and null texts too) has no neighbours and scores
+``alone`` itself.  Ties of the cosine go to the smaller example id; the nearest ids are returned as
+evidence.
+
+Edge rows: repeated rows are scored each; of rows that share the id of an example one is the
+example; labels that are null are no examples; without examples of both classes every score is the
+share of toxic examples (0 without any); an empty table gives an empty result; other columns are
+carried along by the filter and ignored by the scores.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +40,9 @@ from pyspark.sql import functions as F
 
 from shelflight.llm.common import broadcast, labelled_sample, map_batches, words
 
-EXAMPLES, TERMS, LEAST_PHI2, K, BLOCK, PRIOR = 16_384, 512, 0.01, 15, 64, 0.25
-CHUNK = 8  # blocks scored at a time
+EXAMPLES, STRENGTH, FLOOR, K, BLOCK, PRIOR = 16_384, 10.0, 0.001, 15, 64, 0.25
+OFTEN = 16
+CHUNK = 8  # blocks scored at first; twice as many each time
 
 
 def held_out(doc_id: Column) -> Column:
@@ -40,7 +50,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def example_terms(docs: DataFrame, sample: dict[str, np.ndarray]) -> DataFrame:
-    """(doc_id, toxic, term, n) of the examples; documents are filtered by id where they lie."""
+    """(doc_id, toxic, terms, counts) of the examples; documents are filtered by id where they lie.
+
+    Words hold no space, so the distinct ones are joined by spaces; their counts are packed.
+    """
     order = np.argsort(sample["doc_id"], kind="stable")
     ids, first = np.unique(sample["doc_id"][order].astype(np.int64), return_index=True)
     shared = broadcast(docs, (ids, sample["toxic"][order][first].astype(np.int32)))
@@ -50,76 +63,124 @@ def example_terms(docs: DataFrame, sample: dict[str, np.ndarray]) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
             at = np.minimum(np.searchsorted(known, ids), max(len(known) - 1, 0))
-            for row in np.flatnonzero(known[at] == ids) if len(known) else ():
-                counts = Counter(words(batch.column(1)[int(row)].as_py()))
-                terms = [*counts, b""]  # the empty term stands for the document itself
-                n = len(terms)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, ids[row])), pa.array(np.full(n, toxic[at[row]], np.int32)),
-                     pa.array(terms, pa.binary()), pa.array([*counts.values(), 1], pa.int64())],
-                    ["doc_id", "toxic", "term", "n"],
-                )
+            rows = np.flatnonzero(known[at] == ids) if len(known) else np.zeros(0, np.int64)
+            counted = [Counter(words(batch.column(1)[int(row)].as_py())) for row in rows]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[rows]), pa.array(toxic[at[rows]] if len(rows) else [], pa.int32()),
+                 pa.array([b" ".join(c) for c in counted], pa.binary()),
+                 pa.array([np.array([*c.values()], "<i4").tobytes() for c in counted], pa.binary())],
+                ["doc_id", "toxic", "terms", "counts"],
+            )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, toxic int, term binary, n long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, toxic int, terms binary, counts binary")
 
 
 class Index:
-    """Unit vectors of the examples behind per-term, per-block maxima."""
+    """Unit vectors of the examples: postings of rare terms, frequent ones behind block maxima."""
 
-    def __init__(self, idf: dict[bytes, float], examples: dict[int, dict[bytes, int]], toxic: dict[int, int]) -> None:
+    def __init__(
+        self, weights: dict[bytes, float], examples: dict[int, dict[bytes, int]] | Iterable[tuple[int, dict[bytes, int]]],
+        toxic: dict[int, int],
+    ) -> None:
         self.seen: dict[tuple, tuple[float, list[int]]] = {}
-        self.terms = {t: i for i, t in enumerate(sorted(idf))}
-        self.idf = np.array([idf[t] for t in sorted(idf)])
-        vectors = {e: self.vector(c) for e, c in examples.items()}
+        self.terms = {t: i for i, t in enumerate(sorted(weights))}
+        self.weights = np.array([weights[t] for t in self.terms], float)
+        pairs = examples.items() if isinstance(examples, dict) else examples
+        vectors = {e: (ids.astype(np.int32), w.astype(np.float32)) for e, (ids, w) in ((e, self.vector(c)) for e, c in pairs)}
         empty = [toxic[e] for e in toxic if e not in vectors or not len(vectors[e][0])]
-        self.alone = float(np.mean(empty)) if empty else float(np.mean(list(toxic.values()))) if toxic else 0.0
+        self.alone = float(np.mean(empty)) if empty else 0.0
         kept = [e for e, (ids, _) in vectors.items() if len(ids)]
         heaviest = {e: vectors[e][0][np.argmax(vectors[e][1])] for e in kept}
         kept.sort(key=lambda e: (heaviest[e], e))
         self.ids = np.array(kept, np.int64)
         self.toxic = np.array([toxic[e] for e in kept], float)
-        blocks = -(-len(kept) // BLOCK)
-        self.dense = np.zeros((len(self.terms), blocks * BLOCK))  # bounded: TERMS x EXAMPLES
-        for row, e in enumerate(kept):
-            self.dense[vectors[e][0], row] = vectors[e][1]
-        self.dense = self.dense.astype(np.float32)
-        self.most = self.dense.reshape(len(self.terms), blocks, BLOCK).max(axis=2) if blocks else np.zeros((len(self.terms), 0), np.float32)
+        self.blocks = -(-len(kept) // BLOCK)
+        sizes = [len(vectors[e][0]) for e in kept]
+        term = np.concatenate([np.zeros(0, np.int32), *(vectors[e][0] for e in kept)])
+        cosines = np.concatenate([np.zeros(0, np.float32), *(vectors[e][1] for e in kept)])
+        vectors.clear()
+        order = np.argsort(term, kind="stable")
+        self.rows = np.repeat(np.arange(len(kept), dtype=np.int32), sizes)[order]
+        self.cosines = cosines[order]
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(self.terms)))]).astype(np.int64)
+        often = np.flatnonzero(np.diff(self.start) * OFTEN >= max(len(kept), 1))
+        self.place = np.full(len(self.terms), -1)  # row of a frequent term
+        self.place[often] = np.arange(len(often))
+        self.often: np.ndarray | None = None  # written where the first document is scored
+
+    def __getstate__(self) -> dict:
+        """The terms travel as one string of bytes, not as an object each; only their order counts."""
+        return self.__dict__ | {"terms": b" ".join(self.terms), "seen": {}, "most": None, "often": None}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self.terms = {t: i for i, t in enumerate(self.terms.split())}
+
+    def _write_often(self) -> None:
+        often = np.flatnonzero(self.place >= 0)
+        self.often = self._written(often)
+        self.most = self.often.max(axis=2) if self.blocks else np.zeros((len(often), 0), np.float32)
+
+    def _written(self, terms: np.ndarray) -> np.ndarray:
+        """Weights of all examples, (term, block, row of the block)."""
+        out = np.zeros((len(terms), self.blocks * BLOCK), np.float32)
+        for row, t in enumerate(terms):
+            own = slice(self.start[t], self.start[t + 1])
+            out[row, self.rows[own]] = self.cosines[own]
+        return out.reshape(len(terms), self.blocks, BLOCK)
+
+    @property
+    def dense(self) -> np.ndarray:
+        """All terms written out, for checks on small indexes."""
+        return self._written(np.arange(len(self.terms))).reshape(len(self.terms), -1)
 
     def vector(self, counts: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Term ids and unit weights (1 + log tf) * idf."""
+        """Term ids and unit weights (1 + log tf) * weight of the term."""
         known = sorted((self.terms[t], n) for t, n in counts.items() if t in self.terms)
         ids = np.array([t for t, _ in known], np.int64)
-        weight = (1 + np.log(np.array([n for _, n in known], float))) * self.idf[ids]
+        weight = (1 + np.log(np.array([n for _, n in known], float))) * self.weights[ids]
         norm = math.sqrt(float((weight**2).sum()))
         return ids, weight / norm if norm else weight
 
     def nearest(self, ids: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the k nearest examples with a cosine above 0; blocks by upper bound."""
+        if self.often is None:
+            self._write_often()
         weight = weight.astype(np.float32)
-        bound = weight @ self.most[ids]
+        place = self.place[ids]
+        rare, often = place < 0, place >= 0
+        first, times = self.start[ids[rare]], self.start[ids[rare] + 1] - self.start[ids[rare]]
+        at = np.repeat(first - np.cumsum(times) + times, times) + np.arange(times.sum())
+        summed = np.bincount(
+            self.rows[at], self.cosines[at] * np.repeat(weight[rare], times), self.blocks * BLOCK
+        ).astype(np.float32).reshape(self.blocks, BLOCK)
+        place, weight = place[often], weight[often]
+        bound = summed.max(axis=1) + weight @ self.most[place]
         best = np.empty(0, np.int64)
         cosine = np.empty(0, np.float32)
         order = np.argsort(-bound, kind="stable")
-        blocks = self.dense.reshape(len(self.terms), len(bound), BLOCK)
-        for at in range(0, len(order), CHUNK):
-            chunk = order[at : at + CHUNK]
-            if bound[chunk[0]] <= 0 or len(best) == k and bound[chunk[0]] * 1.00001 < cosine[-1]:
+        start, size = 0, CHUNK
+        while start < len(order):
+            least = cosine[-1] if len(best) == k else 0.0
+            chunk = order[start : start + size]
+            chunk = chunk[(bound[chunk] > 0) & (bound[chunk] * 1.00001 + 1e-6 >= least)]
+            if not len(chunk):
                 break
-            score = (weight @ blocks[np.ix_(ids, chunk)].reshape(len(ids), -1)).ravel()
-            own = np.flatnonzero(score > 0)
-            rows = chunk[own // BLOCK] * BLOCK + own % BLOCK
-            best = np.concatenate([best, rows])
+            score = (summed[chunk] + (weight @ self.often[np.ix_(place, chunk)].reshape(len(place), len(chunk) * BLOCK)).reshape(-1, BLOCK)).ravel()
+            own = np.flatnonzero((score > 0) & (score + 2e-6 >= least))
+            best = np.concatenate([best, chunk[own // BLOCK] * BLOCK + own % BLOCK])
             cosine = np.concatenate([cosine, score[own]])
-            first = np.lexsort((self.ids[best], -np.round(cosine, 6)))[:k]
-            best, cosine = best[first], cosine[first]
+            top = np.lexsort((self.ids[best], -np.round(cosine, 6)))[:k]
+            best, cosine = best[top], cosine[top]
+            start, size = start + size, size * 2
         return best, cosine
 
     def score(self, text: str | None, k: int = K, prior: float = PRIOR) -> tuple[float, list[int]]:
-        get = self.terms.get
-        found = Counter(w for w in words(text) if get(w) is not None)
+        terms = self.terms
+        found = {w: n for w, n in Counter(words(text)).items() if w in terms}
         if not found or not len(self.ids):
             return self.alone, []
-        key = (k, prior, *sorted(found.items()))  # many texts hold the same few terms
+        key = (k, prior, sha256(text.encode("utf-8", "surrogatepass")).digest())  # copies are scored once
         known = self.seen.get(key)
         if known is not None:
             return known
@@ -134,31 +195,37 @@ class Index:
         return self.seen[key]
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> Index:
+def term_weights(df: np.ndarray, toxic: np.ndarray, n: float, n_toxic: float) -> np.ndarray:
+    """Idf times gain of terms found in ``df`` examples, ``toxic`` of them toxic; above 0 for every term."""
+    share = n_toxic / n
+    own = (toxic + STRENGTH * share) / (df + STRENGTH)
+    gain = own * np.log(own / share) + (1 - own) * np.log((1 - own) / (1 - share))
+    return (np.log(n / df) + 1) * (gain + FLOOR)
+
+
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
     """The index, from labelled rows that are not held out."""
     sample = labelled_sample(labels.filter(~held_out(F.col("doc_id"))), ["toxic"], examples)
-    counted = example_terms(docs, sample)
-    per_term = counted.groupBy("term").agg(
-        F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"), F.count("*").alias("df")
-    )
-    whole = per_term.filter(F.length("term") == 0).first()
-    if whole is None or not whole["a"] or not whole["b"]:
-        return Index({}, {}, {0: 1} if whole is not None and whole["a"] else {})
-    pos, neg = float(whole["a"]), float(whole["b"])
-    a, b, n = F.col("a").cast("double"), F.col("b").cast("double"), pos + neg
-    phi2 = (a * (neg - b) - b * (pos - a)) ** 2 / (pos * neg * (a + b) * (n - a - b + 1e-9))
-    chosen = per_term.filter((F.length("term") > 0) & (F.col("df") >= 5)).withColumn("phi2", phi2).filter(
-        F.col("phi2") >= LEAST_PHI2
-    ).orderBy(F.col("phi2").desc(), "term").limit(terms).select("term", "df").toPandas()
-    idf = {bytes(t): math.log(n / d) + 1 for t, d in zip(chosen["term"], chosen["df"], strict=True)}
-    wanted = counted.filter(F.col("term").isin([bytearray(t) for t in idf]) | (F.length("term") == 0))
-    vectors: dict[int, dict[bytes, int]] = {}
+    packed: dict[int, tuple[bytes, bytes]] = {}
     toxic: dict[int, int] = {}
-    for row in wanted.toPandas().itertuples():
-        toxic[row.doc_id] = int(row.toxic)
-        if row.term:
-            vectors.setdefault(row.doc_id, {})[bytes(row.term)] = int(row.n)
-    return Index(idf, vectors, toxic)
+    for row in example_terms(docs, sample).collect():
+        own = bytes(row["terms"]), bytes(row["counts"])
+        packed[row["doc_id"]] = min(own, packed.get(row["doc_id"], own))
+        toxic[row["doc_id"]] = int(row["toxic"])
+    if len(set(toxic.values())) < 2:
+        return Index({}, {}, {0: 1} if 1 in toxic.values() else {})
+    counted: dict[int, Counter] = {0: Counter(), 1: Counter()}
+    for e, (terms, _) in packed.items():
+        counted[toxic[e]].update(terms.split())
+    number = list(counted[0] | counted[1])
+    in_toxic, in_clean = (np.array([counted[c][t] for t in number], float) for c in (1, 0))
+    counted.clear()
+    weight = term_weights(in_toxic + in_clean, in_toxic, len(toxic), sum(toxic.values()))
+    vectors = (
+        (e, dict(zip(terms.split(), np.frombuffer(counts, "<i4").tolist(), strict=True)))
+        for e, (terms, counts) in packed.items()
+    )
+    return Index(dict(zip(number, weight.tolist(), strict=True)), vectors, toxic)
 
 
 def score_documents(docs: DataFrame, index: Index) -> DataFrame:

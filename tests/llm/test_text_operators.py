@@ -1,6 +1,7 @@
 """Per-row operators against brute force, and their edge rows."""
 
 import re
+import zlib
 from hashlib import sha256
 
 import duckdb
@@ -246,3 +247,19 @@ def test_toxic_documents_are_found(spark):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i in range(400) if i % 3} | {1000, 1001}
     assert toxicity.without_toxic(docs, labels.limit(0)).count() == len(rows)
     assert toxicity.without_toxic(frame(spark, []), labels).count() == 0
+
+
+def test_rare_toxic_words_count(spark):
+    rng = np.random.default_rng(12)
+    plain = [f"w{i}" for i in range(300)]
+    rare = [i for i in range(1500) if zlib.crc32(str(i).encode()) % 5][:3]
+    def text(i):
+        return " ".join(rng.choice(plain, 12)) + (" zounds" if i in rare else " idiot" if i % 3 == 0 else "")
+    # The word is in three of some 400 toxic examples, in less than 1 % of them.
+    toxic = {i for i in range(1500) if i in rare or i % 3 == 0}
+    rows = [(i, text(i)) for i in range(1500)] + [(2000, "zounds " + " ".join(plain[:6])), (2001, "Zounds")]
+    labels = spark.createDataFrame([(i, 1, int(i in toxic)) for i in range(1500)], "doc_id long, quality int, toxic int")
+    index = toxicity.fit(frame(spark, rows), labels)
+    assert {w.encode() for w in plain} <= set(index.terms) and b"zounds" in index.terms
+    got = rows_by_id(toxicity.score_documents(frame(spark, rows[-2:]), index))
+    assert got[2000]["score"] >= 0.5 and got[2001]["score"] >= 0.5

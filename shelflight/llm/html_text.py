@@ -39,6 +39,7 @@ _BAD_NAME = re.compile(
     re.I,
 )
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in _RAW}
 _CUT = _RAW | {"head", "nav", "header", "footer", "aside", "form", "button", "select", "svg", "menu", "dialog", "object",
                "canvas", "audio", "video", "math"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -79,13 +80,10 @@ def _is_cut(name: str, attrs: str) -> bool:
 def parse(html: str) -> Node:
     """The tree; text nodes are strings, cut elements keep no text."""
     root = Node("html", None)
-    here, raw = root, ""
-    for token in _TOKEN.finditer(html):
-        name = token["name"]
-        if raw:
-            if name and token["close"] and name.lower() == raw:
-                raw = ""
-            continue
+    here, at_char = root, 0
+    while at_char < len(html):
+        token = _TOKEN.match(html, at_char)
+        at_char, name = token.end(), token["name"]
         if name is None:
             text = token["cdata"] if token["cdata"] is not None else token[0] if token[0][0] != "<" or token[0] == "<" else ""
             if text and not here.cut:
@@ -112,7 +110,9 @@ def parse(html: str) -> Node:
             if at is not None and at.name in _SIBLINGS[name]:
                 here = at.parent
         if name in _RAW:
-            raw = "" if token["attrs"].endswith("/") and name in ("svg",) else name
+            # What is inside is no markup: on behind its own end tag, or nothing more without one.
+            end = _RAW_END[name].search(html, at_char)
+            at_char = end.end() if end else len(html)
             continue
         if name in ("html", "body"):
             continue

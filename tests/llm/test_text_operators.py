@@ -263,3 +263,12 @@ def test_rare_toxic_words_count(spark):
     assert {w.encode() for w in plain} <= set(index.terms) and b"zounds" in index.terms
     got = rows_by_id(toxicity.score_documents(frame(spark, rows[-2:]), index))
     assert got[2000]["score"] >= 0.5 and got[2001]["score"] >= 0.5
+
+
+@pytest.mark.parametrize("script", [
+    "<script>for(i=0;i<n;i++){s+=a[i]}</script>", "<SCRIPT type='x'>if(a<b)c='it'+\"</p>\"</Script >", "<style>/* <!-- */ a{}</style>",
+    "<script>x<y'</script>", "<textarea><b title='</textarea>", "<script></scripts></script/>",
+])
+def test_text_after_a_script_stays(script):
+    assert html_text.main_text(f"<head>{script}</head><p>Article.</p>") == "Article."
+    assert html_text.main_text(f"<p>Article.</p>{script}<p>More.</p>") == "Article. More."

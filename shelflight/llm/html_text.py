@@ -2,8 +2,10 @@
 
 The markup is read into a tree of elements (unclosed and stray tags as browsers do: a new
 paragraph, list item or cell ends the open one, end tags close what is open inside).  Scripts,
-styles, forms, navigation, headers, footers, sidebars and everything whose class or id names a
-notice, advert, comment or menu is cut off.  Each text block passes points - one, one per comma, up
+styles, forms, navigation, headers, footers and sidebars are cut off.  Elements whose class or id names
+a notice, advert, comment or menu are cut too, but for those that hold the longest article of the page or
+most of its unlinked text: these stay, at a quarter of their points.  Where little text is left the
+page is read again without regard to names.  Each text block passes points - one, one per comma, up
 to three for its length - to its parent and half of them to its grandparent; a container's points
 are scaled by one minus its link density.  The best container is kept with the siblings that score
 at least a fifth of it or are plain paragraphs of their own; all their blocks are joined.
@@ -54,32 +56,53 @@ _SCOPE = {"article", "section", "div", "body", "html", "main", "ul", "ol", "tabl
 
 
 class Node:
-    __slots__ = ("name", "parent", "cut", "kids", "points", "chars", "linked", "link")
+    __slots__ = ("name", "parent", "cut", "kids", "points", "chars", "linked", "link", "named", "dim", "free")
 
-    def __init__(self, name: str, parent: Node | None, cut: bool = False) -> None:
+    def __init__(self, name: str, parent: Node | None, cut: bool = False, named: bool = False) -> None:
         self.name, self.parent, self.cut = name, parent, cut or parent is not None and parent.cut
         self.link = name == "a" or parent is not None and parent.link
         self.kids: list[Node | str] = []
         self.points, self.chars, self.linked = 0.0, 0, 0
+        self.named, self.dim, self.free = named, False, 0  # free: characters of unlinked text below
 
 
-def _is_cut(name: str, attrs: str) -> bool:
+def _marks(name: str, attrs: str) -> tuple[bool, bool]:
+    """Whether an element is cut for what it is, and whether its name makes it doubtful."""
     if name in _CUT:
-        return True
+        return True, False
     if not attrs or name in ("html", "body", "article", "main"):
-        return False
+        return False, False
+    named = False
     for key, value in _ATTR.findall(attrs):
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
-        if key in ("class", "id", "role") and _BAD_NAME.search(value):
-            return True
-    return False
+            return True, False
+        named = named or key in ("class", "id", "role") and _BAD_NAME.search(value) is not None
+    return False, named
 
 
-def parse(html: str) -> Node:
+def _judge_names(nodes: list[Node]) -> None:
+    """Cut named elements, but never the longest article or most of the page's unlinked text."""
+    for node in reversed(nodes):  # parents come before what they hold
+        node.free += 0 if node.link else sum(len(k.strip()) for k in node.kids if isinstance(k, str))
+        if node.parent is not None:
+            node.parent.free += node.free
+    at = max((n for n in nodes if n.name in ("article", "main")), key=lambda n: n.free, default=None)
+    around: set[int] = set()
+    while at is not None and at.free:
+        around.add(id(at))
+        at = at.parent
+    for node in nodes[1:]:
+        node.dim, node.cut = node.parent.dim, node.parent.cut
+        if node.named and not node.cut:
+            node.dim = id(node) in around or 2 * node.free > nodes[0].free
+            node.cut = not node.dim
+
+
+def parse(html: str, by_name: bool = True) -> Node:
     """The tree; text nodes are strings, cut elements keep no text."""
     root = Node("html", None)
+    nodes = [root]
     here, at_char = root, 0
     while at_char < len(html):
         token = _TOKEN.match(html, at_char)
@@ -116,11 +139,14 @@ def parse(html: str) -> Node:
             continue
         if name in ("html", "body"):
             continue
-        node = Node(name, here, _is_cut(name, token["attrs"]))
+        node = Node(name, here, *_marks(name, token["attrs"]))
         if not node.cut:
             here.kids.append(node)
+            nodes.append(node)
         if name not in _VOID and not token["attrs"].endswith("/"):
             here = node
+    if by_name:
+        _judge_names(nodes)
     return root
 
 
@@ -149,6 +175,8 @@ def blocks(node: Node, out: list[tuple[Node, str]] | None = None) -> list[tuple[
             run.append(kid)
             owner.chars += len(kid)
             owner.linked += len(kid) if at.link else 0
+        elif kid.cut:
+            continue
         elif kid.name == "br":
             run.append(" ")
         elif kid.name in _INLINE:
@@ -160,16 +188,23 @@ def blocks(node: Node, out: list[tuple[Node, str]] | None = None) -> list[tuple[
 
 
 def main_text(html: str | None) -> str:
-    """The text of the best container and its good siblings."""
+    """The main text, found without regard to names where these leave under a tenth of the unlinked text."""
     if not html:
         return ""
     root = parse(html)
+    text = _best_text(root)
+    return _best_text(parse(html, by_name=False)) if 10 * len(text) < root.free else text
+
+
+def _best_text(root: Node) -> str:
+    """The text of the best container and its good siblings."""
     found = blocks(root)
     if not found:
         return ""
     scored: dict[int, Node] = {}
     for owner, text in found:
         points = 1 + text.count(",") + min(len(text) / 100, 3.0)
+        points *= 0.25 if owner.dim else 1
         parent = owner.parent or owner
         if owner.name in _SCOPE:  # bare text of a container speaks for the container itself
             parent = owner

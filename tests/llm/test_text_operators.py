@@ -272,3 +272,17 @@ def test_rare_toxic_words_count(spark):
 def test_text_after_a_script_stays(script):
     assert html_text.main_text(f"<head>{script}</head><p>Article.</p>") == "Article."
     assert html_text.main_text(f"<p>Article.</p>{script}<p>More.</p>") == "Article. More."
+
+
+@pytest.mark.parametrize("name", ["layout has-sidebar", "elementor-widget elementor-widget-text-editor", "page social", "share"])
+def test_named_wrappers_keep_the_article(name):
+    side = "<div class='sidebar'><p>Side, side, side</p></div><div id='related'><article><p>Other, one</p></article></div>"
+    want = "Head First, a long paragraph with commas, and more words than any menu has in it. Second & last, of it. New"
+    for body in (f"<article><h1>Head</h1>{ARTICLE}</article>", f"<div><h1>Head</h1>{ARTICLE}</div>"):
+        assert html_text.main_text(f"<div class='{name}'>{body}{side}</div>") == want
+    assert html_text.main_text(f"<div class='menu'><a href=x>One</a></div><div class='{name}'><div><h1>Head</h1>{ARTICLE}</div></div>") == want
+
+
+def test_names_alone_never_empty_a_page():
+    parts = "".join(f"<div class='widget w{i}'><p>Part {i}, of the text, is here.</p></div>" for i in range(4))
+    assert html_text.main_text(f"<body>{parts}</body>").startswith("Part 0, of the text, is here. Part 1")

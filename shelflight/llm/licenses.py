@@ -7,7 +7,9 @@ bounded number of times), and a text has the template's label where all mandator
 exactly, in order.  The automaton starts only at places where its first mandatory words stand, so
 text without license wording costs one dictionary look-up per word.
 
-Base labels come from plain phrases.  ``score`` is 1 where a whole template matched, 0.5 where
+Templates are whole license texts up to the end of their terms (``TEXTS``) and short notices by which
+a work names its license (``NOTICES``); an excerpt of a license, or one with altered clauses, is neither.
+Base labels come from plain phrases.  ``score`` is 1 where a whole text or notice matched, 0.5 where
 only phrases stand, 0 for neither.
 
 Edge rows: null and empty texts have no words, no labels and score 0; repeated rows are scanned
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,23 +32,67 @@ from shelflight.llm.common import map_batches, words
 PHRASES = {
     "gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit",
 }
-# License notices as they are published, with markup for what may vary.
-TEMPLATES = {
+_NUMBER = "[[{{number:1}}]] "
+_PROVIDED = "this software is provided by {{holder:16}} as is and any express or implied warranties including but not limited to the " \
+    "implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {{holder:16}} be " \
+    "liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement " \
+    "of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of " \
+    "liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of " \
+    "this software even if advised of the possibility of such damage"
+_BSD = [
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following "
+    "conditions are met " + _NUMBER + "redistributions of source code must retain the above copyright notice this list of conditions "
+    "and the following disclaimer",
+    _NUMBER + "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following "
+    "disclaimer in the documentation and or other materials provided with the distribution",
+    _NUMBER + "all advertising materials mentioning features or use of this software must display the following acknowledgement "
+    "this product includes software developed by {{holder:24}}",
+    _NUMBER + "neither the name of {{holder:16}} nor the names of its contributors may be used to endorse or promote products derived "
+    "from this software without specific prior written permission",
+]
+
+
+def _text(name: str, end: str) -> str:
+    """The wording of a license up to the end of its terms."""
+    whole = (Path(__file__).parent / "license_texts" / f"{name}.txt").read_text("utf-8")
+    return b" ".join(words(whole[: whole.index(end)] if end else whole)).decode()
+
+
+_END = "END OF TERMS AND CONDITIONS"
+# Whole license texts, with markup for what may vary.
+TEXTS = {
     "mit": [
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
         "documentation files the software to deal in the software without restriction including without limitation "
         "the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to "
-        "permit persons to whom the software is furnished to do so subject to the following conditions",
-        "[[{{subject:6}}]] released under the [[terms of the]] mit license",
-        "licensed under the [[terms of the]] mit license",
+        "permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice "
+        "and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the "
+        "software the software is provided as is without warranty of any kind express or implied including but not limited to the "
+        "warranties of merchantability fitness for a particular purpose and noninfringement in no event shall {{holder:16}} be liable "
+        "for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in "
+        "connection with the software or the use or other dealings in the software",
     ],
     "isc": [
-        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby "
-        "granted provided that the above copyright notice and this permission notice appear in all copies",
+        "permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby "
+        "granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as "
+        "is and {{holder:16}} disclaims all warranties with regard to this software including all implied warranties of "
+        "merchantability and fitness in no event shall {{holder:16}} be liable for any special direct indirect or consequential damages "
+        "or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other "
+        "tortious action arising out of or in connection with the use or performance of this software",
     ],
-    "bsd": [
-        "redistribution and use in source and binary forms with or without modification are permitted provided that "
-        "the following conditions are met",
+    "bsd-2-clause": [" ".join([*_BSD[:2], _PROVIDED])],
+    "bsd-3-clause": [" ".join([*_BSD[:2], _BSD[3], _PROVIDED])],
+    "bsd-4-clause": [" ".join([*_BSD, _PROVIDED])],
+    "apache": [_text("Apache-2.0", _END)],
+    "gpl": [_text("GPL-2", _END), _text("GPL-3", _END)],
+    "lgpl": [_text("LGPL-2.1", _END), _text("LGPL-3", "")],
+    "mpl": [_text("MPL-2.0", "Exhibit A - ")],
+}
+# Short notices by which a work names its license; excerpts of a license are none.
+NOTICES = {
+    "mit": [
+        "[[{{subject:6}}]] released under the [[terms of the]] mit license",
+        "licensed under the [[terms of the]] mit license",
     ],
     "apache": [
         "licensed under the apache license version 2 0 [[the license]]",
@@ -64,6 +111,7 @@ TEMPLATES = {
     ],
     "proprietary": ["copyright [[c]] {{holder:8}} all rights reserved"],
 }
+TEMPLATES = {k: TEXTS.get(k, []) + NOTICES.get(k, []) for k in TEXTS | NOTICES}
 _PART = re.compile(r"\[\[|\]\]|\{\{\w+:(\d+)\}\}|[^\[\]{}\s]+")
 
 

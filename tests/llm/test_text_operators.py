@@ -286,3 +286,19 @@ def test_named_wrappers_keep_the_article(name):
 def test_names_alone_never_empty_a_page():
     parts = "".join(f"<div class='widget w{i}'><p>Part {i}, of the text, is here.</p></div>" for i in range(4))
     assert html_text.main_text(f"<body>{parts}</body>").startswith("Part 0, of the text, is here. Part 1")
+
+
+@pytest.mark.parametrize("label", licenses.TEXTS)
+def test_licenses_match_whole_only(label):
+    scanner = licenses.Scanner({}, licenses.TEXTS)
+    for template in licenses.TEXTS[label]:
+        plain = re.sub(r"\[\[.*?\]\]|\{\{\w+:\d+\}\}", "the holders", template).replace("the holders redist", "redist")
+        plain = re.sub(r"the holders (?=all advertising|neither)", "", plain)
+        text = plain.replace("the holders", "the") if label in ("mit", "isc") else plain
+        text = text.replace("notice the shall", "notice shall").replace("modify and the distribute", "modify and distribute")
+        assert scanner.scan("Copyright X. " + text + ". End")[5] == label
+        found = text.split()
+        assert scanner.scan(" ".join(found[:-5]))[5] == ""  # an excerpt
+        for at in (len(found) // 2, len(found) - 3):
+            at = next(i for i in range(at, len(found)) if found[i] not in ("the", "holders"))
+            assert scanner.scan(" ".join([*found[:at], "good", "evil", *found[at + 1 :]]))[5] in ("",), found[at]

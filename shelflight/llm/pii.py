@@ -77,7 +77,8 @@ def base_spans(text: str | None) -> tuple[list[list[Span]], list[Span]]:
             for m in pattern.finditer(text):
                 body = m[0]
                 if kind == 1:
-                    good = all(int(p) <= 255 for p in body.split(".") ) if len(body) < 4000 else False
+                    parts = (p.lstrip("0") for p in body.split("."))  # zeros of any number; what is left is short or too large
+                    good = all(len(p) <= 3 and int(p or "0") <= 255 for p in parts)
                 else:
                     digits = "".join(c for c in body if "0" <= c <= "9")
                     good = 16 <= len(digits) <= 19 and luhn(digits) if kind == 2 else 8 <= len(digits) <= 15

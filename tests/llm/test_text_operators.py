@@ -302,3 +302,9 @@ def test_licenses_match_whole_only(label):
         for at in (len(found) // 2, len(found) - 3):
             at = next(i for i in range(at, len(found)) if found[i] not in ("the", "holders"))
             assert scanner.scan(" ".join([*found[:at], "good", "evil", *found[at + 1 :]]))[5] in ("",), found[at]
+
+
+def test_long_addresses_are_judged_by_their_parts():
+    zeros = "0" * 5000
+    for text, good in ((f"{zeros}1.2.3.4", True), (f"1.2.{zeros}255.{zeros}", True), (f"{zeros}256.2.3.4", False), (f"{'9' * 5000}.2.3.4", False)):
+        assert pii.base_spans(text)[0][1] == ([(0, len(text))] if good else []), text[-20:]

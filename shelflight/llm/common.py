@@ -79,3 +79,20 @@ def labelled_sample(labels: DataFrame, columns: list[str], most: int) -> dict[st
 def broadcast(df: DataFrame, value: object):
     """A value of bounded size for the tasks of ``df``'s session."""
     return df.sparkSession.sparkContext.broadcast(value)
+
+
+def may_occur(rows: DataFrame, wanted: DataFrame, columns: list[str], bits: int = 1 << 24) -> DataFrame:
+    """``rows`` with ``may``: false where ``columns`` surely do not occur in ``wanted``.
+
+    A bit map of fixed size, 2 MB, is broadcast whatever the size of ``wanted``; the fuller it is,
+    the more rows are marked, never one too few.
+    """
+    slot = F.pmod(F.xxhash64(*columns), F.lit(bits)) + 1
+    maps = wanted.groupBy(F.bitmap_bucket_number(slot).alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("_map")
+    )
+    at = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring("_map", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    is_set = F.coalesce(F.bit_get(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    placed = rows.withColumn("_bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(maps), "_bucket", "left")
+    return placed.withColumn("may", is_set).drop("_bucket", "_map")

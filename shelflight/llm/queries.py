@@ -1,13 +1,15 @@
-"""Registered queries of the ten operators, and their SQL where SQL can express them."""
+"""Registered queries of the operators, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelflight.llm import chat, decontaminate, html_text, licenses, line_dedup, mixing, ngram_join, pii, quality, toxicity
+from shelflight.llm import (
+    chat, decontaminate, html_text, licenses, line_dedup, mixing, ngram_join, pii, quality, substring_dedup, toxicity,
+)
 from shelflight.llm.common import table
 from shelflight.session import tune
 
@@ -165,3 +167,39 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join.link(table(spark, sf, "documents").select("doc_id", "text")).select(
         "doc_id", "class_id", "n_links", "n_copies", "class_size"
     )
+
+
+def word_total(spans: str) -> Column:
+    """The number of words inside intervals given as start, end, start, end..."""
+    sizes = F.transform(
+        F.sequence(F.lit(1), F.floor(F.size(spans) / 2).cast("int")),
+        lambda i: F.element_at(spans, 2 * i) - F.element_at(spans, 2 * i - 1),
+    )
+    total = F.aggregate(sizes, F.lit(0).cast("long"), lambda so_far, n: so_far + n)
+    return F.when(F.size(spans) > 0, total).otherwise(F.lit(0).cast("long"))
+
+
+@query("op11_substring_dedup", r"""
+WITH doc AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+place AS (
+    SELECT r, doc_id, p, array_to_string(list_slice(w, p, p + 12), ' ') AS key
+    FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM doc WHERE len(w) >= 13)
+),
+first AS (SELECT key, min(doc_id) AS least FROM place GROUP BY key),
+gone AS (
+    SELECT DISTINCT r, unnest(range(p, p + 13)) AS p FROM place JOIN first USING (key) WHERE least < doc_id
+),
+word AS (SELECT r, doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM doc)
+SELECT doc.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM doc LEFT JOIN (
+    SELECT word.r, count(gone.p) AS n_removed, string_agg(word, ' ' ORDER BY word.p) FILTER (gone.p IS NULL) AS kept
+    FROM word LEFT JOIN gone ON word.r = gone.r AND word.p = gone.p GROUP BY word.r
+) AS told ON told.r = doc.r
+""")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return substring_dedup.cut_repeats(docs).select(
+        "row.doc_id", "n_words", word_total("spans").alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256")
+    )

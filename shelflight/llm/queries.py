@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelflight.llm import (
-    chat, decontaminate, html_text, licenses, line_dedup, mixing, ngram_join, pii, quality, substring_dedup, toxicity,
+    chat, decontaminate, hard_negatives, html_text, licenses, line_dedup, mixing, ngram_join, pii, quality, spelling,
+    substring_dedup, toxicity,
 )
 from shelflight.llm.common import table
 from shelflight.session import tune
@@ -203,3 +204,38 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
     return substring_dedup.cut_repeats(docs).select(
         "row.doc_id", "n_words", word_total("spans").alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@query("op13_hard_negatives", """
+WITH cell AS (
+    SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS d FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL
+),
+vec AS (SELECT vec_id, list(floor(256 * x)::DOUBLE ORDER BY d) AS v FROM cell GROUP BY vec_id HAVING bool_and(isfinite(x)) AND count(x) = count(*)),
+item AS (
+    SELECT vec_id, v, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label FROM vec JOIN embeddings USING (vec_id)
+),
+pair AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+    FROM item a JOIN item b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+),
+positive AS (
+    SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM pair WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+),
+ranked AS (
+    SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS rank,
+           other_id AS negative_id, positive_score, score AS negative_score
+    FROM positive JOIN pair USING (anchor_id)
+    WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+)
+SELECT * FROM ranked WHERE rank <= 10
+""")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    rows = hard_negatives.usable(table(spark, sf, "embeddings").select("vec_id", "label", "embedding"))
+    return hard_negatives.mine(hard_negatives.flipped(rows))
+
+
+@query("op12_spelling_variants")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.variants(table(spark, sf, "documents").select("doc_id", "text"))

@@ -7,23 +7,26 @@ the class: the divergence of its share of toxic examples, drawn towards the over
 nearest examples are about the same topic, not of the same class: on sf0.1 it finds 22 of the 97
 held-out toxic rows, with the gain it finds 91.
 
-Examples become unit vectors, are sorted by their heaviest term and cut into blocks.  Terms of at
+Terms are counted, weighed and normalised by Spark.  Examples become unit vectors, are sorted by their heaviest term and cut into blocks.  Terms of at
 least one example in ``OFTEN`` are written out with their largest weight in every block, all others
 are postings.  A document's postings are summed over all examples; blocks are then completed in
 the order of their upper bounds, and the search ends when no block can reach the k-th best
 example: the k neighbours are exact.  The index grows with the distinct words of the sampled
 examples, not with the corpus.
 
-Score: the neighbours' labels weighed by cosine, drawn towards ``alone``, the share of toxic
-examples among those without any word (0 where there is none), by a weight of ``PRIOR``.  A
-document without words of the examples (empty and null texts too) has no neighbours and scores
-``alone`` itself.  Ties of the cosine go to the smaller example id; the nearest ids are returned as
-evidence.
+A vote is the neighbours' labels weighed by cosine, drawn towards ``alone``, the share of toxic
+examples among those without any word (0 where there is none), by a weight of ``PRIOR``.  The score is
+calibrated: isotonic regression over the votes that at most ``CALIBRATED`` examples get from all others
+maps a vote to the share of toxic texts among such votes.  (A term's gain knows the example's own label;
+``STRENGTH`` keeps that small.)  A document without words of the examples (empty and null texts too)
+has no neighbours and scores ``alone`` itself.  Ties of the cosine go to the smaller example id; the
+nearest ids are returned as evidence.
 
 Edge rows: repeated rows are scored each; of rows that share the id of an example one is the
-example; labels that are null are no examples; without examples of both classes every score is the
-share of toxic examples (0 without any); an empty table gives an empty result; other columns are
-carried along by the filter and ignored by the scores.
+example; a null id is no example, and ``held_out`` is null for it; labels that are null are no
+examples; without examples of both classes every score is the share of toxic examples (0 without any);
+an empty table gives an empty result; other columns are carried along by the filter and ignored by the
+scores.
 """
 
 from __future__ import annotations
@@ -35,12 +38,15 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.regression import IsotonicRegression
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelflight.llm.common import broadcast, labelled_sample, map_batches, words
+from shelflight.session import keep
 
 EXAMPLES, STRENGTH, FLOOR, K, BLOCK, PRIOR = 16_384, 10.0, 0.001, 15, 64, 0.25
+CALIBRATED = 4096  # examples the calibration is learnt from
 OFTEN = 16
 CHUNK = 8  # blocks scored at first; twice as many each time
 
@@ -50,10 +56,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def example_terms(docs: DataFrame, sample: dict[str, np.ndarray]) -> DataFrame:
-    """(doc_id, toxic, terms, counts) of the examples; documents are filtered by id where they lie.
-
-    Words hold no space, so the distinct ones are joined by spaces; their counts are packed.
-    """
+    """(doc_id, toxic, terms, counts) of the examples, one row per id; documents are filtered where they lie."""
     order = np.argsort(sample["doc_id"], kind="stable")
     ids, first = np.unique(sample["doc_id"][order].astype(np.int64), return_index=True)
     shared = broadcast(docs, (ids, sample["toxic"][order][first].astype(np.int32)))
@@ -61,18 +64,23 @@ def example_terms(docs: DataFrame, sample: dict[str, np.ndarray]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, toxic = shared.value
         for batch in batches:
-            ids = batch.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
+            named = batch.column(0)
+            ids = named.fill_null(0).to_numpy(zero_copy_only=False)
             at = np.minimum(np.searchsorted(known, ids), max(len(known) - 1, 0))
-            rows = np.flatnonzero(known[at] == ids) if len(known) else np.zeros(0, np.int64)
+            same = known[at] == ids if len(known) else np.zeros(len(ids), bool)
+            rows = np.flatnonzero(same & named.is_valid().to_numpy(zero_copy_only=False))
             counted = [Counter(words(batch.column(1)[int(row)].as_py())) for row in rows]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids[rows]), pa.array(toxic[at[rows]] if len(rows) else [], pa.int32()),
-                 pa.array([b" ".join(c) for c in counted], pa.binary()),
-                 pa.array([np.array([*c.values()], "<i4").tobytes() for c in counted], pa.binary())],
+                 pa.array([[w.decode() for w in c] for c in counted], pa.list_(pa.string())),
+                 pa.array([[*c.values()] for c in counted], pa.list_(pa.int32()))],
                 ["doc_id", "toxic", "terms", "counts"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, toxic int, terms binary, counts binary")
+    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = thin.mapInArrow(run, "doc_id long, toxic int, terms array<string>, counts array<int>")
+    one = found.groupBy("doc_id").agg(F.min(F.struct("terms", "counts", "toxic")).alias("one"))
+    return one.select("doc_id", "one.*")
 
 
 class Index:
@@ -82,7 +90,9 @@ class Index:
         self, weights: dict[bytes, float], examples: dict[int, dict[bytes, int]] | Iterable[tuple[int, dict[bytes, int]]],
         toxic: dict[int, int],
     ) -> None:
-        self.seen: dict[tuple, tuple[float, list[int]]] = {}
+        self.seen: dict[bytes, tuple[float, list[int]]] = {}
+        self.votes: np.ndarray | None = None  # the calibration: shares of toxic texts at these votes
+        self.shares: np.ndarray | None = None
         self.terms = {t: i for i, t in enumerate(sorted(weights))}
         self.weights = np.array([weights[t] for t in self.terms], float)
         pairs = examples.items() if isinstance(examples, dict) else examples
@@ -108,13 +118,37 @@ class Index:
         self.place[often] = np.arange(len(often))
         self.often: np.ndarray | None = None  # written where the first document is scored
 
+    @classmethod
+    def of(cls, terms: pa.Array, weights: np.ndarray, rows: pa.ListArray, cosines: pa.ListArray,
+           ids: np.ndarray, toxic: np.ndarray, alone: float) -> Index:
+        """The index of postings that are sorted by term and row; ``ids`` and ``toxic`` lie in the order of rows."""
+        self = cls({}, {}, {})
+        self.sorted_terms, self.terms, self.weights = terms, None, weights
+        self.ids, self.toxic, self.alone = ids, toxic.astype(float), alone
+        self.blocks = -(-len(ids) // BLOCK)
+        self.rows, self.cosines = rows.flatten().to_numpy(), cosines.flatten().to_numpy()
+        sizes = rows.value_lengths().to_numpy(zero_copy_only=False)
+        self.start = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        self.place = np.full(len(sizes), -1)
+        often = np.flatnonzero(sizes * OFTEN >= max(len(ids), 1))
+        self.place[often] = np.arange(len(often))
+        return self
+
     def __getstate__(self) -> dict:
-        """The terms travel as one string of bytes, not as an object each; only their order counts."""
-        return self.__dict__ | {"terms": b" ".join(self.terms), "seen": {}, "most": None, "often": None}
+        """The terms travel as one array, not as an object each; only their order counts."""
+        return self.__dict__ | {"_terms": None, "seen": {}, "most": None, "often": None}
 
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__ |= state
-        self.terms = {t: i for i, t in enumerate(self.terms.split())}
+    @property
+    def terms(self) -> dict[bytes, int]:
+        if self._terms is None:
+            self._terms = {t: i for i, t in enumerate(self.sorted_terms.cast(pa.binary()).to_pylist())}
+        return self._terms
+
+    @terms.setter
+    def terms(self, terms: dict[bytes, int] | None) -> None:
+        self._terms = terms
+        if terms is not None:
+            self.sorted_terms = pa.array([*terms], pa.binary())
 
     def _write_often(self) -> None:
         often = np.flatnonzero(self.place >= 0)
@@ -175,57 +209,106 @@ class Index:
             start, size = start + size, size * 2
         return best, cosine
 
-    def score(self, text: str | None, k: int = K, prior: float = PRIOR) -> tuple[float, list[int]]:
+    def vote(self, counts: dict[bytes, int], k: int = K, prior: float = PRIOR, without: int | None = None) -> tuple[float, list[int]]:
+        """The neighbours' weighed labels and their ids; ``without`` leaves one example out."""
+        rows, cosine = self.nearest(*self.vector(counts), k if without is None else k + 1)
+        if without is not None:
+            other = self.ids[rows] != without
+            rows, cosine = rows[other][:k], cosine[other][:k]
+        if not len(rows):
+            return self.alone, []
+        weight = cosine.astype(float)
+        vote = (weight * self.toxic[rows]).sum() + prior * self.alone
+        return float(vote / (weight.sum() + prior)), self.ids[rows[:3]].tolist()
+
+    def calibrate(self, docs: DataFrame, examples: DataFrame, most: int) -> None:
+        """Learn the monotone map from votes to shares of toxic texts, each example judged by the others.
+
+        At most ``most`` examples, chosen by a hash of the id; isotonic regression over their votes.
+        """
+        shared = broadcast(docs, self)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = shared.value
+            for batch in batches:
+                votes = []
+                for i, terms, counts in zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True):
+                    found = {t.encode(): n for t, n in zip(terms, counts, strict=True)}
+                    votes.append(index.vote(found, without=i)[0])
+                yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), batch.column(3)], ["vote", "label"])
+
+        worded = examples.filter(F.size("terms") > 0)
+        chosen = worded.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(most).repartition(
+            2 * docs.sparkSession.sparkContext.defaultParallelism, "doc_id"
+        )
+        votes = keep(chosen.select("doc_id", "terms", "counts", F.col("toxic").cast("double").alias("label")).mapInArrow(
+            run, "vote double, label double"
+        ), "toxicity-votes")
+        fitted = IsotonicRegression(featuresCol="vote").fit(votes)
+        self.votes, self.shares = fitted.boundaries.toArray(), fitted.predictions.toArray()
+
+    def score(self, text: str | None) -> tuple[float, list[int]]:
         terms = self.terms
         found = {w: n for w, n in Counter(words(text)).items() if w in terms}
         if not found or not len(self.ids):
             return self.alone, []
-        key = (k, prior, sha256(text.encode("utf-8", "surrogatepass")).digest())  # copies are scored once
+        key = sha256(text.encode("utf-8", "surrogatepass")).digest()  # copies are scored once
         known = self.seen.get(key)
         if known is not None:
             return known
-        rows, cosine = self.nearest(*self.vector(found), k)
-        if not len(rows):
+        vote, evidence = self.vote(found)
+        if not evidence:
             return self.alone, []
         if len(self.seen) > 50_000:
             self.seen.clear()
-        weight = cosine.astype(float)
-        vote = (weight * self.toxic[rows]).sum() + prior * self.alone
-        self.seen[key] = float(vote / (weight.sum() + prior)), self.ids[rows[:3]].tolist()
+        share = vote if self.votes is None else float(np.interp(vote, self.votes, self.shares))
+        self.seen[key] = share, evidence
         return self.seen[key]
 
 
-def term_weights(df: np.ndarray, toxic: np.ndarray, n: float, n_toxic: float) -> np.ndarray:
+def term_weights(df: Column, toxic: Column, n: float, n_toxic: float) -> Column:
     """Idf times gain of terms found in ``df`` examples, ``toxic`` of them toxic; above 0 for every term."""
     share = n_toxic / n
     own = (toxic + STRENGTH * share) / (df + STRENGTH)
-    gain = own * np.log(own / share) + (1 - own) * np.log((1 - own) / (1 - share))
-    return (np.log(n / df) + 1) * (gain + FLOOR)
+    gain = own * F.log(own / share) + (1 - own) * F.log((1 - own) / (1 - share))
+    return (F.log(n / df) + 1) * (gain + FLOOR)
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
-    """The index, from labelled rows that are not held out."""
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, calibrated: int = CALIBRATED) -> Index:
+    """The index, from labelled rows that are not held out.
+
+    Terms are counted, weighed, joined back and normalised as Spark tables; the driver gets the
+    finished postings as flat arrays and passes them on.
+    """
     sample = labelled_sample(labels.filter(~held_out(F.col("doc_id"))), ["toxic"], examples)
-    packed: dict[int, tuple[bytes, bytes]] = {}
-    toxic: dict[int, int] = {}
-    for row in example_terms(docs, sample).collect():
-        own = bytes(row["terms"]), bytes(row["counts"])
-        packed[row["doc_id"]] = min(own, packed.get(row["doc_id"], own))
-        toxic[row["doc_id"]] = int(row["toxic"])
-    if len(set(toxic.values())) < 2:
-        return Index({}, {}, {0: 1} if 1 in toxic.values() else {})
-    counted: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    for e, (terms, _) in packed.items():
-        counted[toxic[e]].update(terms.split())
-    number = list(counted[0] | counted[1])
-    in_toxic, in_clean = (np.array([counted[c][t] for t in number], float) for c in (1, 0))
-    counted.clear()
-    weight = term_weights(in_toxic + in_clean, in_toxic, len(toxic), sum(toxic.values()))
-    vectors = (
-        (e, dict(zip(terms.split(), np.frombuffer(counts, "<i4").tolist(), strict=True)))
-        for e, (terms, counts) in packed.items()
+    one = keep(example_terms(docs, sample), "toxicity-examples")
+    n, n_toxic, alone = one.agg(
+        F.count("*"), F.sum("toxic"), F.avg(F.when(F.size("terms") == 0, F.col("toxic")))
+    ).first()
+    if not n or n_toxic in (0, n):
+        return Index({}, {}, {0: 1} if n_toxic else {})
+    pairs = one.select("doc_id", "toxic", F.inline(F.arrays_zip("terms", "counts")))
+    stats = pairs.groupBy("terms").agg(
+        term_weights(F.count("*"), F.sum("toxic"), float(n), float(n_toxic)).alias("weight")
     )
-    return Index(dict(zip(number, weight.tolist(), strict=True)), vectors, toxic)
+    weighed = keep(pairs.join(stats, "terms").select(
+        "doc_id", "toxic", F.col("terms").alias("term"), "weight", ((1 + F.log("counts")) * F.col("weight")).alias("w")
+    ), "toxicity-weights")
+    # At most ``examples`` rows are numbered: by their heaviest term, so that blocks hold texts alike.
+    heads = weighed.groupBy("doc_id", "toxic").agg(
+        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.min(F.struct(-F.col("w"), "term"))["term"].alias("heaviest")
+    ).withColumn("row", F.row_number().over(Window.orderBy("heaviest", "doc_id")) - 1)
+    heads = keep(heads, "toxicity-rows")
+    postings = weighed.join(heads.select("doc_id", "row", "norm"), "doc_id").groupBy("term").agg(
+        F.first("weight").alias("weight"),
+        F.sort_array(F.collect_list(F.struct("row", (F.col("w") / F.col("norm")).cast("float").alias("cosine")))).alias("p"),
+    ).select("term", "weight", "p.row", "p.cosine").orderBy("term").toArrow().combine_chunks()
+    order = heads.orderBy("row").select("doc_id", "toxic").toArrow()
+    columns = [postings.column(c).combine_chunks() for c in ("term", "weight", "row", "cosine")]
+    index = Index.of(columns[0], columns[1].to_numpy(), columns[2], columns[3],
+                     order.column("doc_id").to_numpy(), order.column("toxic").to_numpy(), float(alone or 0.0))
+    index.calibrate(docs, one, calibrated)
+    return index
 
 
 def score_documents(docs: DataFrame, index: Index) -> DataFrame:

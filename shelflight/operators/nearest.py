@@ -263,14 +263,16 @@ def weighted_content_scores(candidates: DataFrame, references: DataFrame, vector
     """Weighted mean of clipped cosines of a user's candidates to the user's references, at most 1.
 
     ``references`` has (user_id, reference_id, weight); a null weight means equal shares.
-    Weights are divided by their sum; a sum that is not positive makes them equal.
+    Weights are divided by their sum; a sum that is not positive makes them equal.  Terms are added
+    as decimals, so the score does not depend on the order of rows, and it has twelve digits.
     """
     totals = references.groupBy("user_id").agg(F.sum("weight").alias("_sum"), F.count("*").alias("_n"))
     share = F.when(F.col("_sum") > 0, F.coalesce("weight", F.lit(0.0)) / F.col("_sum")).otherwise(1 / F.col("_n"))
     weighted = references.join(totals, "user_id").select("user_id", "reference_id", share.alias("_w"))
     pairs = candidates.select("user_id", "item_id").join(weighted, "user_id")
     return content_scores(pairs, vectors).groupBy("user_id", "item_id").agg(
-        F.least(F.lit(1.0), F.sum(F.col("_w") * F.col("score"))).alias("content_score")
+        F.least(F.lit(1.0), F.round(F.sum((F.col("_w") * F.col("score")).cast("decimal(28,20)")), 12).cast("double"))
+        .alias("content_score")
     )
 
 

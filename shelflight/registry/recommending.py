@@ -105,8 +105,8 @@ block("refs", """
     SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, item_id) AS pos FROM interactions)
   WHERE pos <= 10""", "interactions")
 block("content", """
-  SELECT user_id, p.item_id, least(1, sum(w * greatest(0, least(1, coalesce(
-           list_cosine_similarity(a.embedding, b.embedding), 0))))) AS content_score
+  SELECT user_id, p.item_id, least(1, round(sum(w * greatest(0, least(1, coalesce(
+           list_cosine_similarity(a.embedding, b.embedding), 0)))), 12)) AS content_score
   FROM (SELECT i.user_id, i.item_id, r.reference_id,
                CASE WHEN sum(weight) OVER (PARTITION BY i.user_id, i.item_id) > 0
                     THEN weight / sum(weight) OVER (PARTITION BY i.user_id, i.item_id)

@@ -15,6 +15,7 @@ from shelflight.operators.activity import (
 from shelflight.session import shared_folder
 
 WATERMARK = "30 minutes"
+SKETCH_LOG_K = 12
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -57,6 +58,27 @@ def trending_windows(events: DataFrame, watermark: str = WATERMARK, size: str =
     )
 
 
+def view_panes(events: DataFrame, watermark: str = WATERMARK) -> DataFrame:
+    """Views and a mergeable sketch of their users per item and hour: one row of state each, for update mode."""
+    views = events.filter(is_valid_type() & (F.col("event_type") == "view")).withWatermark("ts", watermark)
+    return views.groupBy(F.window("ts", "1 hour"), "asin").agg(
+        F.count("*").alias("view_count"), F.hll_sketch_agg("user_id", F.lit(SKETCH_LOG_K)).alias("users")
+    ).select(F.col("window.start").alias("pane"), "asin", "view_count", "users")
+
+
+def windows_of_panes(panes: DataFrame, hours: int = 24) -> DataFrame:
+    """Sliding windows of ``hours``, each the sum and the union of its panes.
+
+    Panes are copied, not events.  Distinct users carry the sketch's error: about 1.04 / sqrt(2**log k).
+    """
+    ends = F.transform(F.sequence(F.lit(1), F.lit(hours)), lambda h: F.col("pane") + F.make_dt_interval(F.lit(0), h))
+    return (
+        panes.withColumn("window_end", F.explode(ends)).groupBy("window_end", "asin")
+        .agg(F.sum("view_count").alias("view_count"), F.hll_sketch_estimate(F.hll_union_agg("users")).alias("unique_users"))
+        .withColumn("score", F.col("view_count") + 0.5 * F.col("unique_users"))
+    )
+
+
 def running_popularity(ratings: DataFrame) -> DataFrame:
     """Running count and mean rating per item, for update or complete mode."""
     return ratings.groupBy("item_id").agg(
@@ -169,12 +191,17 @@ def context_updates(
     ``events`` has (user_id, event_id, asin, category, ts).  Events later than the
     watermark are dropped here, though the log keeps them.
     """
+    return contexts(events.withWatermark("ts", watermark), ttl, limit)
+
+
+def contexts(events: DataFrame, ttl: int = TTL_SECONDS, limit: int = RECENT_ITEMS, mode: str = "Update") -> DataFrame:
+    """``context_updates`` of events that carry a watermark already; "Append" where another state comes before."""
     timed = events.select(
         F.col("user_id").cast("string").alias("user_id"), "event_id", "asin", "category", "ts",
         (F.unix_micros("ts") / F.lit(1_000_000)).alias("at"),
-    ).withWatermark("ts", watermark)
+    )
     return timed.groupBy("user_id").transformWithStateInPandas(
-        RecentContext(ttl, limit), outputStructType=CONTEXT_SCHEMA, outputMode="Update", timeMode="EventTime",
+        RecentContext(ttl, limit), outputStructType=CONTEXT_SCHEMA, outputMode=mode, timeMode="EventTime",
     )
 
 

@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from shelflight.session import scratch_path
+from shelflight.session import keep, scratch_path
 from shelflight.streaming import events as stream
 from shelflight.streaming import flow
 
@@ -62,7 +62,7 @@ def test_every_event_is_logged_once_and_late_ones_change_no_context(spark):
     # The batch of the late event run once more, as after a failure: nothing changes.
     number = log.filter("event_id = 4").first().batch
     before = sorted(map(tuple, log.drop("batch").collect()), key=repr)
-    staged = spark.read.parquet(f"{folder}/staged").filter(F.col("batch") == number).drop("batch")
+    staged = keep(spark.read.parquet(f"{folder}/staged").filter(F.col("batch") == number).drop("batch"), "again")
     flow.sorter(items, products, folder)(staged, number)
     assert sorted(map(tuple, flow.read_flow(spark, folder, "log").drop("batch").collect()), key=repr) == before
 

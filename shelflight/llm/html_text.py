@@ -1,10 +1,12 @@
 """Main text of raw pages by scoring the element tree.
 
 The markup is read into a tree of elements (unclosed and stray tags as browsers do: a new
-paragraph, list item or cell ends the open one, end tags close what is open inside).  Scripts,
-styles, forms, navigation, headers, footers and sidebars are cut off.  Elements whose class or id names
-a notice, advert, comment or menu are cut too, but for those that hold the longest article of the page or
-most of its unlinked text: these stay, at a quarter of their points.  Where little text is left the
+paragraph, list item or cell ends the open one, end tags close what is open inside, and what belongs
+to the body ends an open head).  Scripts, styles and what is marked hidden are cut off.  Forms, navigation,
+headers, footers and sidebars are cut but for those that hold the longest article of the page or three
+quarters of its unlinked text; elements whose class or id names a notice, advert, comment or menu but for
+those that hold that article or most of the unlinked text.  What stays so has a quarter of its points.
+A header inside an article is a header, and cut.  Where little text is left the
 page is read again without regard to names.  Each text block passes points - one, one per comma, up
 to three for its length - to its parent and half of them to its grandparent; a container's points
 are scaled by one minus its link density.  The best container is kept with the siblings that score
@@ -32,7 +34,7 @@ _TOKEN = re.compile(
     r"|</?[a-zA-Z][^<]*\Z|[^<]+|<",
     re.S,
 )
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?|.""", re.S)
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 _BAD_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|legal|login|"
@@ -42,8 +44,10 @@ _BAD_NAME = re.compile(
 )
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in _RAW}
-_CUT = _RAW | {"head", "nav", "header", "footer", "aside", "form", "button", "select", "svg", "menu", "dialog", "object",
-               "canvas", "audio", "video", "math"}
+_CUT = _RAW | {"head", "select", "svg", "object", "canvas", "audio", "video", "math"}
+# Cut, but for those that hold the article: a form round the page, a menu whose end tag is missing.
+_ASIDE = {"nav", "header", "footer", "aside", "form", "button", "menu", "dialog"}
+_HEAD = {"head", "title", "meta", "link", "script", "style", "base", "noscript", "template", "basefont", "bgsound", "noframes"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i",
            "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong",
@@ -58,31 +62,33 @@ _SCOPE = {"article", "section", "div", "body", "html", "main", "ul", "ol", "tabl
 class Node:
     __slots__ = ("name", "parent", "cut", "kids", "points", "chars", "linked", "link", "named", "dim", "free")
 
-    def __init__(self, name: str, parent: Node | None, cut: bool = False, named: bool = False) -> None:
+    def __init__(self, name: str, parent: Node | None, cut: bool = False, named: str = "") -> None:
         self.name, self.parent, self.cut = name, parent, cut or parent is not None and parent.cut
         self.link = name == "a" or parent is not None and parent.link
         self.kids: list[Node | str] = []
         self.points, self.chars, self.linked = 0.0, 0, 0
-        self.named, self.dim, self.free = named, False, 0  # free: characters of unlinked text below
+        self.named, self.dim, self.free = named, False, 0  # named: why it is doubtful; free: unlinked text below
 
 
-def _marks(name: str, attrs: str) -> tuple[bool, bool]:
-    """Whether an element is cut for what it is, and whether its name makes it doubtful."""
+def _marks(name: str, attrs: str) -> tuple[bool, str]:
+    """Whether an element is cut for what it is, and whether its tag or a name makes it doubtful."""
     if name in _CUT:
-        return True, False
+        return True, ""
+    named = "tag" if name in _ASIDE else ""
     if not attrs or name in ("html", "body", "article", "main"):
-        return False, False
-    named = False
+        return False, named
     for key, value in _ATTR.findall(attrs):
         key, value = key.lower(), value.strip("\"'")
-        if key == "hidden" or key == "aria-hidden" and value == "true":
-            return True, False
-        named = named or key in ("class", "id", "role") and _BAD_NAME.search(value) is not None
+        if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
+            return True, ""
+        if not named and key in ("class", "id", "role") and _BAD_NAME.search(value):
+            named = "name"
     return False, named
 
 
-def _judge_names(nodes: list[Node]) -> None:
-    """Cut named elements, but never the longest article or most of the page's unlinked text."""
+def _judge(nodes: list[Node], by_name: bool) -> None:
+    """Cut doubtful elements, but never the longest article; nor, by name, most of the page's unlinked
+    text, or, by tag, three quarters of it."""
     for node in reversed(nodes):  # parents come before what they hold
         node.free += 0 if node.link else sum(len(k.strip()) for k in node.kids if isinstance(k, str))
         if node.parent is not None:
@@ -94,9 +100,11 @@ def _judge_names(nodes: list[Node]) -> None:
         at = at.parent
     for node in nodes[1:]:
         node.dim, node.cut = node.parent.dim, node.parent.cut
-        if node.named and not node.cut:
-            node.dim = id(node) in around or 2 * node.free > nodes[0].free
-            node.cut = not node.dim
+        if node.cut or not (node.named == "tag" or by_name and node.named):
+            continue
+        most = 4 * node.free > 3 * nodes[0].free if node.named == "tag" else 2 * node.free > nodes[0].free
+        node.dim = id(node) in around or most
+        node.cut = not node.dim
 
 
 def parse(html: str, by_name: bool = True) -> Node:
@@ -109,6 +117,8 @@ def parse(html: str, by_name: bool = True) -> Node:
         at_char, name = token.end(), token["name"]
         if name is None:
             text = token["cdata"] if token["cdata"] is not None else token[0] if token[0][0] != "<" or token[0] == "<" else ""
+            if here.name == "head" and text.strip():
+                here = here.parent
             if text and not here.cut:
                 here.kids.append(unescape(text))
             continue
@@ -120,6 +130,8 @@ def parse(html: str, by_name: bool = True) -> Node:
             if at is not None and at.parent is not None:
                 here = at.parent
             continue
+        if here.name == "head" and name not in _HEAD:
+            here = here.parent  # the end tag of the head may be left out
         if name in _CLOSES_P:
             at = here
             while at is not None and at.name not in _SCOPE and at.name != "p":
@@ -145,8 +157,7 @@ def parse(html: str, by_name: bool = True) -> Node:
             nodes.append(node)
         if name not in _VOID and not token["attrs"].endswith("/"):
             here = node
-    if by_name:
-        _judge_names(nodes)
+    _judge(nodes, by_name)
     return root
 
 

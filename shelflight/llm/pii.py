@@ -1,7 +1,7 @@
 """Personal data: base patterns, and a linear-chain conditional random field over word shapes.
 
 Base spans of four kinds follow fixed patterns with a check each.  The field reads the text as
-segments of words (cut at line ends, after sentence marks and at ``SEGMENT`` words); a word is
+segments of words (cut at line ends and after sentence marks); a word is
 described by its shape only - length, counts of character classes, marks it holds, cue words - and
 by the shapes of its neighbours.  It is trained on a small labelled table by gradient steps on the
 exact log-likelihood (forward-backward), and decoded by Viterbi over batches of segments in numpy.
@@ -93,7 +93,6 @@ def base_spans(text: str | None) -> tuple[list[list[Span]], list[Span]]:
 
 CUES = ("token", "password", "passwd", "pwd", "secret", "key", "apikey", "api_key", "bearer", "auth")
 CALLS = ("phone", "tel", "telephone", "call", "mobile", "fax", "cell")
-SEGMENT = 96
 _CLASSES = 128
 _SPACES = np.array([32, 9, 10, 11, 12, 13], np.uint32)
 _KIND = np.zeros(_CLASSES + 1, np.uint8)  # 0 other, 1 lower, 2 upper, 3 digit, 4 mark, 5 beyond ASCII
@@ -165,8 +164,8 @@ class Shapes:
     def _cue(self, text: str) -> np.ndarray:
         """1 for a word that announces a secret, 2 for one that announces a number."""
         out = np.zeros(len(self.start), np.int64)
-        low = text.lower()
-        low = low if len(low) == len(text) else text
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        low = (points + 32 * ((points >= 65) & (points <= 90)).astype(np.uint32)).tobytes().decode("utf-32-le", "surrogatepass")
         for kind, cues in ((1, CUES), (2, CALLS)):
             for cue in cues:
                 at = low.find(cue)
@@ -308,32 +307,32 @@ class Field:
         return score
 
     def decode(self, shapes: Shapes) -> np.ndarray:
-        """The most likely label of every word: Viterbi over all segments of similar length at once."""
+        """The most likely label of every word: Viterbi over all sentences at once, each of them one chain."""
         n = len(shapes.start)
         if not n:
             return np.zeros(0, np.int64)
+        score = self._scores(shapes.attributes, shapes.breaks)
         begins = np.flatnonzero(shapes.breaks)
-        since = np.arange(n) - np.repeat(begins, np.diff(np.append(begins, n)))
-        breaks = since % SEGMENT == 0
-        score = self._scores(shapes.attributes, breaks)
-        begins = np.flatnonzero(breaks)
         sizes = np.diff(np.append(begins, n))
+        order = np.argsort(-sizes, kind="stable")
+        first, sizes = begins[order], sizes[order]
+        going = np.searchsorted(-sizes, -np.arange(sizes[0]))  # chains longer than t, the first ones
         out = np.zeros(n, np.int64)
         move = self.move.astype(np.float32)
-        order = np.argsort(sizes, kind="stable")
-        for size in np.unique(sizes):
-            lo, hi = np.searchsorted(sizes[order], [size, size + 1])
-            first = begins[order[lo:hi]]
-            best = score[first]
-            came = np.zeros((size, hi - lo, len(LABELS)), np.int8)
-            for t in range(1, size):
-                paths = best[:, :, None] + move
-                came[t] = paths.argmax(axis=1)
-                best = paths.max(axis=1) + score[first + t]
-            label = best.argmax(axis=1)
-            for t in range(size - 1, -1, -1):
-                out[first + t] = label
-                label = came[t][np.arange(hi - lo), label] if t else label
+        best = score[first]
+        came: list[np.ndarray] = [np.zeros((0, len(LABELS)), np.int8)]
+        for t in range(1, len(going)):
+            k = going[t]
+            paths = best[:k, :, None] + move
+            came.append(paths.argmax(axis=1).astype(np.int8))
+            now = paths.max(axis=1) + score[first[:k] + t]
+            best[:k] = now - now.max(axis=1, keepdims=True)  # only differences count; so a chain of any length stays exact
+        label = best.argmax(axis=1)
+        for t in range(len(going) - 1, -1, -1):
+            k = going[t]
+            out[first[:k] + t] = label[:k]
+            if t:
+                label[:k] = came[t][np.arange(k), label[:k]]
         return out
 
 

@@ -20,7 +20,7 @@ other columns are carried along by the cut and may have any name.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import repeat
 
 import numpy as np
@@ -224,13 +224,14 @@ def _merged(spans: list[int], more: list[int]) -> list[int]:
     return out
 
 
-def benchmark_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS, window: int = WINDOW) -> list[Windows]:
-    """The benchmark in blocks of bounded size, each collected by itself."""
-    thin = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
+def benchmark_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS, window: int = WINDOW) -> Iterator[Windows]:
+    """The benchmark in blocks of bounded size, repeated items once; each is collected, built and let go by itself."""
+    thin = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).distinct()
     chars = thin.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-chars // block_chars))
     part = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
-    return [Windows([tuple(r) for r in thin.filter(part == number).collect()], window) for number in range(blocks)]
+    for number in range(blocks):
+        yield Windows([tuple(r) for r in thin.filter(part == number).collect()], window)
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:

@@ -231,9 +231,12 @@ def mix(docs: DataFrame, seed: int = 17, weights: Sequence[float] = WEIGHTS, sha
         "_source", F.struct("row", "size", (F.col("base") + own).cast("int").alias("copies")).alias("done")
     )
     groups = F.greatest(F.ceil(F.col("n_rest") / GROUP), F.lit(1))
-    level = rest.filter(~alone).select(
-        "_source", "row", "size", "p", "base",
-        F.pmod(F.xxhash64("row.doc_id", F.lit(seed)), groups).alias("cell"), groups.alias("cells"),
+    # Rows that share an id are dealt by their place in the table, too: no cell gets all of them.
+    shared = keep(thin.groupBy(F.struct("row.doc_id").alias("name")).agg(F.count("*").alias("n")).filter("n > 1"), "mix-shared-ids")
+    paired = rest.filter(~alone).withColumn("name", F.struct("row.doc_id")).join(shared, "name", "left")
+    deal = F.when(F.col("n").isNull(), F.xxhash64("row.doc_id", F.lit(seed))).otherwise(F.xxhash64("row", F.lit(seed)))
+    level = paired.select(
+        "_source", "row", "size", "p", "base", F.pmod(deal, groups).alias("cell"), groups.alias("cells"),
     )
     largest = left.agg(F.coalesce(F.max("n_rest"), F.lit(0))).first()[0]
     depth, cells = 1, -(-largest // GROUP)

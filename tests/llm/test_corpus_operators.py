@@ -233,3 +233,14 @@ def test_stages_take_an_empty_table(spark, sf):
     empty = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf).count() == 0
+
+
+def test_rows_of_one_id_are_dealt_to_many_cells(spark):
+    """A third of all rows share an id, a sixth have none: targets are met, and the same again."""
+    rows = [(7 if i % 3 == 0 else None if i % 6 == 1 else i, "w " * (1 + i % 9), "ab"[i % 2]) for i in range(6000)]
+    docs = frame(spark, rows)
+    first, again = (sorted(map(tuple, mixing.mix(docs).select("doc_id", "size", "copies", "target", "source").collect()), key=repr) for _ in range(2))
+    assert first == again and len(first) == len(rows)
+    for source in "ab":
+        taken = sum(s * c for _, s, c, _, x in first if x == source)
+        assert abs(taken - next(t for *_, t, x in first if x == source)) <= 20

@@ -6,8 +6,9 @@
    a window which a smaller id of the chunk holds, too, lose it at once, so a passage of a third of
    all documents leaves a chunk once.  What remains is shuffled to slots, ranges of the hash, as
    sorted, difference-coded and compressed columns: about nine bytes a window.
-3. A slot counts: of each window it knows the smallest id, and names to every other document the
-   hashes it loses.  ``windows / PER_SLOT`` slots are made, so a slot's size does not grow.
+3. A slot counts: of each window it knows the smallest id, and names to the chunks of all other
+   documents the hashes these lose, a row per chunk.  ``windows / PER_SLOT`` slots are made, so a slot's
+   size does not grow.  What a chunk is told by all slots becomes one row per document.
 4. Documents meet what they lose by (doc_id, hash of the text); those that surely lose nothing,
    by a bit map of fixed size, stay where they are.  Windows become word intervals, overlapping
    ones one maximal interval.
@@ -43,7 +44,8 @@ PER_SLOT = 1 << 21  # windows a slot is meant to count
 LEAST_SLOTS = 16
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 _BASES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
-_SENT = "slot int, n int, docs binary, body binary, doc_id long, mark long, spans binary"
+_SENT = pa.schema([("slot", pa.int32()), ("chunk", pa.int64()), ("n", pa.int32()), ("docs", pa.binary()), ("body", pa.binary())])
+_BACK = pa.schema([("chunk", pa.int64()), ("n", pa.int32()), ("docs", pa.binary()), ("body", pa.binary())])
 _LOST = "doc_id long, mark long, hashes binary, spans binary"
 
 
@@ -111,6 +113,29 @@ def unpack(body: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.cumsum(steps, dtype=np.uint64), checks, _from_planes(data, at, n, "<u4")[0]
 
 
+def pack_docs(ids: np.ndarray, marks: np.ndarray) -> bytes:
+    """Ascending ids and the marks of some documents."""
+    data = _planes(np.diff(ids, prepend=np.int64(0))) + marks.tobytes()
+    return len(ids).to_bytes(4, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unpack_docs(docs: bytes) -> tuple[np.ndarray, np.ndarray]:
+    m = int.from_bytes(docs[:4], "little")
+    data = pa.decompress(docs[4:], decompressed_size=16 * m, codec="zstd", asbytes=True)
+    steps, at = _from_planes(data, 0, m, "<i8")
+    return np.cumsum(steps), np.frombuffer(data, "<i8", m, at)
+
+
+def pack_parts(values: np.ndarray, sizes: np.ndarray) -> bytes:
+    """64-bit values of some documents, one document after the other."""
+    return sizes.astype("<u4").tobytes() + values.tobytes()
+
+
+def unpack_parts(body: bytes, m: int) -> list[bytes]:
+    ends = 4 * m + 8 * np.cumsum(np.frombuffer(body, "<u4", m).astype(np.int64))
+    return [body[a:b] for a, b in zip([4 * m, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+
 def by_window(hashes: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, whether a window begins there): equal windows lie together, in their order of arrival."""
     order = np.argsort(hashes, kind="stable")
@@ -124,7 +149,7 @@ def by_window(hashes: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def sent(ids: np.ndarray, marks: np.ndarray, texts: list[str], codes: dict[bytes, int], slots: int) -> Iterator[tuple]:
-    """Rows of one chunk for the slots: windows to be counted, and spans lost within the chunk."""
+    """``_SENT`` rows of one chunk: windows to be counted (n of them), and spans lost within the chunk (n is null)."""
     order = np.lexsort((marks, ids))
     once = np.concatenate([[True], (np.diff(ids[order]) != 0) | (np.diff(marks[order]) != 0)])
     order = order[once]
@@ -139,6 +164,7 @@ def sent(ids: np.ndarray, marks: np.ndarray, texts: list[str], codes: dict[bytes
     at = np.flatnonzero(row[:n] == row[WINDOW - 1 :])
     if not len(at):
         return
+    chunk = int.from_bytes(hashlib.blake2b(ids.tobytes() + marks.tobytes(), digest_size=8).digest(), "little", signed=True)
     start = at - (np.cumsum(sizes) - sizes)[row[at]]
     hashes = rolling(code, WINDOW, _BASES[0])[at]
     checks = (rolling(code, WINDOW, _BASES[1])[at] >> np.uint64(48)).astype(np.uint16)
@@ -148,23 +174,29 @@ def sent(ids: np.ndarray, marks: np.ndarray, texts: list[str], codes: dict[bytes
     rank = np.cumsum(np.concatenate([[0], np.diff(ids) != 0]))
     of = rank[row]
     later = of > np.minimum.reduceat(of, np.flatnonzero(new))[np.cumsum(new) - 1]
-    lost_row, lost_start = row[later], start[later]
-    order = np.lexsort((lost_start, lost_row))
-    lost_row, lost_start = lost_row[order], lost_start[order]
-    cuts = np.flatnonzero(np.diff(lost_row)) + 1
-    for own, starts in zip(lost_row[np.concatenate([[0], cuts])] if len(lost_row) else (), np.split(lost_start, cuts)):
-        slot = -1 - int(marks[own]) % slots
-        yield slot, None, None, None, int(ids[own]), int(marks[own]), merged(starts).tobytes()
+    if later.any():
+        lost_row, lost_start = row[later], start[later]
+        order = np.lexsort((lost_start, lost_row))
+        lost_row, lost_start = lost_row[order], lost_start[order]
+        cuts = np.flatnonzero(np.diff(lost_row)) + 1
+        own = lost_row[np.concatenate([[0], cuts])]
+        spans = [merged(starts) for starts in np.split(lost_start, cuts)]
+        body = pack_parts(np.concatenate(spans), np.array([len(x) for x in spans]))
+        yield chunk % slots, chunk, None, pack_docs(ids[own], marks[own]), body
     again = np.concatenate([[False], ~new[1:] & (row[1:] == row[:-1])])
     send = ~later & ~again
     hashes, checks, row = hashes[send], checks[send], row[send]
     shift = np.uint64(64 - (slots.bit_length() - 1))
     slot = (hashes >> shift).astype(np.int64)
     bounds = np.append(np.flatnonzero(np.concatenate([[True], np.diff(slot) != 0])), len(slot))
-    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         own, rows = np.unique(row[a:b], return_inverse=True)
-        named = pa.compress(_planes(np.diff(ids[own], prepend=np.int64(0))) + marks[own].tobytes(), codec="zstd", asbytes=True)
-        yield int(slot[a]), b - a, len(own).to_bytes(4, "little") + named, pack(hashes[a:b], checks[a:b], rows), None, None, None
+        yield int(slot[a]), chunk, b - a, pack_docs(ids[own], marks[own]), pack(hashes[a:b], checks[a:b], rows)
+
+
+def _rows(columns: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    values = zip(*columns, strict=True) if columns else [[] for _ in schema]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(values, schema, strict=True)], schema=schema)
 
 
 def send_windows(docs: DataFrame, slots: int, chunk: int) -> DataFrame:
@@ -176,14 +208,11 @@ def send_windows(docs: DataFrame, slots: int, chunk: int) -> DataFrame:
         marks: list[np.ndarray] = []
         texts: list[str] = []
         held = 0
-        schema = pa.schema([("slot", pa.int32()), ("n", pa.int32()), ("docs", pa.binary()), ("body", pa.binary()),
-                            ("doc_id", pa.int64()), ("mark", pa.int64()), ("spans", pa.binary())])
 
         def flush() -> Iterator[pa.RecordBatch]:
-            out = list(sent(np.concatenate(ids), np.concatenate(marks), texts, codes, slots)) if texts else []
-            for a in range(0, len(out), 1000):
-                columns = zip(*out[a : a + 1000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+            if texts:
+                for out in sent(np.concatenate(ids), np.concatenate(marks), texts, codes, slots):
+                    yield _rows([out], _SENT)
             ids.clear(), marks.clear(), texts.clear()
 
         for batch in batches:
@@ -200,41 +229,48 @@ def send_windows(docs: DataFrame, slots: int, chunk: int) -> DataFrame:
                     held = 0
         yield from flush()
 
-    return docs.mapInArrow(run, _SENT)
+    return docs.mapInArrow(run, "slot int, chunk long, n int, docs binary, body binary")
 
 
 def count_slot(rows: pa.Table) -> pa.Table:
-    """What documents lose by the windows of one slot; spans lost within a chunk pass through."""
-    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("hashes", pa.binary()), ("spans", pa.binary())])
-    if rows.num_rows and rows.column("n").null_count:
-        none = pa.nulls(rows.num_rows, pa.binary())
-        return pa.Table.from_arrays([rows.column("doc_id"), rows.column("mark"), none, rows.column("spans")], schema=schema)
-    hashes, checks, row, ids, marks, before = [], [], [], [], [], 0
-    for n, docs, body in zip(*(rows.column(c).to_pylist() for c in ("n", "docs", "body")), strict=True):
+    """What the documents of every chunk lose by the windows of one slot; spans pass through."""
+    back: list[tuple] = []
+    hashes, checks, row, ids, marks, chunks, firsts, before = [], [], [], [], [], [], [], 0
+    for chunk, n, docs, body in zip(*(rows.column(c).to_pylist() for c in ("chunk", "n", "docs", "body")), strict=True):
+        if n is None:
+            back.append((chunk, None, docs, body))
+            continue
         h, c, r = unpack(body, n)
-        m = int.from_bytes(docs[:4], "little")
-        named = pa.decompress(docs[4:], decompressed_size=16 * m, codec="zstd", asbytes=True)
-        steps, at = _from_planes(named, 0, m, "<i8")
-        ids.append(np.cumsum(steps)), marks.append(np.frombuffer(named, "<i8", m, at))
+        own = unpack_docs(docs)
+        ids.append(own[0]), marks.append(own[1]), chunks.append(chunk), firsts.append(before)
         hashes.append(h), checks.append(c), row.append(r + np.uint32(before))
-        before += m
-    if not hashes:
-        return schema.empty_table()
-    h, c, row, ids, marks = (np.concatenate(x) for x in (hashes, checks, row, ids, marks))
-    hashes.clear(), checks.clear()
-    order, new = by_window(h, c)
-    own = ids[row[order]]
-    hit = own > np.minimum.reduceat(own, np.flatnonzero(new))[np.cumsum(new) - 1]
-    lost, owner = h[order][hit], row[order][hit]
-    order = np.argsort(owner, kind="stable")
-    lost, owner = lost[order], owner[order]
-    cuts = np.flatnonzero(np.diff(owner)) + 1
-    first = owner[np.concatenate([[0], cuts])] if len(owner) else owner
-    blobs = [part.tobytes() for part in np.split(lost, cuts)] if len(owner) else []
-    return pa.Table.from_arrays(
-        [pa.array(ids[first]), pa.array(marks[first]), pa.array(blobs, pa.binary()), pa.nulls(len(first), pa.binary())],
-        schema=schema,
-    )
+        before += len(own[0])
+    if hashes:
+        h, c, row, ids, marks = (np.concatenate(x) for x in (hashes, checks, row, ids, marks))
+        hashes.clear(), checks.clear()
+        order, new = by_window(h, c)
+        own = ids[row[order]]
+        hit = own > np.minimum.reduceat(own, np.flatnonzero(new))[np.cumsum(new) - 1]
+        lost, owner = h[order][hit], row[order][hit]
+        order = np.argsort(owner, kind="stable")
+        lost, owner = lost[order], owner[order]
+        bounds = np.searchsorted(owner, [*firsts, before])
+        for chunk, a, b in zip(chunks, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if a < b:
+                own, sizes = np.unique(owner[a:b], return_counts=True)
+                back.append((chunk, b - a, pack_docs(ids[own], marks[own]), pack_parts(lost[a:b], sizes)))
+    return pa.Table.from_batches([_rows(back, _BACK)])
+
+
+def told(rows: pa.Table) -> pa.Table:
+    """One row per document of a chunk with all that it loses."""
+    lost: dict[tuple[int, int], tuple[list[bytes], list[bytes]]] = {}
+    for n, docs, body in zip(*(rows.column(c).to_pylist() for c in ("n", "docs", "body")), strict=True):
+        ids, marks = unpack_docs(docs)
+        for name, part in zip(zip(ids.tolist(), marks.tolist(), strict=True), unpack_parts(body, len(ids)), strict=True):
+            lost.setdefault(name, ([], []))[n is None].append(part)
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("hashes", pa.binary()), ("spans", pa.binary())])
+    return pa.Table.from_batches([_rows([(*k, b"".join(h), b"".join(s)) for k, (h, s) in lost.items()], schema)])
 
 
 def covered(code: np.ndarray, hashes: list[bytes], spans: list[bytes]) -> np.ndarray:
@@ -244,8 +280,7 @@ def covered(code: np.ndarray, hashes: list[bytes], spans: list[bytes]) -> np.nda
         lost = np.frombuffer(b"".join(hashes), np.uint64)
         starts = np.flatnonzero(np.isin(rolling(code, WINDOW, _BASES[0]), lost))
         np.add.at(inside, starts, 1), np.add.at(inside, starts + WINDOW, -1)
-    for pairs in spans:
-        ends = np.frombuffer(pairs, np.int64)
+    for ends in (np.frombuffer(pairs, np.int64) for pairs in spans):
         np.add.at(inside, ends[::2], 1), np.add.at(inside, ends[1::2], -1)
     gone = np.concatenate([[False], np.cumsum(inside)[:-1] > 0, [False]])
     return np.flatnonzero(gone[1:] != gone[:-1])
@@ -262,8 +297,10 @@ def lost_windows(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     thin = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text")
     ).filter(F.col("doc_id").isNotNull() & (F.length("text") > 2 * (WINDOW - 1)))
-    lost = send_windows(thin, slots_for(thin), chunk).groupBy("slot").applyInArrow(count_slot, _LOST)
-    return keep(lost, "lost-windows").groupBy("doc_id", "mark").agg(
+    back = send_windows(thin, slots_for(thin), chunk).groupBy("slot").applyInArrow(
+        count_slot, "chunk long, n int, docs binary, body binary"
+    )
+    return keep(back.groupBy("chunk").applyInArrow(told, _LOST), "lost-windows").groupBy("doc_id", "mark").agg(
         F.collect_list("hashes").alias("hashes"), F.collect_list("spans").alias("spans")
     )
 

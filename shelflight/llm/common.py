@@ -54,6 +54,11 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
+def rows_per_batch(df: DataFrame, rows: int) -> None:
+    """Rows of an Arrow batch in the plans that follow: few where a task holds much else, results never depend on it."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def slices(texts: list[str | None], most: int = 16 << 20) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of ``texts`` of about ``most`` characters; one text is never cut."""
     start = size = 0

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelflight.llm.common import _WORD, broadcast, map_batches, slices, words, wrapped
+from shelflight.llm.common import _WORD, broadcast, map_batches, rows_per_batch, slices, words, wrapped
 
 WINDOW, BLOCK_CHARS, SHARD_CHARS, SAMPLE = 10, 32 << 20, 8 << 20, 8
 
@@ -236,6 +236,7 @@ def benchmark_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS, windo
 
 def mark(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(row, n_words, spans, items): the row as it was, flat merged word spans, item ids."""
+    rows_per_batch(docs, 10_000)  # an index of one large shard is cheaper than many small ones
     df = wrapped(docs).select(
         "row", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("spans"),
         F.array().cast("array<string>").alias("items"),

@@ -33,19 +33,21 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.regression import IsotonicRegression
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
-from shelflight.llm.common import broadcast, labelled_sample, map_batches, words
+from shelflight.llm.common import broadcast, labelled_sample, map_batches, rows_per_batch, words
 from shelflight.session import keep
 
 EXAMPLES, STRENGTH, FLOOR, K, BLOCK, PRIOR = 16_384, 10.0, 0.001, 15, 64, 0.25
+BATCH = 1000  # texts of an Arrow batch
 CALIBRATED = 4096  # examples the calibration is learnt from
 OFTEN = 16
 CHUNK = 8  # blocks scored at first; twice as many each time
@@ -93,7 +95,8 @@ class Index:
         self.seen: dict[bytes, tuple[float, list[int]]] = {}
         self.votes: np.ndarray | None = None  # the calibration: shares of toxic texts at these votes
         self.shares: np.ndarray | None = None
-        self.terms = {t: i for i, t in enumerate(sorted(weights))}
+        self.shared = None  # the broadcast of the index, where there is one
+        self.set_terms(pa.array(sorted(weights), pa.binary()))
         self.weights = np.array([weights[t] for t in self.terms], float)
         pairs = examples.items() if isinstance(examples, dict) else examples
         vectors = {e: (ids.astype(np.int32), w.astype(np.float32)) for e, (ids, w) in ((e, self.vector(c)) for e, c in pairs)}
@@ -112,9 +115,9 @@ class Index:
         order = np.argsort(term, kind="stable")
         self.rows = np.repeat(np.arange(len(kept), dtype=np.int32), sizes)[order]
         self.cosines = cosines[order]
-        self.start = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(self.terms)))]).astype(np.int64)
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(self.weights)))]).astype(np.int64)
         often = np.flatnonzero(np.diff(self.start) * OFTEN >= max(len(kept), 1))
-        self.place = np.full(len(self.terms), -1)  # row of a frequent term
+        self.place = np.full(len(self.weights), -1)  # row of a frequent term
         self.place[often] = np.arange(len(often))
         self.often: np.ndarray | None = None  # written where the first document is scored
 
@@ -123,7 +126,8 @@ class Index:
            ids: np.ndarray, toxic: np.ndarray, alone: float) -> Index:
         """The index of postings that are sorted by term and row; ``ids`` and ``toxic`` lie in the order of rows."""
         self = cls({}, {}, {})
-        self.sorted_terms, self.terms, self.weights = terms, None, weights
+        self.set_terms(terms.cast(pa.binary()))
+        self.weights = weights
         self.ids, self.toxic, self.alone = ids, toxic.astype(float), alone
         self.blocks = -(-len(ids) // BLOCK)
         self.rows, self.cosines = rows.flatten().to_numpy(), cosines.flatten().to_numpy()
@@ -135,20 +139,35 @@ class Index:
         return self
 
     def __getstate__(self) -> dict:
-        """The terms travel as one array, not as an object each; only their order counts."""
-        return self.__dict__ | {"_terms": None, "seen": {}, "most": None, "often": None}
+        return self.__dict__ | {"seen": {}, "most": None, "often": None, "shared": None, "sorted_terms": None}
 
-    @property
-    def terms(self) -> dict[bytes, int]:
-        if self._terms is None:
-            self._terms = {t: i for i, t in enumerate(self.sorted_terms.cast(pa.binary()).to_pylist())}
-        return self._terms
+    def set_terms(self, terms: pa.BinaryArray) -> None:
+        """Terms are found by the order of their hashes: arrays weigh a tenth of a dictionary in every worker."""
+        self.sorted_terms = terms
+        self.text = b"".join(t.as_py() for t in terms)
+        self.ends = np.concatenate([[0], np.cumsum(pc.binary_length(terms).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        hashes = np.fromiter((xxh3_64_intdigest(t.as_py()) for t in terms), np.uint64, len(terms))
+        self.by_hash = np.argsort(hashes, kind="stable").astype(np.int32)
+        self.hashes = hashes[self.by_hash]
 
-    @terms.setter
-    def terms(self, terms: dict[bytes, int] | None) -> None:
-        self._terms = terms
-        if terms is not None:
-            self.sorted_terms = pa.array([*terms], pa.binary())
+    @property
+    def terms(self) -> list[bytes]:
+        return self.sorted_terms.to_pylist()
+
+    def places(self, found: Iterable[bytes]) -> np.ndarray:
+        """The number of each word among the terms, -1 for others; words are compared, not hashes alone."""
+        found = list(found)
+        if not len(self.hashes):
+            return np.full(len(found), -1, np.int64)
+        key = np.fromiter(map(xxh3_64_intdigest, found), np.uint64, len(found))
+        at = np.minimum(np.searchsorted(self.hashes, key), len(self.hashes) - 1)
+        term = self.by_hash[at].astype(np.int64)
+        same = [self.text[a:b] == w for a, b, w in zip(self.ends[term].tolist(), self.ends[term + 1].tolist(), found, strict=True)]
+        out = np.where(same, term, -1)
+        for i in np.flatnonzero((self.hashes[at] == key) & (out < 0)).tolist():  # terms of one hash
+            alike = self.by_hash[at[i] : np.searchsorted(self.hashes, key[i], "right")].tolist()
+            out[i] = next((t for t in alike if self.text[self.ends[t] : self.ends[t + 1]] == found[i]), -1)
+        return out
 
     def _write_often(self) -> None:
         often = np.flatnonzero(self.place >= 0)
@@ -166,13 +185,15 @@ class Index:
     @property
     def dense(self) -> np.ndarray:
         """All terms written out, for checks on small indexes."""
-        return self._written(np.arange(len(self.terms))).reshape(len(self.terms), -1)
+        return self._written(np.arange(len(self.sorted_terms))).reshape(len(self.sorted_terms), -1)
 
     def vector(self, counts: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
         """Term ids and unit weights (1 + log tf) * weight of the term."""
-        known = sorted((self.terms[t], n) for t, n in counts.items() if t in self.terms)
-        ids = np.array([t for t, _ in known], np.int64)
-        weight = (1 + np.log(np.array([n for _, n in known], float))) * self.weights[ids]
+        ids = self.places(counts)
+        times = np.fromiter(counts.values(), float, len(counts))
+        order = np.argsort(ids)[np.count_nonzero(ids < 0) :]
+        ids = ids[order]
+        weight = (1 + np.log(times[order])) * self.weights[ids]
         norm = math.sqrt(float((weight**2).sum()))
         return ids, weight / norm if norm else weight
 
@@ -226,7 +247,9 @@ class Index:
 
         At most ``most`` examples, chosen by a hash of the id; isotonic regression over their votes.
         """
-        shared = broadcast(docs, self)
+        from pyspark.ml.regression import IsotonicRegression  # here, as tasks import this module and need no models
+
+        shared = self.shared = broadcast(docs, self)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = shared.value
@@ -247,19 +270,29 @@ class Index:
         fitted = IsotonicRegression(featuresCol="vote").fit(votes)
         self.votes, self.shares = fitted.boundaries.toArray(), fitted.predictions.toArray()
 
+    def in_tasks(self, df: DataFrame) -> Callable[[], Index]:
+        """The index where tasks run; the broadcast that the calibration used serves on."""
+        shared = self.shared or broadcast(df, self)
+        votes, shares = self.votes, self.shares
+
+        def here() -> Index:
+            index = shared.value
+            index.votes, index.shares = votes, shares
+            return index
+
+        return here
+
     def score(self, text: str | None) -> tuple[float, list[int]]:
-        terms = self.terms
-        found = {w: n for w, n in Counter(words(text)).items() if w in terms}
-        if not found or not len(self.ids):
+        if not text or not len(self.ids):
             return self.alone, []
         key = sha256(text.encode("utf-8", "surrogatepass")).digest()  # copies are scored once
         known = self.seen.get(key)
         if known is not None:
             return known
-        vote, evidence = self.vote(found)
+        vote, evidence = self.vote(Counter(words(text)))
         if not evidence:
             return self.alone, []
-        if len(self.seen) > 50_000:
+        if len(self.seen) > 20_000:
             self.seen.clear()
         share = vote if self.votes is None else float(np.interp(vote, self.votes, self.shares))
         self.seen[key] = share, evidence
@@ -280,6 +313,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, calibrated
     Terms are counted, weighed, joined back and normalised as Spark tables; the driver gets the
     finished postings as flat arrays and passes them on.
     """
+    rows_per_batch(docs, BATCH)  # beside the index, whole texts of few rows
     sample = labelled_sample(labels.filter(~held_out(F.col("doc_id"))), ["toxic"], examples)
     one = keep(example_terms(docs, sample), "toxicity-examples")
     n, n_toxic, alone = one.agg(
@@ -313,10 +347,11 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, calibrated
 
 def score_documents(docs: DataFrame, index: Index) -> DataFrame:
     """(doc_id, score, evidence) of every row."""
-    shared = broadcast(docs, index)
+    here = index.in_tasks(docs)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        scored = [shared.value.score(text) for text in batch.column(1).to_pylist()]
+        own = here()
+        scored = [own.score(text.as_py()) for text in batch.column(1)]
         return pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([s for s, _ in scored], pa.float64()),
              pa.array([e for _, e in scored], pa.list_(pa.int64()))], ["doc_id", "score", "evidence"],
@@ -328,10 +363,11 @@ def score_documents(docs: DataFrame, index: Index) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame, at: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score below ``at``, with all their columns."""
-    shared = broadcast(docs, fit(docs, labels))
+    here = fit(docs, labels).in_tasks(docs)
     column = docs.columns.index("text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return batch.filter(pa.array([shared.value.score(t)[0] < at for t in batch.column(column).to_pylist()]))
+        own = here()
+        return batch.filter(pa.array([own.score(text.as_py())[0] < at for text in batch.column(column)], pa.bool_()))
 
     return map_batches(docs, run, docs.schema)

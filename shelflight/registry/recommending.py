@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shelflight.functions.vectors import norm, unit
 from shelflight.operators import (
-    candidates, evaluate, factors, nearest, popularity, ranker, rerank, reports, scoring, texts,
+    candidates, evaluate, factors, nearest, popularity, ranker, rerank, reports, scoring, texts, vector_index,
 )
 from shelflight.operators import interactions as inter
 from shelflight.registry import query
@@ -75,6 +75,44 @@ def approximate_recall(spark, sf):
     return nearest.recall_against(exact, nearest.approximate_similar_items(v, v, 10, cells=16, probes=6))
 
 
+def _stored_index(spark, sf):
+    """All vectors but category 3 are indexed, then those are added, one half of them twice."""
+    v = testviews.item_vectors(spark, sf)
+    path = scratch_path(spark, "index")
+    vector_index.build_index(v.filter(F.col("category") != "3"), path)
+    late = v.filter(F.col("category") == "3")
+    vector_index.add_vectors(late, path)
+    vector_index.add_vectors(late.filter(F.pmod(F.xxhash64("item_id"), F.lit(2)) == 0), path)
+    return v, path
+
+
+@query("A7_index_contents", with_blocks("""
+  SELECT item_id, round(embedding[1] / sqrt(list_dot_product(embedding, embedding)), 5) AS first_value
+  FROM vectors""", "vectors"))
+def index_contents(spark, sf):
+    _, path = _stored_index(spark, sf)
+    return vector_index.stored(spark, path).select(
+        "item_id", F.round(F.get("vec", F.lit(0)), 5).alias("first_value")
+    )
+
+
+# What must hold of the index, as figures: all pairs asked for, recall of 0.9 or more, added items found first.
+@query("G3_index_recall", with_blocks("""
+  SELECT count(*) AS pairs, true AS recall_reached,
+         (SELECT count(*) FROM vectors WHERE category = '3') AS added_found
+  FROM neighbours WHERE position <= 10""", "neighbours", "vectors"))
+def index_recall(spark, sf):
+    v, path = _stored_index(spark, sf)
+    exact = nearest.similar_items(v, v, 10)
+    found = keep(vector_index.search_index(v, path, 10), "found")
+    added = v.filter(F.col("category") == "3").select(F.col("item_id").alias("query_id"))
+    itself = found.filter((F.col("position") == 1) & (F.round("score", 9) == 1.0)).join(added, "query_id", "left_semi")
+    return nearest.recall_against(exact, found).select(
+        "pairs", (F.col("recall") >= 0.9).alias("recall_reached"),
+        itself.agg(F.count("*")).scalar().alias("added_found"),
+    )
+
+
 # With every cell visited the approximate search is the exact one.
 @query("G3_all_cells", with_blocks("""
   SELECT query_id, item_id, round(score, 5) AS score, position FROM neighbours WHERE position <= 10""", "neighbours"))

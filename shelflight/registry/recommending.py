@@ -318,6 +318,19 @@ def ranker_coefficients(spark, sf):
     )
 
 
+# Scores of a stored and reloaded ranker against those of the model that was fitted.
+@query("A8_ranker_reload", with_blocks("SELECT count(*) AS rows, 0 AS differing FROM dataset", "dataset"))
+def ranker_reload(spark, sf):
+    data = keep(_dataset(spark, sf), "dataset")
+    model, path = ranker.fit_ranker(ranker.stratified_split(data)[0]), scratch_path(spark, "ranker")
+    ranker.save_ranker(model, path)
+    again = ranker.scored(ranker.load_ranker(path), data.withColumnRenamed("label", "_label"))
+    both = ranker.scored(model, again.withColumnsRenamed({"rank_score": "_reloaded", "prediction": "_class"}))
+    return both.agg(
+        F.count("*").alias("rows"), F.count_if(~F.col("rank_score").eqNullSafe(F.col("_reloaded"))).alias("differing")
+    )
+
+
 _SIGMOID = " + ".join(
     [f"({ranker.INTERCEPT})"] + [f"({w}) * {f}" for f, w in zip(ranker.FEATURES, ranker.COEFFICIENTS, strict=True)]
 )
@@ -835,6 +848,25 @@ def precision_recall(spark, sf):
     return _round(evaluate.precision_recall(lists, liked), 6, "precision", "recall")
 
 
+# The lists of the factor model; its scores are compared to nine digits, equal ones go by item id.
+@query("J2_factor_lists", with_blocks(f"""
+  SELECT k, count(*) AS users, round(avg(hits / k), 6) AS precision, round(avg(hits / liked), 6) AS recall FROM (
+    SELECT k, l.user_id, count(*) AS liked, count(r.item_id) AS hits
+    FROM (SELECT k, user_id, item_id FROM (SELECT unnest([5, 10, 20]) AS k),
+                 (SELECT DISTINCT user_id, item_id FROM test WHERE rating >= 4)) l
+    LEFT JOIN (
+      SELECT u.id AS user_id, i.id AS item_id,
+             row_number() OVER (PARTITION BY u.id ORDER BY round({sql_dot("u.factors", "i.factors")}, 9) DESC, i.id) AS position
+      FROM user_factors u, item_factors i QUALIFY position <= 20
+    ) r ON r.user_id = l.user_id AND r.item_id = l.item_id AND r.position <= k
+    GROUP BY 1, 2) GROUP BY 1""", "test", "user_factors", "item_factors"))
+def factor_lists(spark, sf):
+    test = inter.split_last_out(_interactions(spark, sf))[1]
+    users, items = testviews.user_factors(spark, sf), testviews.item_factors(spark, sf)
+    lists = factors.factor_recall(users, items, max(evaluate.CUTS))
+    return _round(evaluate.precision_recall(lists, evaluate.positives(test, users, items)), 6, "precision", "recall")
+
+
 # Stand-in factors over all items a user has not trained on; equal scores go by item id.
 @query("J3_leave_one_out", with_blocks(f"""
   SELECT k, count(*) AS users, round(avg(hits / k), 6) AS precision, round(avg(hits / liked), 6) AS recall FROM (

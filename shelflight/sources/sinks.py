@@ -73,7 +73,7 @@ def write_factors(factors: DataFrame, path: str) -> DataFrame:
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:
-    """A one-row metrics frame as one JSON file."""
+    """A metrics frame of a few rows as one JSON file."""
     metrics.coalesce(1).write.mode("overwrite").json(path)
 
 

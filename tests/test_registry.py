@@ -3,6 +3,8 @@
 import re
 from pathlib import Path
 
+import pytest
+
 import __spark_entry__ as entry
 from shelflight.session import scratch_path
 
@@ -49,10 +51,22 @@ def test_build_plan(spark, sf):
     reviews, meta, out = (scratch_path(spark, n) for n in ("reviews", "meta", "build"))
     for df, path in ((testviews.reviews_raw(spark, sf), reviews), (testviews.metadata_raw(spark, sf), meta)):
         df.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
-    tables = build(spark, reviews, meta, out)
+    def lengths(texts):  # a small deterministic encoder
+        return [[len(t), t.count(" "), t.count("e"), 1.0] for t in texts]
+
+    tables = build(spark, reviews, meta, out, encoder=lengths)
     rows = {n: t.count() for n, t in tables.items()}
     assert rows["interactions_train"] + rows["interactions_test"] == rows["interactions_core"] == rows["ranking_dataset"]
     assert rows["embedding_text"] == rows["semantic_attributes"] > 0
+    from shelflight.operators import ranker, vector_index
+
+    assert vector_index.stored(spark, f"{out}/vector_index").count() == rows["item_vectors"] == rows["embedding_text"]
+    assert spark.read.json(f"{out}/metrics/lists").count() == 3
+    assert spark.read.json(f"{out}/metrics/ratings").first().pairs > 0
+    cells = spark.read.json(f"{out}/metrics/ranker").first()
+    assert cells.tn + cells.fp + cells.fn + cells.tp == cells.rows > 0
+    with pytest.raises(ValueError, match="fitted on"):
+        ranker.load_ranker(f"{out}/ranker", ranker.FEATURES[::-1])
 
 
 def test_context_stream_equals_batch(spark, sf):

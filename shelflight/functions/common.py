@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -60,35 +61,88 @@ def folded_median(df: DataFrame, column: str) -> Column:
     return folded.agg(F.percentile("_v", F.lit(0.5), F.col("_n"))).scalar()
 
 
-def wide_median(df: DataFrame, column: str) -> Column:
-    """The exact median of a continuous column as a scalar column.
+def exact_medians(df: DataFrame, columns: Sequence[str], cells: int = 4096) -> dict[str, float | None]:
+    """Exact medians of several columns together, as doubles; None where a column holds no value.
 
-    Distinct values are dealt out by range, with bounds sampled from the values themselves, so
-    outliers leave no range fuller than others; only the ranges of the middle ranks are ranked
-    one by one, a window each.
+    Selection by repeated histograms: a round is one scan for all columns, counting values in
+    equal cells between the bounds of each open range.  The cell with the wanted rank, narrowed
+    to its own least and greatest value, is the next range, so outliers cost a round at most;
+    a range of one value is the answer.  No values are sorted, and only the chosen cells, two
+    per column at most, reach the driver.  Nulls are left out; NaN counts as the greatest value.
     """
-    placed = keep(_folded(df, column).repartitionByRange("_v").withColumn("_b", F.spark_partition_id()), "median")
-    ahead = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    histogram = placed.groupBy("_b").agg(F.sum("_n").alias("_size"))
-    everything = Window.partitionBy()
-    spans = histogram.select(
-        "_b", "_size",
-        F.coalesce(F.sum("_size").over(ahead), F.lit(0)).alias("_before"),
-        F.sum("_size").over(everything).alias("_total"),
-    )
-    low, high = F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2)
-    middle = spans.filter((F.col("_before") <= high) & (F.col("_before") + F.col("_size") > low))
-    inside = Window.partitionBy("_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = placed.join(middle, "_b").withColumn(
-        "_rank", F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
-    )
-
-    def covers(rank: Column) -> Column:
-        return (F.col("_rank") <= rank) & (F.col("_rank") + F.col("_n") > rank)
-
-    return ranked.agg(
-        (F.max(F.when(covers(low), F.col("_v"))) + F.max(F.when(covers(high), F.col("_v")))) / 2
-    ).scalar()
+    names = {f"v{i}": c for i, c in enumerate(columns)}
+    values = keep(df.select(*[F.col(c).cast("double").alias(v) for v, c in names.items()]), "medians")
+    infinite = F.lit(math.inf)
+
+    def ends(v: str) -> Column:
+        finite = F.when(F.abs(v) < infinite, F.col(v))
+        return F.struct(
+            F.count_if(F.col(v) == -infinite).alias("below"), F.count(finite).alias("finite"),
+            F.count_if(F.col(v) == infinite).alias("above"), F.count(v).alias("filled"),
+            F.min(finite).alias("low"), F.max(finite).alias("high"),
+        ).alias(v)
+
+    first = values.agg(*[ends(v) for v in names]).first()
+    found: dict[tuple[str, int], float] = {}
+    wanted: dict[tuple[str, float, float], set[tuple[int, int]]] = {}
+    for v in names:
+        end = first[v]
+        for place in {(end["filled"] - 1) // 2, end["filled"] // 2} if end["filled"] else ():
+            inner = place - end["below"]
+            if inner < 0:
+                found[v, place] = -math.inf
+            elif inner < end["finite"]:
+                wanted.setdefault((v, end["low"], end["high"]), set()).add((place, inner))
+            else:
+                found[v, place] = math.inf if inner < end["finite"] + end["above"] else math.nan
+    while wanted:
+        ranges = list(wanted)
+        cell = F.explode(F.array(*[
+            F.struct(F.lit(at).alias("range"), _cell(F.col(v), low, high, cells).alias("cell"), F.col(v).alias("v"))
+            for at, (v, low, high) in enumerate(ranges)
+        ]))
+        counted = values.select(cell.alias("c")).select("c.*").filter("cell IS NOT NULL").groupBy("range", "cell").agg(
+            F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")
+        )
+        upto = Window.partitionBy("range").orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        placed = counted.withColumn("after", F.sum("n").over(upto)).withColumn("before", F.col("after") - F.col("n"))
+        holds = F.lit(False)
+        for at, key in enumerate(ranges):
+            for _, inner in wanted[key]:
+                holds = holds | ((F.col("range") == at) & (F.col("before") <= inner) & (F.col("after") > inner))
+        chosen = placed.filter(holds).collect()
+        following: dict[tuple[str, float, float], set[tuple[int, int]]] = {}
+        for row in chosen:
+            key = ranges[row["range"]]
+            for place, inner in wanted[key]:
+                if row["before"] <= inner < row["after"]:
+                    if row["low"] == row["high"]:
+                        found[key[0], place] = row["low"]
+                    else:
+                        following.setdefault((key[0], row["low"], row["high"]), set()).add((place, inner - row["before"]))
+        wanted = following
+    out: dict[str, float | None] = {}
+    for v, c in names.items():
+        filled = first[v]["filled"]
+        out[c] = (found[v, (filled - 1) // 2] + found[v, filled // 2]) / 2 if filled else None
+    return out
+
+
+def _cell(v: Column, low: float, high: float, cells: int) -> Column:
+    """Number of the equal cell a value lies in, null outside the range."""
+    width = high - low
+    if width == 0:
+        part = F.lit(0.0)
+    elif math.isinf(width):
+        part = (v / 2 - low / 2) / F.lit(high / 2 - low / 2)
+    else:
+        part = (v - low) / F.lit(width)
+    return F.when((v >= low) & (v <= high), F.least(F.floor(part * cells).cast("int"), F.lit(cells - 1)))
+
+
+def wide_median(df: DataFrame, column: str) -> Column:
+    """The exact median of one continuous column as a scalar column."""
+    return F.lit(exact_medians(df, [column])[column]).cast("double")
 
 
 def _folded(df: DataFrame, column: str) -> DataFrame:

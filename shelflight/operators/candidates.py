@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelflight.functions.common import first_per_group, hash_order, top_per_group
+from shelflight.session import keep
 
 K_MF = 100
 K_CONTENT = 50
 K_POPULAR = 50
 MAX_REFERENCES = 10
+RANGE_WIDTH = 256
 SOURCES = ("mf", "content", "popularity")
 
 
@@ -23,7 +25,7 @@ def popularity_recall(
     ``users`` has (user_id, excluded array).  Twice k items are taken; the first fifth stays in
     front and the rest is shuffled.  No user with at most ``max_excluded`` exclusions needs more
     than the top 2k + ``max_excluded`` items, so that short list is one scalar and the work per
-    user is array arithmetic, without any join.  Users with more exclusions go by an anti join.
+    user is array arithmetic, without any join.  Users with more exclusions read ranges of ranks.
     """
     w = 2 * k + max_excluded
     head = popularity.orderBy(F.desc("popularity_score"), F.asc("item_id")).limit(w)
@@ -34,7 +36,7 @@ def popularity_recall(
     usual = users.filter(few).withColumn("_head", head.agg(ranked).scalar()).select(
         "user_id", F.slice(F.array_except("_head", "excluded"), 1, 2 * k).alias("_pool")
     )
-    staged = usual.unionByName(_long_exclusions(users.filter(~few), popularity, 2 * k))
+    staged = usual.unionByName(pools_past_exclusions(users.filter(~few), popularity, 2 * k))
     size = F.size("_pool")
     fixed = F.floor(size * 0.2).cast("int")
     rest = F.slice("_pool", fixed + 1, F.greatest(size - fixed, F.lit(0)))
@@ -51,26 +53,57 @@ def popularity_recall(
     )
 
 
-def _long_exclusions(users: DataFrame, popularity: DataFrame, n: int) -> DataFrame:
-    """(user_id, _pool) of users whose exclusions outgrow the shared list.
+def numbered(popularity: DataFrame) -> DataFrame:
+    """(item_id, rank): places from 0 by score, ties by id.
 
-    A user with e exclusions needs the top n + e items: ranks are numbered once over items, and a
-    user meets the ranks up to that bound, never the whole catalogue.
+    Items are dealt by range of the order and counted per part; only parts are summed in one task.
     """
     order = (-F.col("popularity_score")).alias("s")
-    ranks = popularity.select(F.struct(order, "item_id").alias("place"), "item_id")
-    bands = users.select("user_id", "excluded", F.ceil(F.log2(F.size("excluded") + n)).cast("int").alias("_band"))
-    pools = []
-    for band in [r[0] for r in bands.select("_band").distinct().collect()]:  # at most 31 numbers
-        places = F.transform(F.array_sort(F.collect_list("place")), lambda e: e["item_id"])
-        head = ranks.orderBy("place").limit(2 ** band).agg(places).scalar()
-        pools.append(bands.filter(F.col("_band") == band).withColumn("_head", head).select(
-            "user_id", F.slice(F.array_except("_head", "excluded"), 1, n).alias("_pool")
-        ))
-    none = users.filter(F.lit(False)).select("user_id", F.col("excluded").alias("_pool"))
-    for pool in pools:
-        none = none.unionByName(pool)
-    return none
+    dealt = keep(
+        popularity.select(order, "item_id").repartitionByRange("s", "item_id").withColumn("_part", F.spark_partition_id()),
+        "ranks",
+    )
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("_part").agg(F.count("*").alias("_size")).select(
+        "_part", F.coalesce(F.sum("_size").over(ahead), F.lit(0)).alias("_start")
+    )
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy("s", "item_id"))
+    return dealt.withColumn("_at", inside).join(starts, "_part").select(
+        "item_id", (F.col("_start") + F.col("_at") - 1).alias("rank")
+    )
+
+
+def pools_past_exclusions(users: DataFrame, popularity: DataFrame, n: int, width: int = RANGE_WIDTH) -> DataFrame:
+    """(user_id, _pool): the n most popular items of users whose exclusions outgrow the shared list.
+
+    Ranks are kept in ranges of ``width`` items.  A user's exclusions are counted per range, so
+    the ranges that hold the user's first n free items follow from counts alone; only these are
+    read, less the exclusions that fall on them.  Ranges without a free item are skipped.  No row
+    holds more than a range or n x n items, whatever the size of the catalogue.
+    """
+    ranks = keep(numbered(popularity).withColumn("_range", F.floor(F.col("rank") / width)), "ranges")
+    packed = ranks.groupBy("_range").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "item_id"))), lambda e: e["item_id"]).alias("_items")
+    )
+    gone = users.select("user_id", F.explode(F.array_distinct("excluded")).alias("item_id")).join(ranks, "item_id")
+    hidden = gone.groupBy("user_id", "_range").agg(F.collect_list("item_id").alias("_hidden"))
+    total = ranks.agg(F.count("*")).scalar()
+    # e exclusions hide e items at most, so the first n + e ranks hold n free ones or all there are.
+    last = F.floor((F.least(F.lit(n) + F.size("excluded"), F.col("_total")) - 1) / width)
+    spans = users.withColumn("_total", total).filter(F.col("_total") > 0).select(
+        "user_id", "_total", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("_range")
+    )
+    free = F.least(F.lit(width), F.col("_total") - F.col("_range") * width) - F.coalesce(F.size("_hidden"), F.lit(0))
+    ahead = Window.partitionBy("user_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    read = spans.join(hidden, ["user_id", "_range"], "left").withColumn("_free", free).withColumn(
+        "_before", F.coalesce(F.sum("_free").over(ahead), F.lit(0))
+    ).filter((F.col("_before") < n) & (F.col("_free") > 0))
+    none = F.array().cast(f"array<{popularity.schema['item_id'].dataType.simpleString()}>")
+    open_items = F.slice(F.array_except("_items", F.coalesce("_hidden", none)), 1, n)
+    parts = read.join(packed, "_range").groupBy("user_id").agg(
+        F.array_sort(F.collect_list(F.struct("_range", open_items.alias("_open")))).alias("_parts")
+    )
+    return parts.select("user_id", F.slice(F.flatten(F.transform("_parts", lambda e: e["_open"])), 1, n).alias("_pool"))
 
 
 def content_recall(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelflight.functions.common import share, top_per_group, wide_median
+from shelflight.session import keep
 
 CUTS = (5, 10, 20)
 POSITIVE_FROM = 4.0
@@ -107,6 +108,7 @@ def content_quality(
 
 def similarity_quality(neighbours: DataFrame) -> DataFrame:
     """Mean, extremes and median of the scores in the lists, and the mean list length."""
+    neighbours = keep(neighbours.select("query_id", "score"), "similarities")
     return neighbours.agg(
         F.avg("score").alias("avg_similarity"), F.min("score").alias("min_similarity"),
         F.max("score").alias("max_similarity"),

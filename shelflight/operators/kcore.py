@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelflight.session import cut_lineage
+from shelflight.session import cut_lineage, keep
 
 
 @dataclass
@@ -34,8 +34,10 @@ def k_core(interactions: DataFrame, k: int = 5, max_rounds: int = 1000) -> KCore
     join against the *thin* keys: hot keys are never among them, the set shrinks from round
     to round, and once it is small AQE broadcasts it and the edges are not shuffled at all.
     Every round ends in a reliable checkpoint; the row count that decides about another
-    round is read from it.  Full rows are touched once, at the end.
+    round is read from it.  The rows are written once, for the edges and for the semi join at
+    the end.
     """
+    interactions = keep(interactions, "core-rows")
     edges = interactions.groupBy("user_id", "item_id").agg(F.count("*").alias("n"))
     edges = cut_lineage(edges)
     before = edges.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

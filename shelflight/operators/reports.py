@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelflight.functions.common import banded, folded_median, share, wide_median
+from shelflight.functions.common import banded, exact_medians, folded_median, share
 from shelflight.functions.vectors import norm
 from shelflight.operators.reviews import has_required_keys, rating_in_range
 
@@ -311,13 +311,12 @@ def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             for c in columns
         ]
     )
-    for c in columns:
-        stats = stats.withColumn(f"_m_{c}", wide_median(df, c))
+    medians = exact_medians(df, columns)
     rows = F.array(
         *[
             F.struct(
                 F.lit(c).alias("column"), F.col(f"{c}.min").alias("min"), F.col(f"{c}.max").alias("max"),
-                F.col(f"{c}.mean").alias("mean"), F.col(f"_m_{c}").cast("double").alias("median"),
+                F.col(f"{c}.mean").alias("mean"), F.lit(medians[c]).cast("double").alias("median"),
                 F.col(f"{c}.std").alias("std"), F.col(f"{c}.filled").alias("filled"),
             )
             for c in columns

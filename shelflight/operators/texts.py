@@ -66,6 +66,19 @@ def styled_texts(items: DataFrame, style: str) -> DataFrame:
     return et.styled_texts(items, style)
 
 
+def restyled_texts(texts: DataFrame, items: DataFrame, style: str) -> DataFrame:
+    """Texts of eligible ids, written anew in a style from the metadata joined to them.
+
+    ``texts`` has (item_id, embedding_text).  Every row keeps its place: an id without metadata,
+    or whose new text is blank, keeps its old text; rows without an id go.
+    """
+    named = texts.filter(F.trim("item_id") != "")
+    known = items.join(named.select("item_id"), "item_id", "left_semi")
+    fresh = et.styled_texts(known, style).withColumnRenamed("embedding_text", "_fresh")
+    told = F.when(F.trim("_fresh") != "", F.col("_fresh")).otherwise(F.col("embedding_text"))
+    return named.join(fresh, "item_id", "left").select("item_id", told.alias("embedding_text"))
+
+
 def with_text(texts: DataFrame) -> DataFrame:
     """Only texts worth encoding."""
     return texts.filter(F.trim("embedding_text") != "")

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from shelflight.functions import rules
 from shelflight.operators import interactions as inter
-from shelflight.operators import kcore, metadata, popularity, reviews
+from shelflight.operators import coreness, kcore, metadata, popularity, reviews
 from shelflight.registry import query
 from shelflight.registry.ctes import CORE5, CORE20, CORE25, with_blocks
-from shelflight.session import scratch_path
+from shelflight.session import keep, scratch_path
 from shelflight.schemas import METADATA_RAW, REVIEWS_RAW
 from shelflight.sources import jsonl, sinks, tables, testviews
 
@@ -418,6 +418,37 @@ def core25_rounds(spark, sf):
     return kcore.k_core(testviews.interactions(spark, sf), 25).stats()
 
 
+# One run of levels answers for all three cores.
+_CORES = {5: CORE5, 20: CORE20, 25: CORE25}
+
+
+@query("F4_core_ladder", with_blocks(" UNION ALL ".join(f"""
+  SELECT {k} AS k, count(*) AS n_rows, count(DISTINCT user_id) AS n_users, count(DISTINCT item_id) AS n_items
+  FROM {core}""" for k, core in _CORES.items()), *_CORES.values()))
+def core_ladder(spark, sf):
+    return coreness.coreness(testviews.interactions(spark, sf), most=25).sizes([5, 20, 25])
+
+
+@query("F4_core_levels", with_blocks(" UNION ALL ".join(f"""
+  SELECT '{side}' AS side, {side}_id AS node, CASE {" ".join(
+    f"WHEN {side}_id IN (SELECT {side}_id FROM {core}) THEN {k}" for k, core in sorted(_CORES.items(), reverse=True)
+  )} ELSE 0 END AS core FROM (SELECT DISTINCT {side}_id FROM interactions)""" for side in ("user", "item")),
+    "interactions", *_CORES.values()))
+def core_levels(spark, sf):
+    found = coreness.coreness(testviews.interactions(spark, sf), most=25)
+    sides = [df.select(F.lit(name).alias("side"), F.col(f"{name}_id").alias("node"), "level")
+             for name, df in (("user", found.users), ("item", found.items))]
+    level = F.col("level")
+    core = F.when(level >= 25, 25).when(level >= 20, 20).when(level >= 5, 5).otherwise(0)
+    return sides[0].unionByName(sides[1]).select("side", "node", core.alias("core"))
+
+
+@query("F4_core_rows_by_level", with_blocks(f"SELECT * FROM {CORE20}", CORE20))
+def core_rows_by_level(spark, sf):
+    rows = keep(testviews.interactions(spark, sf), "interactions")
+    return coreness.coreness(rows, most=25).rows(rows, 20)
+
+
 @query("F5_union_rows", with_blocks("""
   SELECT item_id, count(*) AS interaction_count FROM (SELECT * FROM train UNION ALL SELECT * FROM test)
   GROUP BY item_id""", "train", "test"))

@@ -392,14 +392,14 @@ block("popular_recall", """
   QUALIFY pos <= 50""", "interactions", "popularity_norm", "refs")
 
 
-def _popular_recall(spark, sf, rows=None):
+def _popular_recall(spark, sf, rows=None, **options):
     rows = _interactions(spark, sf) if rows is None else rows
     popular = popularity.normalize_popularity(popularity.popularity_stats(rows))
     # Equal counts give equal scores up to the last digit; rounding makes them equal outright.
     popular = popular.withColumn("popularity_score", F.round("popularity_score", 9))
     known = _references(spark, sf, rows).select("user_id", F.col("reference_id").alias("item_id"))
     users = rows.select("user_id").distinct().join(candidates.excluded_array(known), "user_id")
-    return candidates.popularity_recall(users, popular)
+    return candidates.popularity_recall(users, popular, **options)
 
 
 @query("I1_popularity_recall", with_blocks("SELECT user_id, item_id, pos FROM popular_recall", "popular_recall"))
@@ -407,6 +407,12 @@ def popularity_recall(spark, sf):
     return _popular_recall(spark, sf)
 
 
+# No exclusion is short enough for the shared list: every user goes by the ranges of ranks.
+@query("I1_recall_by_ranges", with_blocks("SELECT user_id, item_id, pos FROM popular_recall", "popular_recall"))
+def recall_by_ranges(spark, sf):
+    return _popular_recall(spark, sf, max_excluded=0)
+
+
 @query("F9_popularity_shuffle", with_blocks("""
   SELECT user_id, item_id, pos, pos <= 20 AS in_front FROM popular_recall""", "popular_recall"))
 def popularity_shuffle(spark, sf):

@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from shelflight.functions import rules
 from shelflight.functions.categories import resolve_category
-from shelflight.operators import catalog, kcore, popularity, reports, texts
+from shelflight.operators import catalog, kcore, popularity, reports, texts, title_index
 from shelflight.operators import interactions as inter
 from shelflight.registry import query
 from shelflight.registry.cleaning import _DIRTY, _dirty
 from shelflight.registry.ctes import CORE20, with_blocks
-from shelflight.session import keep
+from shelflight.session import keep, scratch_path
 from shelflight.sources import testviews
 from shelflight.sources.tables import read_table
 
@@ -340,6 +340,22 @@ def search_total(spark, sf):
     return catalog.search_total(testviews.items(spark, sf), testviews.products(spark, sf), "hair")
 
 
+# Every part wants a piece of its own name, from one to six characters long.
+@query("B12_search_many", with_blocks("""
+  SELECT wanted, count(*) AS titles, min(p.parent_asin) AS first_asin
+  FROM (SELECT DISTINCT substr(p_name, 2 + p_partkey % 4, 1 + p_partkey % 6) AS wanted FROM part) q
+  JOIN products p ON contains(lower(p.title), lower(wanted)) WHERE wanted <> '' GROUP BY wanted""", "products"))
+def search_many(spark, sf):
+    key = F.col("p_partkey")
+    wanted = read_table(spark, sf, "part").select(
+        F.substring("p_name", (key % 4 + 2).cast("int"), (key % 6 + 1).cast("int")).alias("text")
+    ).distinct().withColumn("query_id", F.col("text"))
+    index = title_index.build_title_index(testviews.products(spark, sf), scratch_path(spark, "titles"))
+    return title_index.search_titles(index, wanted).groupBy(F.col("query_id").alias("wanted")).agg(
+        F.count("*").alias("titles"), F.min("parent_asin").alias("first_asin")
+    )
+
+
 @query("B13_items_in_order", with_blocks("""
   SELECT pos, i.asin, p.title, coalesce(nullif(i.primary_image, ''), p.primary_image) AS image
   FROM (SELECT event_id AS pos, asin FROM logs) r JOIN items i USING (asin) JOIN products p USING (parent_asin)

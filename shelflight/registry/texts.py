@@ -429,14 +429,32 @@ block("descriptive2", """
   FROM descriptive""", "descriptive")
 
 
-@query("K15_descriptive_texts", with_blocks("""
+block("descriptive_texts", """
   SELECT item_id, CASE WHEN length(full_text) < 100
     THEN concat_ws('. ', title, coalesce(description, 'A beauty product'), by_told) ELSE full_text END AS embedding_text
-  FROM (SELECT *, concat_ws('. ', title, by_told, description) AS full_text FROM descriptive2)""", "descriptive2"))
+  FROM (SELECT *, concat_ws('. ', title, by_told, description) AS full_text FROM descriptive2)""", "descriptive2")
+
+
+@query("K15_descriptive_texts", with_blocks("SELECT * FROM descriptive_texts", "descriptive_texts"))
 def descriptive_texts(spark, sf):
     return texts.styled_texts(_styled(spark, sf), "descriptive")
 
 
+# Two thirds of the parts are eligible; the ids of the others are not in the metadata and keep their texts.
+@query("C6_restyled_texts", with_blocks("""
+  SELECT item_id, coalesce(n.embedding_text, e.embedding_text) AS embedding_text FROM (
+    SELECT CASE WHEN p_partkey % 3 = 0 THEN 'n' ELSE '' END || p_partkey AS item_id,
+           'Earlier text: ' || p_name AS embedding_text FROM part) e
+  LEFT JOIN descriptive_texts n USING (item_id)""", "descriptive_texts"))
+def restyled_texts(spark, sf):
+    key = F.col("p_partkey")
+    eligible = read_table(spark, sf, "part").select(
+        F.concat(F.when(key % 3 == 0, F.lit("n")).otherwise(F.lit("")), key.cast("string")).alias("item_id"),
+        F.concat(F.lit("Earlier text: "), "p_name").alias("embedding_text"),
+    )
+    return texts.restyled_texts(eligible, _styled(spark, sf), "descriptive")
+
+
 block("natural_parts", f"""
   SELECT *, {sql_first("coalesce(nuse, '')", rules.CATEGORY_BY_USE_NATURAL, "'Beauty Products'")} AS ncategory,
     CASE WHEN nkind IS NOT NULL THEN 'This ' || nkind || CASE

@@ -675,14 +675,20 @@ def popularity_floor(spark, sf):
 _PREVIOUS = "pool0"
 block("pool0", """
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY adjusted_score DESC, rank_position) AS o,
-         row_number() OVER (PARTITION BY user_id ORDER BY adjusted_score DESC, rank_position) <= 60 AS pool FROM ruled""", "ruled")
+         row_number() OVER (PARTITION BY user_id ORDER BY adjusted_score DESC, rank_position) <= 60 AS pool,
+         CAST([] AS VARCHAR[]) AS told FROM ruled""", "ruled")
 for _i in (1, 2, 3):
     block(f"pass{_i}", f"""
       SELECT * EXCLUDE (o), row_number() OVER (PARTITION BY user_id ORDER BY pool DESC, adjusted_score DESC, o) AS o
       FROM {_PREVIOUS}""", _PREVIOUS)
     block(f"pool{_i}", f"""
       SELECT * EXCLUDE (top, same, named) REPLACE (adjusted_score * CASE WHEN top AND same / named > 0.25 THEN 0.7 ELSE 1.0 END
-                                       * CASE WHEN top AND same > 4 THEN 0.5 ELSE 1.0 END AS adjusted_score)
+                                       * CASE WHEN top AND same > 4 THEN 0.5 ELSE 1.0 END AS adjusted_score,
+        told || list_filter([
+          CASE WHEN top AND same / named > 0.25
+               THEN 'diversity_penalty(' || CAST(round_even(100.0 * same / named, 1) AS DECIMAL(9,1)) || '%)' END,
+          CASE WHEN top AND same > 4 THEN 'category_limit_exceeded(' || same || ')' END],
+          lambda x: x IS NOT NULL AND NOT list_contains(told, x)) AS told)
       FROM (SELECT *, pool AND o <= 40 AS top,
                    count(*) FILTER (pool AND o <= 40) OVER (PARTITION BY user_id, category) AS same,
                    count(*) FILTER (pool AND o <= 40) OVER (PARTITION BY user_id) AS named FROM pass{_i})""", f"pass{_i}")
@@ -708,6 +714,15 @@ def rule_audit(spark, sf):
     return _ruled(spark, sf).select("user_id", "item_id", F.array_join("applied_rules", "|").alias("rules"))
 
 
+# What the three passes add, in their order; a rule is named once however often it strikes.
+@query("I13_diversity_audit", with_blocks("""
+  SELECT user_id, item_id, array_to_string(told, '|') AS told FROM pool3""", "pool3"))
+def diversity_audit(spark, sf):
+    before = _ruled(spark, sf).withColumn("_first", F.size("applied_rules"))
+    told = F.slice("applied_rules", F.col("_first") + 1, F.size("applied_rules"))
+    return rerank.diversify(before).select("user_id", "item_id", F.array_join(told, "|").alias("told"))
+
+
 @query("I14_final_cut", with_blocks("""
   SELECT user_id, position, item_id, round(adjusted_score, 8) AS adjusted_score FROM (
     SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY adjusted_score DESC, rank_position) AS position FROM pool3)
@@ -830,7 +845,7 @@ def recommendations(spark, sf):
     SELECT rating, greatest(1, least(5, (SELECT avg(rating) FROM train) + bias + mf_score)) AS p
     FROM mf_pairs JOIN test USING (user_id, item_id, rating, ts))""", "mf_pairs", "train", "test"))
 def rating_errors(spark, sf):
-    train, test = inter.split_last_out(testviews.interactions(spark, sf))
+    train, test = inter.split_last_out(_interactions(spark, sf))
     mean = train.agg(F.avg("rating")).first()[0]
     out = factors.predict(test, testviews.user_factors(spark, sf), testviews.item_factors(spark, sf), mean)
     return _round(evaluate.rating_errors(out), 6, "rmse", "mae")

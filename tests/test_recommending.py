@@ -126,6 +126,16 @@ def test_diversity_against_brute_force(spark, seed):
     assert [r.item_id for r in out.collect()] == brute_rerank(rows, 6)
 
 
+def test_diversity_rules_are_named_once(spark):
+    # 5 of 16 rows share a category: 31.25 % is an exact half and goes to the even digit.
+    rows = [("u", f"i{n:02d}", 1.0 - n / 100, n + 1, "x" if n < 5 else f"c{n}") for n in range(16)]
+    df = spark.createDataFrame(rows, "user_id string, item_id string, adjusted_score double, rank_position int, category string")
+    out = rerank.diversify(df.withColumn("applied_rules", F.array(F.lit("first"))), 20).collect()
+    rules = {r.category: r.applied_rules for r in out}
+    assert rules.pop("x") == ["first", "diversity_penalty(31.2%)", "category_limit_exceeded(5)"]
+    assert all(r == ["first"] for r in rules.values())
+
+
 def test_context_rules(spark):
     data = [("a", 0, 5, 5), ("b", 4, 6, 4), ("c", 5, None, None), ("d", 9, 1, 9), ("e", 10, None, 9), ("f", None, None, 9)]
     df = spark.createDataFrame([("u", i, 1.0, "c" if n else None, r, p, n) for i, p, n, r in data],

@@ -11,9 +11,16 @@ _OBJECT = "map<string,variant>"
 
 
 def as_valid_json(text: Column) -> Column:
-    """Text that is not JSON becomes a JSON string holding it; null stays null."""
+    """Text that is not JSON becomes a JSON string holding it; null stays null.
+
+    The parser ignores what follows the first value (``12 apples``), so the text is parsed as the
+    first of two elements, the second being its own digest: they come out as such only if the
+    whole text is one value.
+    """
     quoted = F.regexp_extract(F.to_json(F.array(text)), r"(?s)^\[(.*)\]$", 1)
-    return F.when(text.isNotNull() & F.try_parse_json(text).isNull(), quoted).otherwise(text)
+    pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), F.md5(text), F.lit('"]')))
+    whole = F.coalesce(F.try_variant_get(pair, "$[1]", "string") == F.md5(text), F.lit(False))
+    return F.when(text.isNotNull() & ~whole, quoted).otherwise(text)
 
 
 def brand_of(metadata: Column) -> Column:

@@ -75,6 +75,13 @@ def test_json_repair(spark):
     assert [r[0] for r in df.select(as_valid_json(F.col("j"))).collect()] == ['{"a": 1}', '"say \\"hi\\"\\n"', None]
 
 
+def test_text_that_only_begins_with_json_is_quoted(spark):
+    texts = ["12 apples", "1,2", "[1] [2]", '{"a":1} x', "null x", "1] [2", "", " 12 ", '[1,{"a":null}]', "null", '"x"']
+    df = spark.createDataFrame([(t,) for t in texts], "j string")
+    got = [r[0] for r in df.select(as_valid_json(F.col("j"))).collect()]
+    assert got == ['"12 apples"', '"1,2"', '"[1] [2]"', '"{\\"a\\":1} x"', '"null x"', '"1] [2"', '""', *texts[7:]]
+
+
 # --- a twin of the text cleaning, written over lists of sentences ---
 
 def squeezed(s):

@@ -26,6 +26,27 @@ def test_top_k_against_numpy_with_many_blocks_and_ties(spark):
         assert [i for _, i in sorted(got[f"q{q:03d}"])] == [f"{i:03d}" for i in order]
 
 
+def test_top_k_passes_on_k_rows_per_query_whatever_the_items(spark):
+    """One group of several tiles: nothing to merge, so no exchange after the search; hidden items stay out."""
+    rng = np.random.default_rng(5)
+    items = rng.normal(size=(20_000, 3))
+    items[::7] = items[0]  # ties across tiles
+    idf = spark.createDataFrame([(f"{i:05d}", v.tolist()) for i, v in enumerate(items)], "item_id string, vec array<double>")
+    queries = rng.normal(size=(9, 3))
+    qdf = spark.createDataFrame([(f"q{i}", v.tolist()) for i, v in enumerate(queries)], "query_id string, vec array<double>")
+    gone = {q: set(np.argsort(-np.round(items @ v, 9), kind="stable")[:2 * q].tolist()) for q, v in enumerate(queries)}
+    hidden = spark.createDataFrame([(f"q{q}", f"{i:05d}") for q in gone for i in gone[q]], "query_id string, item_id string")
+    one = np.tile(queries, (30, 1))  # more lanes than one, so one group
+    many = spark.createDataFrame([(f"q{i:03d}", v.tolist()) for i, v in enumerate(np.tile(one, (8, 1)))], qdf.schema)
+    assert "Window" not in nearest.top_k(many, idf, 5)._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in nearest.top_k(qdf, idf, 5, hidden=hidden).collect():
+        got.setdefault(r.query_id, {})[r.position] = r.item_id
+    for q, v in enumerate(queries):
+        order = [i for i in np.argsort(-np.round(items @ v, 9), kind="stable").tolist() if i not in gone[q]][:5]
+        assert got[f"q{q}"] == {p + 1: f"{i:05d}" for p, i in enumerate(order)}
+
+
 def test_zero_opposite_and_small_collections(spark):
     v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [-1.0, 0.0]), ("z", [0.0, 0.0]), ("c", [2.0, 0.0])],
                               "item_id string, embedding array<float>")

@@ -155,12 +155,12 @@ def trending_stream(spark, sf):
                             (SELECT max(ts) FROM events) + INTERVAL 25 HOURS, INTERVAL 1 HOUR)) AS h)
   WHERE event_type = 'view' AND ts < h AND ts >= h - INTERVAL 24 HOURS GROUP BY 1, 2""", "logs"))
 def trending_panes(spark, sf):
-    """Windows from hourly panes; sketches of so few users count them exactly."""
+    """Windows from hourly panes of each user, as the SQL counts users exactly and sketches estimate many."""
     out = stream.drain(
-        stream.view_panes(_log_stream(spark, sf)), scratch_path(spark, "panes"), "update", scratch_path(spark, "state"),
+        stream.user_panes(_log_stream(spark, sf)), scratch_path(spark, "panes"), "update", scratch_path(spark, "state"),
     )
-    last = first_per_group(out, ["pane", "asin"], [F.desc("view_count")])
-    return stream.windows_of_panes(last).withColumn("window_end", F.col("window_end").cast("timestamp_ntz"))
+    last = first_per_group(out, ["pane", "asin", "user_id"], [F.desc("view_count")])
+    return stream.windows_of_user_panes(last).withColumn("window_end", F.col("window_end").cast("timestamp_ntz"))
 
 
 @query("L8_popularity_stream", with_blocks("""

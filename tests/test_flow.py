@@ -76,3 +76,17 @@ def test_panes_add_up_to_windows(spark):
     ).select(F.col("window.end").alias("window_end"), "asin", "n", "users")
     both = got.join(want, ["window_end", "asin"], "full").collect()
     assert len(both) == want.count() and all(r.view_count == r.n and abs(r.unique_users - r.users) <= 1 for r in both)
+
+
+def test_user_panes_count_many_users_exactly(spark):
+    users = F.when(F.col("id") % 11 > 0, F.col("id") % 7919)  # some come back in later hours, some are unknown
+    events = spark.range(20_000).select(
+        F.col("id").alias("event_id"), users.alias("user_id"), F.lit("a").alias("asin"), F.lit("view").alias("event_type"),
+        F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") * 9).alias("ts"), F.lit(None).cast("string").alias("metadata"),
+    )
+    got = stream.windows_of_user_panes(stream.user_panes(events))
+    want = events.groupBy(F.window("ts", "24 hours", "1 hour"), "asin").agg(
+        F.count("*").alias("n"), F.countDistinct("user_id").alias("users")
+    ).select(F.col("window.end").alias("window_end"), "asin", "n", "users")
+    both = got.join(want, ["window_end", "asin"], "full").collect()
+    assert len(both) == want.count() and all((r.view_count, r.unique_users) == (r.n, r.users) for r in both)

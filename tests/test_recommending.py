@@ -72,6 +72,20 @@ def test_weights_that_do_not_sum_up_are_uniform(spark):
     assert out.first().content_score == pytest.approx(0.5 ** 0.5)
 
 
+def test_weighted_content_ships_no_pairs_and_keeps_rows_without_vectors(spark):
+    v = spark.createDataFrame([("a", [3.0, 0.0]), ("b", [0.0, 2.0]), ("c", [1.0, 1.0]), ("z", [0.0, 0.0])],
+                              "item_id string, embedding array<float>")
+    refs = spark.createDataFrame([("u", "a", 3.0), ("u", "b", 1.0), ("w", "gone", 1.0), ("w", "z", 2.0)],
+                                 "user_id string, reference_id string, weight double")
+    asked = spark.createDataFrame([("u", "a"), ("u", "c"), ("u", "z"), ("u", "x"), ("w", "a"), ("nobody", "a")],
+                                  "user_id string, item_id string")
+    out = nearest.weighted_content_scores(asked, refs, v)
+    assert {(r.user_id, r.item_id): r.content_score for r in out.collect()} == {
+        ("u", "a"): 0.75, ("u", "c"): pytest.approx(0.5 ** 0.5), ("u", "z"): 0.0, ("u", "x"): 0.0, ("w", "a"): 0.0}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") <= 4  # weights, vectors of references, of candidates, references of users
+
+
 def test_factor_fit_beats_the_mean(spark):
     rng = random.Random(3)
     taste = {u: rng.choice([-1, 1]) for u in range(40)}

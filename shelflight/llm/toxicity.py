@@ -307,6 +307,31 @@ def term_weights(df: Column, toxic: Column, n: float, n_toxic: float) -> Column:
     return (F.log(n / df) + 1) * (gain + FLOOR)
 
 
+def in_rows(lists: DataFrame, ids: np.ndarray, norms: np.ndarray) -> DataFrame:
+    """(term, weight, row, cosine): the lists of the terms by the row of each example, where they lie."""
+    by_id = np.argsort(ids).astype(np.int32)
+    shared = broadcast(lists, (ids[by_id], by_id, norms[by_id]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, row_of, norm_of = shared.value
+        for batch in batches:
+            docs, times = batch.column(2), batch.column(3)
+            sizes = docs.value_lengths().to_numpy(zero_copy_only=False)
+            at = np.searchsorted(known, docs.flatten().to_numpy(zero_copy_only=False))
+            w = times.flatten().to_numpy(zero_copy_only=False) * np.repeat(batch.column(1).to_numpy(zero_copy_only=False), sizes)
+            order = np.lexsort((row_of[at], np.repeat(np.arange(len(sizes)), sizes)))
+            ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.ListArray.from_arrays(ends, pa.array(row_of[at][order], pa.int32())),
+                 pa.ListArray.from_arrays(ends, pa.array((w / norm_of[at])[order], pa.float32()))],
+                ["term", "weight", "row", "cosine"],
+            )
+
+    return lists.select("term", "weight", "docs", "times").mapInArrow(
+        run, "term string, weight double, row array<int>, cosine array<float>"
+    )
+
+
 def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, calibrated: int = CALIBRATED) -> Index:
     """The index, from labelled rows that are not held out.
 
@@ -321,23 +346,24 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, calibrated
     ).first()
     if not n or n_toxic in (0, n):
         return Index({}, {}, {0: 1} if n_toxic else {})
+    # Pairs are dealt once, by term; what follows works on the lists of the terms.
     pairs = one.select("doc_id", "toxic", F.inline(F.arrays_zip("terms", "counts")))
-    stats = pairs.groupBy("terms").agg(
-        term_weights(F.count("*"), F.sum("toxic"), float(n), float(n_toxic)).alias("weight")
+    lists = keep(pairs.groupBy(F.col("terms").alias("term")).agg(
+        term_weights(F.count("*"), F.sum("toxic"), float(n), float(n_toxic)).alias("weight"),
+        F.collect_list("doc_id").alias("docs"), F.collect_list(1 + F.log("counts")).alias("times"),
+    ), "toxicity-lists")
+    weighed = lists.select("term", "weight", F.inline(F.arrays_zip("docs", "times"))).select(
+        F.col("docs").alias("doc_id"), "term", (F.col("times") * F.col("weight")).alias("w")
     )
-    weighed = keep(pairs.join(stats, "terms").select(
-        "doc_id", "toxic", F.col("terms").alias("term"), "weight", ((1 + F.log("counts")) * F.col("weight")).alias("w")
-    ), "toxicity-weights")
     # At most ``examples`` rows are numbered: by their heaviest term, so that blocks hold texts alike.
-    heads = weighed.groupBy("doc_id", "toxic").agg(
+    heads = weighed.groupBy("doc_id").agg(
         F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.min(F.struct(-F.col("w"), "term"))["term"].alias("heaviest")
-    ).withColumn("row", F.row_number().over(Window.orderBy("heaviest", "doc_id")) - 1)
-    heads = keep(heads, "toxicity-rows")
-    postings = weighed.join(heads.select("doc_id", "row", "norm"), "doc_id").groupBy("term").agg(
-        F.first("weight").alias("weight"),
-        F.sort_array(F.collect_list(F.struct("row", (F.col("w") / F.col("norm")).cast("float").alias("cosine")))).alias("p"),
-    ).select("term", "weight", "p.row", "p.cosine").orderBy("term").toArrow().combine_chunks()
-    order = heads.orderBy("row").select("doc_id", "toxic").toArrow()
+    ).join(one.select("doc_id", "toxic"), "doc_id").withColumn(
+        "row", F.row_number().over(Window.orderBy("heaviest", "doc_id")) - 1
+    )
+    order = heads.orderBy("row").select("doc_id", "toxic", "norm").toArrow()
+    postings = in_rows(lists, order.column("doc_id").to_numpy(), order.column("norm").to_numpy()).orderBy("term")
+    postings = postings.toArrow().combine_chunks()
     columns = [postings.column(c).combine_chunks() for c in ("term", "weight", "row", "cosine")]
     index = Index.of(columns[0], columns[1].to_numpy(), columns[2], columns[3],
                      order.column("doc_id").to_numpy(), order.column("toxic").to_numpy(), float(alone or 0.0))

@@ -21,12 +21,14 @@ from pyspark.sql import functions as F
 from shelflight.functions.common import first_per_group, top_per_group
 from shelflight.functions.vectors import dot
 from shelflight.operators.nearest import (
-    _NOTHING, _PAIR, _chunks, _merge, _nearest_cells, _paired, _slot, best_of_block, unit_items, unit_queries,
+    _NOTHING, _PAIR, _chunks, _merge, _nearest_cells, _paired, _slot, best_of_block, recall_against, top_k, unit_items,
+    unit_queries,
 )
 from shelflight.session import keep, scratch_path
 from shelflight.sources.tables import write_table
 
 FIT = 16_384  # vectors, about, that the code books are fitted on; every vector is indexed
+MEASURED = 512  # stored vectors, about, that a search is measured with
 LIST_ROWS = 65_536  # rows of a list that one task writes, or one block of a search holds
 WIDTH = 4  # components that one code byte stands for
 
@@ -215,3 +217,29 @@ def search_index(
         "query_id", "item_id", dot(F.col("vec"), F.col("_own")).alias("score")
     )
     return _merge(scored, k)
+
+
+def measured_search(
+    spark: SparkSession, path: str, k: int, target: float = 0.95, probes: int = 10, refine: int = 8, measured: int = MEASURED,
+) -> tuple[int, int]:
+    """(probes, refine) whose recall at ``k`` against brute force reaches ``target`` on the index as it is.
+
+    About ``measured`` stored vectors, chosen by a hash of the id, are the queries; all stored vectors are
+    searched.  Cells are added and survivors doubled until the target is met, at the latest where every
+    cell is visited and every vector re-scored, which is the exact search.
+    """
+    rows = stored(spark, path).select("item_id", "vec")
+    n, cells = rows.count(), len(_model(spark, path)[0])
+    asked = keep(
+        rows.filter(_slot(F.col("item_id"), 1 << 30) < measured / max(1, n) * (1 << 30))
+        .select(F.col("item_id").alias("query_id"), "vec", F.col("vec").alias("embedding")), "measured",
+    )
+    exact = keep(top_k(asked.select("query_id", "vec"), rows, k), "exact")
+    probes = min(probes, cells)
+    while probes < cells or refine * k < n:
+        found = search_index(asked, path, k, "query_id", probes, refine)
+        recall = recall_against(exact, found).first().recall
+        if recall is None or recall >= target:
+            break
+        probes, refine = min(cells, probes + math.ceil(cells / 6)), 2 * refine
+    return probes, refine

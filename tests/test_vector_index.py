@@ -58,3 +58,15 @@ def test_a_list_that_loses_all_its_rows(spark):
     assert stored.count() == 6 and stored.select("cell").distinct().count() == 1
     found = vector_index.search_index(vectors.limit(1), path, 10, probes=2)
     assert [r.item_id for r in found.orderBy("position").collect()] == [f"v{i:04d}" for i in range(6)]
+
+
+def test_search_is_widened_until_it_reaches_its_recall(spark):
+    vectors = frame(spark, np.random.default_rng(3).normal(size=(400, 16)))  # no clusters
+    path = scratch_path(spark, "index")
+    vector_index.build_index(vectors, path, cells=4, codes=16)
+    exact = nearest.similar_items(vectors, vectors, 10)
+    plain = vector_index.search_index(vectors, path, 10, probes=2, refine=1)
+    assert nearest.recall_against(exact, plain).first().recall < 0.9
+    probes, refine = vector_index.measured_search(spark, path, 10, probes=2, refine=1)
+    found = vector_index.search_index(vectors, path, 10, probes=probes, refine=refine)
+    assert nearest.recall_against(exact, found).first().recall >= 0.9

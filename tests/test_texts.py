@@ -166,3 +166,15 @@ def test_styles_stay_within_the_cap(spark, sf):
     for style in ("labelled", "descriptive", "natural", "role"):
         longest, rows = texts.styled_texts(items, style).agg(F.max(F.length("embedding_text")), F.count("*")).first()
         assert longest <= 500 and rows == items.count()
+
+
+def test_text_rules_run_on_all_tasks_and_once(spark, sf):
+    from shelflight.registry import reporting
+    from shelflight.operators import nearest, texts
+
+    view = reporting._text_view(spark, sf)  # one small file, which AQE would leave to one task
+    assert view.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    compact = texts.compact_texts(texts.semantic_attributes(view)).withColumnRenamed("parent_asin", "item_id")
+    encoded = nearest.encode_texts(compact)
+    assert "usage_features" not in encoded._jdf.queryExecution().optimizedPlan().toString()
+    assert encoded.count() == compact.filter("trim(embedding_text) <> ''").count()

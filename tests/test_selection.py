@@ -108,3 +108,26 @@ def test_restyled_texts_keep_every_id(spark):
     old = spark.createDataFrame([("a", "old a"), ("x", "old x"), ("", "old"), (None, "old")], "item_id string, embedding_text string")
     got = dict(map(tuple, texts.restyled_texts(old, items, "descriptive").collect()))
     assert set(got) == {"a", "x"} and got["x"] == "old x" and "Velvet hair clip" in got["a"]
+
+
+def test_title_search_gathers_no_pairs_and_repeats_none(spark):
+    titles = [("a", "Hair clip"), ("a", "Hair clips"), ("b", "clip")]
+    for rows, plain in ((titles, False), (titles[1:], True)):
+        products = spark.createDataFrame(rows, "parent_asin string, title string")
+        index = title_index.build_title_index(products, scratch_path(spark, "titles"))
+        asked = spark.createDataFrame([(1, "hair cl"), (2, "clip")], "query_id int, text string")
+        found = title_index.search_titles(index, asked)
+        assert sorted(map(tuple, found.collect())) == [(1, "a"), (2, "a"), (2, "b")]
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert ("Aggregate [query_id" in plan.splitlines()[0]) != plain
+
+
+def test_content_recall_ranks_lists_once(spark):
+    refs = spark.createDataFrame([("u", "r", 1), ("u", "s", 2)], "user_id string, reference_id string, pos int")
+    rows = [(q, f"{q}{p:02d}", 1 - p / 100, p) for q in "rs" for p in range(1, 61)]
+    near = spark.createDataFrame(rows, "query_id string, item_id string, score double, position int")
+    none = spark.createDataFrame([], "user_id string, item_id string")
+    plain, masked = candidates.content_recall(refs, near), candidates.content_recall(refs, near, none)
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, masked.collect())) and plain.count() == 50
+    windows = [df._jdf.queryExecution().optimizedPlan().toString().count("Window [") for df in (plain, masked)]
+    assert windows[0] == windows[1] - 1

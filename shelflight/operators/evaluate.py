@@ -59,6 +59,15 @@ def precision_recall(recommended: DataFrame, liked: DataFrame, cuts: Sequence[in
     return stats.select(F.inline(rows))
 
 
+def _liked(test: DataFrame, threshold: float) -> DataFrame:
+    return test.filter(F.col("rating") >= threshold).select("user_id", "item_id").distinct()
+
+
+def quality_seeds(test: DataFrame, threshold: float = POSITIVE_FROM, seeds_per_user: int = 5) -> DataFrame:
+    """(user_id, item_id) that ``content_quality`` looks up: a few liked items per user, smallest ids first."""
+    return top_per_group(_liked(test, threshold), ["user_id"], [F.asc("item_id")], seeds_per_user)
+
+
 def content_quality(
     test: DataFrame, neighbours: DataFrame, categories: DataFrame, k: int = 10, threshold: float = POSITIVE_FROM,
     seeds_per_user: int = 5,
@@ -69,8 +78,8 @@ def content_quality(
     user's recommendations are their union.  ``neighbours`` has the top lists of the items,
     ``categories`` (item_id, category).
     """
-    liked = test.filter(F.col("rating") >= threshold).select("user_id", "item_id").distinct()
-    seeds = top_per_group(liked, ["user_id"], [F.asc("item_id")], seeds_per_user)
+    liked = _liked(test, threshold)
+    seeds = quality_seeds(test, threshold, seeds_per_user)
     lists = neighbours.filter(F.col("position") <= k).select(
         F.col("query_id").alias("seed"), F.col("item_id").alias("rec"), "score"
     )
@@ -80,6 +89,7 @@ def content_quality(
     shown = shown.join(own, "rec", "left").join(of_seed, "seed", "left").withColumn(
         "category", F.coalesce("_own", "_seed", F.lit("Unknown"))
     )
+    shown = keep(shown, "shown")  # read three times; the search behind it is the work
     variety = shown.groupBy("user_id").agg(
         (F.countDistinct("category") / F.count("*")).alias("diversity"),
         F.sum("score").alias("_score"), F.count("*").alias("_rows"),

@@ -52,6 +52,19 @@ def test_coreness_of_nothing(spark):
     assert out.users.count() == 0 and tuple(out.sizes([5]).collect()) == ()
 
 
+def test_coreness_rounds_shuffle_no_edges(spark):
+    """Joins with the edges read them by bucket, whatever has to be moved to them."""
+    df = spark.createDataFrame([(f"u{n % 7}", f"i{n % 5}") for n in range(35)], "user_id string, item_id string")
+    edges = coreness._neighbours(df.groupBy("user_id", "item_id").agg(F.count("*").alias("n")), "user_id")
+    fell = edges.select("user_id", F.lit(2).cast("bigint").alias("sent"), F.lit(1).cast("bigint").alias("level")).distinct()
+    told = coreness._told(fell.hint("shuffle_hash"), edges, "item_id", "user_id", F.lit(3).cast("bigint"))
+    assert {r.item_id: r.heard for r in told.collect()} == {f"i{n}": {2: -7, 1: 7} for n in range(5)}
+    plan = told._jdf.queryExecution().sparkPlan().toString()
+    assert "Bucketed: true" in plan
+    # One exchange deals the messages out; the edges and what is summed from them need none.
+    assert told._jdf.queryExecution().toString().split("== Physical Plan ==")[1].split("Initial Plan")[-1].count("Exchange hash") == 1
+
+
 @pytest.mark.parametrize("cells", [2, 64])
 def test_medians_of_columns_together(spark, cells):
     rng = random.Random(cells)

@@ -60,6 +60,10 @@ def _neighbours(edges: DataFrame, side: str) -> DataFrame:
     return spark.table(name)
 
 
+def _or_none(level: Column, least: int) -> Column:
+    return F.when(level >= least, level).otherwise(F.lit(0).cast("bigint"))
+
+
 def _told(changed: DataFrame, edges: DataFrame, near: str, far: str, cap: Column) -> DataFrame:
     """What nodes hear from neighbours whose level fell: (near, heard), rows gained or lost per level.
 
@@ -76,7 +80,7 @@ def _told(changed: DataFrame, edges: DataFrame, near: str, far: str, cap: Column
     )
 
 
-def _fallen(state: DataFrame, heard: DataFrame, near: str) -> DataFrame:
+def _fallen(state: DataFrame, heard: DataFrame, near: str, least: int) -> DataFrame:
     """The levels after what was heard: the largest h such that h rows lead to neighbours of level h or more.
 
     ``below`` holds the rows to neighbours under the node's own level, per level; all others of
@@ -99,19 +103,20 @@ def _fallen(state: DataFrame, heard: DataFrame, near: str) -> DataFrame:
         ),
         lambda s: s["best"],
     )
-    found = placed.select(near, "n", level.alias("sent"), h.alias("level"), "below")
+    found = placed.select(near, "n", level.alias("sent"), _or_none(h, least).alias("level"), "below")
     return keep(
         found.withColumn("below", F.map_filter("below", lambda at, _: at < F.col("level"))), "core-levels"
     )
 
 
-def coreness(interactions: DataFrame, most: int | None = None, max_rounds: int = 1000) -> Coreness:
+def coreness(interactions: DataFrame, most: int | None = None, max_rounds: int = 1000, least: int = 0) -> Coreness:
     """Levels of all nodes by repeated h-indexes over the user-item graph.
 
     A level starts as the node's number of rows and becomes the h-index of its neighbours'
     levels until no level changes; the fixpoint is the coreness.  With ``most`` levels stop at
-    that number, which is all that cores up to it need and ends earlier.  Repeated rows of a
-    pair count each; rows without a user or an item take no part.
+    that number, which is all that cores up to it need and ends earlier.  Levels under ``least``
+    become 0 at once, which is all that cores from it on need: with both at k a node falls once,
+    and this is the peeling of the k-core.  Repeated rows of a pair count each; rows without a user or an item take no part.
 
     Every node keeps how many of its rows lead to neighbours below it, and hears only of
     neighbours whose level fell.  The edges lie bucketed by user and by item, so a round moves
@@ -129,7 +134,7 @@ def coreness(interactions: DataFrame, most: int | None = None, max_rounds: int =
         )
 
     # An item's rows bound its h-index from the start, so items need no first level.
-    users = keep(start(by_user, "user_id", F.least("n", cap)), "core-levels")
+    users = keep(start(by_user, "user_id", _or_none(F.least("n", cap), least)), "core-levels")
     items = start(by_item, "item_id", cap)
     fell = F.col("level") < F.col("sent")
 
@@ -138,11 +143,11 @@ def coreness(interactions: DataFrame, most: int | None = None, max_rounds: int =
 
     for number in range(1, max_rounds + 1):
         told = users.filter(fell).select("user_id", "sent", "level")
-        items = _fallen(items, _told(told, by_user, "item_id", "user_id", cap), "item_id")
+        items = _fallen(items, _told(told, by_user, "item_id", "user_id", cap), "item_id", least)
         told = items.filter(fell).select("item_id", "sent", "level")
         if told.isEmpty():
             return done(number)
-        users = _fallen(users, _told(told, by_item, "user_id", "item_id", cap), "user_id")
+        users = _fallen(users, _told(told, by_item, "user_id", "item_id", cap), "user_id", least)
         if users.filter(fell).isEmpty():
             return done(number)
     raise RuntimeError(f"no fixpoint after {max_rounds} rounds")

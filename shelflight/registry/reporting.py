@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shelflight.functions import rules
 from shelflight.functions.categories import resolve_category
-from shelflight.operators import catalog, kcore, popularity, reports, texts, title_index
+from shelflight.operators import catalog, coreness, kcore, popularity, reports, texts, title_index
 from shelflight.operators import interactions as inter
 from shelflight.registry import query
 from shelflight.registry.cleaning import _DIRTY, _dirty
@@ -394,8 +394,9 @@ def items_without_category(spark, sf):
 
 
 def _droppable(spark, sf):
-    core = kcore.k_core(testviews.interactions(spark, sf), 20).rows
-    keys = core.select(F.col("item_id").alias("key"))
+    # Only the items of the core are asked for, so no interactions are kept or joined.
+    core = coreness.coreness(testviews.interactions(spark, sf), most=20, least=20).items
+    keys = core.filter(F.col("level") >= 20).select(F.col("item_id").alias("key"))
     return catalog.droppable_items(testviews.items(spark, sf), _bare_products(spark, sf), keys)
 
 

@@ -47,6 +47,16 @@ def test_coreness_against_peeling(spark, most):
         assert tuple(sizes) == (k, len(inside), len({u for u, _ in inside}), len({i for _, i in inside}))
 
 
+@pytest.mark.parametrize("k", [2, 4])
+def test_coreness_of_one_core_only(spark, k):
+    rng = random.Random(k)
+    pairs = [(f"u{rng.randint(0, 14)}", f"i{int(rng.random() ** 2 * 18)}") for _ in range(110)]
+    want = {n: k if level >= k else 0 for n, level in brute_levels(pairs).items()}
+    out = coreness.coreness(spark.createDataFrame(pairs, "user_id string, item_id string"), most=k, least=k)
+    got = {("u", r.user_id): r.level for r in out.users.collect()} | {("i", r.item_id): r.level for r in out.items.collect()}
+    assert got == want and len(set(want.values())) == 2
+
+
 def test_coreness_of_nothing(spark):
     out = coreness.coreness(spark.createDataFrame([], "user_id string, item_id string"))
     assert out.users.count() == 0 and tuple(out.sizes([5]).collect()) == ()
@@ -144,3 +154,16 @@ def test_content_recall_ranks_lists_once(spark):
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, masked.collect())) and plain.count() == 50
     windows = [df._jdf.queryExecution().optimizedPlan().toString().count("Window [") for df in (plain, masked)]
     assert windows[0] == windows[1] - 1
+
+
+def test_droppable_items_keep_no_interactions(spark, sf, monkeypatch):
+    """The cascade asks for the core's items only: nothing but levels and edges is written, no rows are peeled."""
+    from shelflight.operators import kcore
+    from shelflight.registry import reporting
+
+    want = sorted(map(tuple, kcore.k_core(reporting.testviews.interactions(spark, sf), 20).rows.select("item_id").distinct().collect()))
+    monkeypatch.setattr(kcore, "k_core", lambda *_: pytest.fail("the core's rows are not asked for"))
+    seen = []
+    monkeypatch.setattr(reporting.catalog, "droppable_items", lambda items, products, keys: seen.append(keys) or items)
+    reporting._droppable(spark, sf)
+    assert sorted(map(tuple, seen[0].collect())) == want

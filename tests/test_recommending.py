@@ -109,6 +109,61 @@ def test_factor_fit_beats_the_mean(spark):
     assert unseen.count() == want
 
 
+def _shuffled_after(spark, stage):
+    """(bytes that stages after the given one shuffled, the last stage)."""
+    sc = spark.sparkContext
+    none, jvm = sc._jvm.java.util.ArrayList(), sc._jvm
+    stages = sc._jsc.sc().statusStore().stageList(none, False, False, sc._gateway.new_array(jvm.double, 0), none)
+    found = [(s.stageId(), s.shuffleWriteBytes()) for s in (stages.apply(i) for i in range(stages.size()))]
+    return sum(n for at, n in found if at > stage), max((at for at, _ in found), default=-1)
+
+
+def test_factor_fit_sends_factors_only_where_users_and_items_meet(spark):
+    rng = random.Random(5)
+    data = [(str(60 * c + u), str(80 * c + i), float(rng.randint(1, 5)))
+            for c in range(20) for u in range(60) for i in rng.sample(range(80), 15)]
+    train = spark.createDataFrame(data, "user_id string, item_id string, rating double").repartition(4).localCheckpoint()
+    _, last = _shuffled_after(spark, -1)
+    model = factors.fit_factors(train)
+    assert (model.users.count(), model.items.count()) == (1200, len({i for _, i, _ in data}))
+    shuffled, _ = _shuffled_after(spark, last)
+    assert shuffled < 10_000_000  # dealt out by number they took 14.8 MB
+
+
+def test_factor_fit_biases_equal_the_plain_formula(spark):
+    rng = random.Random(6)
+    data = [(f"u{rng.randrange(30)}", f"i{rng.randrange(20)}", float(rng.randint(1, 5))) for _ in range(300)]
+    train = spark.createDataFrame(data, "user_id string, item_id string, rating double")
+    model = factors.fit_factors(train, rank=2, iterations=1)
+    mean = sum(r for *_, r in data) / len(data)
+
+    def damped(key, value):
+        groups = {}
+        for row in data:
+            groups.setdefault(row[key], []).append(value(row))
+        return {k: sum(v) / (len(v) + 10) for k, v in groups.items()}
+
+    items = damped(1, lambda row: row[2] - mean)
+    users = damped(0, lambda row: row[2] - mean - items[row[1]])
+    assert {r.id: r.bias for r in model.items.collect()} == pytest.approx(items)
+    assert {r.id: r.bias for r in model.users.collect()} == pytest.approx(users)
+
+
+def test_users_of_a_full_block_are_shared_out(spark):
+    users = spark.range(4000).select(F.col("id").cast("string").alias("user_id"), F.lit(2).alias("home"))
+    block = factors._shared_out({2: 4000}, 4)
+    held = {r.block: r["count"] for r in users.groupBy(block.alias("block")).count().collect()}
+    assert sum(held.values()) == 4000 and max(held.values()) < 1600 and set(held) <= set(range(4))
+    even = factors._shared_out({b: 1000 for b in range(4)}, 4)
+    assert users.filter(even != F.col("home")).count() == 0
+
+
+def test_dense_ids_count_keys_in_order(spark):
+    keys = spark.createDataFrame([(f"k{n:03d}", n) for n in range(500)] + [(None, -1)], "k string, n int")
+    out = factors.dense_ids(keys, "k").collect()
+    assert sorted((r.n, r["index"]) for r in out) == [(n, n) for n in range(500)]
+
+
 def test_unknown_pairs_give_infinite_errors(spark):
     df = spark.createDataFrame([(3.0, 4.0, False)], "prediction double, rating double, known boolean")
     assert evaluate.rating_errors(df).first().rmse == float("inf")

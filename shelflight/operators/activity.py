@@ -27,19 +27,28 @@ def rejected_events(events: DataFrame) -> DataFrame:
     return events.filter(~is_valid_type())
 
 
-def with_product_facts(events: DataFrame, items: DataFrame, products: DataFrame) -> DataFrame:
-    """Category and brand of the event's item; both null for unknown items."""
-    facts = items.select("asin", "parent_asin").join(
+def product_facts(items: DataFrame, products: DataFrame) -> DataFrame:
+    """(asin, category, brand) of every item whose product is known."""
+    return items.select("asin", "parent_asin").join(
         products.select("parent_asin", F.col("main_category").alias("category"),
                         brand_of(F.col("raw_metadata")).alias("brand")),
         "parent_asin",
     ).select("asin", "category", "brand")
-    return events.join(facts, "asin", "left")
+
+
+def with_product_facts(events: DataFrame, items: DataFrame, products: DataFrame) -> DataFrame:
+    """Category and brand of the event's item; both null for unknown items."""
+    return events.join(product_facts(items, products), "asin", "left")
 
 
 def enriched(events: DataFrame, items: DataFrame, products: DataFrame) -> DataFrame:
     """Events whose metadata carries category and brand."""
-    return with_product_facts(events, items, products).withColumn(
+    return enriched_by(events, product_facts(items, products))
+
+
+def enriched_by(events: DataFrame, facts: DataFrame) -> DataFrame:
+    """``enriched`` by (asin, category, brand)."""
+    return events.join(facts, "asin", "left").withColumn(
         "metadata", enriched_metadata(F.col("metadata"), F.col("category"), F.col("brand"))
     )
 

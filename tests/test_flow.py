@@ -1,6 +1,7 @@
 """The event flow: repeats, late events, batches run twice; panes against windows."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -140,3 +141,38 @@ def test_a_users_batch_takes_few_calls_to_the_state():
         assert len(handle.calls) == calls and len(handle.timers) == 1
     assert handle.timers == {150_000}
     assert (out[0].recent_items, out[0].recent_categories, out[0].last_active) == (["d", "b", "c"], {"x": 2, "y": 1}, 50)
+
+
+def test_contexts_of_a_batch_are_folded_together_as_one_user_at_a_time(spark):
+    rng = random.Random(5)
+    schema = "user_id bigint, event_id bigint, asin string, ts timestamp, category string"
+    own, path = {}, scratch_path(spark, "folded")
+    one = stream.RecentContext(ttl=600, limit=4)
+    state = flow._state(spark, f"{path}/0", 0, spark.createDataFrame([], SCHEMA).schema)
+    for n in range(4):
+        # Batches overlap in time, so events bridge stretches of earlier ones.
+        rows = [(rng.choice([None, 1, 2, 3, 4, 5]), 100 * n + i, rng.choice(["a", "b", None]), at(rng.randrange(40 * n, 40 * n + 60)),
+                 rng.choice(["x", "y", "", None])) for i in range(12)]
+        out = flow.folded(state, spark.createDataFrame(rows, schema), 600, 4, "60 minutes")
+        state = keep(out, "folded")
+        touched = {r.user_id: r for r in state.filter("touched").collect()}
+        assert set(touched) == {r[0] for r in rows}
+        for user, row in touched.items():
+            events = [(ts.replace(tzinfo=dt.timezone.utc).timestamp(), e, asin, c) for u, e, asin, ts, c in rows if u == user]
+            newest, chains = own[user] = one.fold_events(*own.get(user, ([], [])), events)
+            live = chains[-1][2] if chains and newest[0][0] - chains[-1][1] < 600 else {}
+            assert (row.recent_items, row.recent_categories, row.last_active) == (
+                stream.newest_run(newest, 600), live, int(newest[0][0]))
+        state = state.select("user_id", "newest", "stretches")
+
+
+def test_the_flow_keeps_one_state_and_joins_the_catalogue_once(spark):
+    stream.prepare(spark)
+    items, products = catalogue(spark)
+    read = spark.sparkContext.accumulator(0)
+    products = spark.createDataFrame(products.rdd.map(lambda r: (read.add(1), r)[1]), products.schema)
+    parts = [[(n, 7, "a", "view", at(n), "{}")] for n in range(3)]
+    events = stream.read_events(spark, slices(spark, parts), SCHEMA, files_per_trigger=1)
+    query = flow.event_flow(events, items, products, scratch_path(spark, "flow"), scratch_path(spark, "state"))
+    query.awaitTermination()
+    assert read.value == 2 and len(query.lastProgress["stateOperators"]) == 1

@@ -285,3 +285,21 @@ def test_context_life(spark):
     assert activity.recent_items(df, late).count() == 0 and activity.last_active(df, late).count() == 0
     many = spark.createDataFrame([("u", str(n), "c", T0 + dt.timedelta(seconds=n), n) for n in range(21)], df.schema)
     assert activity.recent_items(many, F.lit(T0 + dt.timedelta(seconds=21)).cast("timestamp_ntz")).count() == 20
+
+
+def test_lists_that_lie_by_user_are_merged_and_scored_where_they_are(spark):
+    def by_user(rows, schema):
+        return spark.createDataFrame(rows, schema).repartition("user_id")
+
+    mf = [("u", "a", 1), ("u", "b", 2), ("v", "c", 1)]
+    content = [("u", "b", 1), ("u", "d", 2), ("w", "a", 1)]
+    popular = [("u", "a", 1), ("u", "e", 2), ("v", "c", 1), ("v", "a", 2)]
+    merged = candidates.merge_candidates(*[by_user(r, "user_id string, item_id string, pos int") for r in (mf, content, popular)])
+    scores = by_user([("u", "d", 0.5), ("u", "x", 0.7), ("v", "c", 0.1)], "user_id string, item_id string, content_score double")
+    scored = scoring.with_content(merged, scores)
+    assert sorted(map(tuple, scored.select("user_id", "pos", "item_id", "source", "recall_count", "content_score").collect())) == [
+        ("u", 1, "a", "mf", 4, None), ("u", 2, "b", "mf", 4, None), ("u", 3, "d", "content", 4, 0.5),
+        ("u", 4, "e", "popularity", 4, None), ("v", 1, "c", "mf", 2, 0.1), ("v", 2, "a", "popularity", 2, None),
+        ("w", 1, "a", "content", 1, None),
+    ]
+    assert "ENSURE_REQUIREMENTS" not in scored._jdf.queryExecution().executedPlan().toString()

@@ -303,3 +303,28 @@ def test_lists_that_lie_by_user_are_merged_and_scored_where_they_are(spark):
         ("w", 1, "a", "content", 1, None),
     ]
     assert "ENSURE_REQUIREMENTS" not in scored._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("reserve", [0, 100])
+def test_equal_vectors_are_searched_once_and_lists_stay_exact(spark, monkeypatch, reserve):
+    monkeypatch.setattr(nearest, "RESERVE", reserve)
+    asked = []
+    searched = nearest._searched
+    monkeypatch.setattr(nearest, "_searched", lambda q, i, *rest: (asked.append((q.count(), i.count())), searched(q, i, *rest))[1])
+    rng = random.Random(3)
+    kinds = [[float(rng.randrange(-2, 3)) for _ in range(3)] for _ in range(12)]  # scores tie between kinds, too
+    queries = [(f"q{n}", kinds[n % 7]) for n in range(60)]
+    items = [(f"i{n}", kinds[n * n % 12]) for n in range(80)]
+    hidden = [(f"q{n}", f"i{m}") for n in range(60) for m in range(80) if n % 3 and rng.random() < 0.3]
+    q = spark.createDataFrame(queries, "query_id string, vec array<double>")
+    i = spark.createDataFrame(items, "item_id string, vec array<double>")
+    for gone in ([], hidden):
+        hide = spark.createDataFrame(gone, "query_id string, item_id string") if gone else None
+        got = sorted((r.query_id, r.position, r.item_id, r.score) for r in nearest.top_k(q, i, 9, hidden=hide).collect())
+        want = []
+        for name, vec in queries:
+            left = [(-sum(a * b for a, b in zip(vec, w)), m) for m, w in items if (name, m) not in set(gone)]
+            want += [(name, p, m, -s) for p, (s, m) in enumerate(sorted(left)[:9], 1)]
+        assert got == sorted(want)
+    assert asked[0] == (7, len({tuple(v) for _, v in items})) == asked[1]
+    assert (len(asked) > 2) == (reserve == 0)

@@ -2,8 +2,8 @@
 
 ``build_index`` fits cells and code books once and writes, under one path, ``centres``, ``books`` and
 ``lists``, the last partitioned by cell.  ``add_vectors`` places new or changed vectors by the stored
-centres, without a new fit.  A search reads ids and codes of the probed cells only, ranks them by
-table lookups, and re-scores the survivors with their whole vectors, so its scores are exact.
+centres, without a new fit.  A search reads the probed cells only, ranks their codes by table
+lookups, and re-scores the survivors with their whole vectors, so its scores are exact.
 """
 
 from __future__ import annotations
@@ -13,16 +13,15 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelflight.functions.common import first_per_group, top_per_group
-from shelflight.functions.vectors import dot
+from shelflight.functions.common import first_per_group
 from shelflight.operators.nearest import (
-    _NOTHING, _PAIR, _chunks, _merge, _nearest_cells, _paired, _slot, best_of_block, recall_against, top_k, unit_items,
-    unit_queries,
+    _PAIR, _lanes, _matrix, _merge, _nearest_cells, _slot, best_of_block, recall_against, top_k, unit_items, unit_queries,
 )
 from shelflight.session import keep, scratch_path
 from shelflight.sources.tables import write_table
@@ -157,27 +156,46 @@ def add_vectors(incoming: DataFrame, path: str, arrival: Sequence[Column] = ())
     _write(spark.read.parquet(staged), path)
 
 
-def _look_up(books: Sequence[np.ndarray], k: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                ids = np.asarray(row.item_ids, dtype=object)
-                order = np.argsort(ids, kind="stable")
-                ids = ids[order]
-                codes = np.frombuffer(b"".join(row.item_values), dtype=np.uint8).reshape(len(ids), -1)[order]
-                queries = np.asarray(row.query_ids, dtype=object)
-                parts = _parts(np.asarray(row.query_values, dtype=np.float64).reshape(len(queries), -1))
-                tables = [parts[:, p] @ book.T for p, book in enumerate(books)]
-                # A few queries at a time: what is held is their scores over the block.
-                step = max(1, (1 << 21) // len(ids))
-                for start in range(0, len(queries), step):
-                    asked = slice(start, start + step)
-                    scores = sum(t[asked][:, codes[:, p]] for p, t in enumerate(tables))
-                    best = best_of_block(scores, k)
-                    yield pd.DataFrame({
-                        "query_id": np.repeat(queries[asked], best.shape[1]), "item_id": ids[best.ravel()],
-                        "score": np.take_along_axis(scores, best, axis=1).ravel(),
-                    })
+def _look_up(books: Sequence[np.ndarray], k: int, survivors: int):
+    """The k best items of each query in its block: by codes, then by the whole vectors of the survivors.
+
+    Rows come by block, the items before the queries, each by id.  One block is held; queries pass by.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, block = None, [], None
+        for batch in batches:
+            cells, asks = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            cuts = [0, *(np.flatnonzero((np.diff(cells) != 0) | (asks[1:] != asks[:-1])) + 1).tolist(), len(cells)]
+            for begin, end in zip(cuts, cuts[1:]):
+                if begin == end:
+                    continue
+                if cells[begin] != cell:
+                    cell, held, block = cells[begin], [], None
+                ids, matrix = batch.column(2).slice(begin, end - begin), _matrix(batch.column(3).slice(begin, end - begin))
+                if not asks[begin]:
+                    codes = b"".join(batch.column(4).slice(begin, end - begin).to_pylist())
+                    held.append((ids, matrix, np.frombuffer(codes, dtype=np.uint8).reshape(len(ids), -1)))
+                    continue
+                if block is None:
+                    if not held:
+                        continue
+                    names, vectors, codes = zip(*held, strict=True)
+                    block, held = (pa.concat_arrays(names), np.concatenate(vectors), np.concatenate(codes)), []
+                names, vectors, codes = block
+                # A few queries at a time: what is held is their scores over the block and their survivors.
+                step = max(1, (1 << 21) // max(len(names), min(survivors, len(names)) * vectors.shape[1]))
+                for start in range(0, len(matrix), step):
+                    asked = matrix[start:start + step]
+                    parts = _parts(asked)
+                    scores = sum((parts[:, p] @ book.T)[:, codes[:, p]] for p, book in enumerate(books))
+                    near = np.sort(best_of_block(scores, survivors), axis=1)
+                    exact = np.einsum("qd,qsd->qs", asked, vectors[near])
+                    best = best_of_block(np.round(exact, 9), k)
+                    found = np.take_along_axis(near, best, axis=1).ravel()
+                    yield pa.RecordBatch.from_arrays([
+                        ids.slice(start, step).take(pa.array(np.repeat(np.arange(len(asked)), best.shape[1]))),
+                        names.take(pa.array(found)), pa.array(np.take_along_axis(exact, best, axis=1).ravel()),
+                    ], ["query_id", "item_id", "score"])
 
     return run
 
@@ -187,36 +205,39 @@ def search_index(
 ) -> DataFrame:
     """Cosine top-k (query_id, item_id, score, position) over the ``probes`` nearest cells of each query.
 
-    ``refine * k`` survivors of a query are re-scored exactly.
+    In every block ``refine * k`` survivors of a query are re-scored exactly, where their vectors lie, so k rows a
+    query and block leave the task and no vector travels with a pair.  A block is copied to a few lanes where blocks
+    are fewer than tasks.
     """
     spark = queries.sparkSession
     centres, books = _model(spark, path)
     asked = keep(unit_queries(queries, key), "queries")
-    probed = keep(asked.mapInPandas(
+    probed = asked.mapInPandas(
         _nearest_cells(centres, probes), "query_id string, vec array<double>, _near array<int>"
-    ).select("query_id", "vec", F.explode("_near").alias("cell")), "probed")
+    ).select("query_id", "vec", F.explode("_near").alias("cell"))
     visited = [r.cell for r in probed.select("cell").distinct().collect()]
     lists = stored(spark, path).filter(F.col("cell").isin(visited))
-    pieces = _split(lists.select("item_id", "code", "cell"))
-    rows = pieces.groupBy("cell", "_part").agg(F.collect_list(F.struct("item_id", "code")).alias("_rows"))
-    blocks = rows.select(
-        "cell", "_part", F.transform("_rows", lambda r: r["item_id"]).alias("item_ids"),
-        F.transform("_rows", lambda r: r["code"]).alias("item_values"),
-    )
-    spread = probed.join(pieces.select("cell", "_part").distinct(), "cell")
-    n_chunks = max(1, math.ceil(asked.count() / 1024))
-    chunks = _chunks(
-        spread.withColumn("_chunk", _slot(F.col("query_id"), n_chunks)).withColumn("_hidden", F.lit(None).cast(_NOTHING)),
-        "cell", "_part", "_chunk",
-    )
-    work = _paired(chunks, blocks, ["cell", "_part"], max(1, len(visited)), n_chunks)
-    near = work.mapInPandas(_look_up(books, refine * k), _PAIR)
-    survivors = top_per_group(near, ["query_id"], [F.desc("score"), F.asc("item_id")], refine * k)
-    own = lists.select("item_id", F.col("vec").alias("_own"))
-    scored = survivors.select("query_id", "item_id").join(own, "item_id").join(asked, "query_id").select(
-        "query_id", "item_id", dot(F.col("vec"), F.col("_own")).alias("score")
-    )
-    return _merge(scored, k)
+    sizes = lists.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(LIST_ROWS)).alias("_parts"))
+    blocks = max(1, sizes.agg(F.sum("_parts")).first()[0] or 0)
+    lanes = max(1, min(math.ceil(_lanes(asked) / blocks), math.ceil(asked.count() / 1024)))
+
+    def each(n: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
+
+    def block(lane: Column) -> Column:
+        return (F.shiftleft(F.shiftleft(F.col("cell").cast("bigint"), 20) + F.col("_part"), 20) + lane).alias("_cell")
+
+    def rows(side: DataFrame, asks: bool, name: str, lane: Column, code: Column) -> DataFrame:
+        return side.withColumn("_lane", lane).select(
+            block(F.col("_lane")), F.lit(asks).alias("asks"), F.col(name).alias("id"), "vec", code.alias("code")
+        )
+
+    items = lists.join(sizes, "cell").withColumn("_part", _slot(F.col("item_id"), F.col("_parts")))
+    spread = probed.join(sizes, "cell").withColumn("_part", each(F.col("_parts")))
+    placed = rows(items, False, "item_id", each(F.lit(lanes)), F.col("code")).unionByName(
+        rows(spread, True, "query_id", _slot(F.col("query_id"), lanes), F.lit(None).cast("binary"))
+    ).repartition(4 * blocks * lanes, "_cell").sortWithinPartitions("_cell", "asks", "id")
+    return _merge(placed.mapInArrow(_look_up(books, k, refine * k), _PAIR), k)
 
 
 def measured_search(

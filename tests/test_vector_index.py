@@ -70,3 +70,16 @@ def test_search_is_widened_until_it_reaches_its_recall(spark):
     probes, refine = vector_index.measured_search(spark, path, 10, probes=2, refine=1)
     found = vector_index.search_index(vectors, path, 10, probes=probes, refine=refine)
     assert nearest.recall_against(exact, found).first().recall >= 0.9
+
+
+def test_no_vector_travels_with_a_pair(spark):
+    rng = np.random.default_rng(9)
+    rows = [(str(i), rng.normal(size=8).tolist()) for i in range(300)]
+    vectors = spark.createDataFrame(rows, "item_id string, embedding array<double>")
+    path = scratch_path(spark, "index")
+    vector_index.build_index(vectors, path, cells=4, codes=16)
+    found = vector_index.search_index(vectors, path, 5, probes=4, refine=60)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and not any(f"Join [{key}" in plan for key in ("item_id", "query_id"))
+    want = {(r.query_id, r.position): r.item_id for r in nearest.similar_items(vectors, vectors, 5).collect()}
+    assert {(r.query_id, r.position): r.item_id for r in found.collect()} == want
